@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python treats as white space and as line ends.
-SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + (
-    "    　"
+# Code points Python treats as white space, and those it ends lines at.
+SPACES = "".join(
+    map(
+        chr,
+        (
+            *range(0x09, 0x0E),
+            *range(0x1C, 0x21),
+            0x85,
+            0xA0,
+            0x1680,
+            *range(0x2000, 0x200B),
+            0x2028,
+            0x2029,
+            0x202F,
+            0x205F,
+            0x3000,
+        ),
+    )
 )
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
-BREAKS = r"\n\x0b\x0c\r\x1c-\x1e\x85  "
+BREAKS = "".join(map(chr, (*range(0x0A, 0x0E), *range(0x1C, 0x1F), 0x85, 0x2028, 0x2029)))
+SPACE = f"[{SPACES}]"
 NEWLINE = rf"(?:\r\n|[{BREAKS}])"
 
 
