@@ -66,7 +66,7 @@ def split_lines(text: Column) -> Column:
 
 def capture(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, or null."""
-    return blank_to_null(F.regexp_extract(text, F.lit(pattern), group))
+    return blank_to_null(F.regexp_extract(text, pattern, group))
 
 
 def fixed(value: Column, digits: int) -> Column:

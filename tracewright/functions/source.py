@@ -55,8 +55,8 @@ def signatures(content: Column) -> Column:
     """Lines of each declared function: its doc comment, if any, and its name."""
 
     def lines(match: Column) -> Column:
-        doc = strip(F.regexp_extract(match, F.lit(DECLARATION), 1))
-        name = F.concat(*[F.regexp_extract(match, F.lit(DECLARATION), g) for g in (2, 3, 4)])
+        doc = strip(F.regexp_extract(match, DECLARATION, 1))
+        name = F.concat(*[F.regexp_extract(match, DECLARATION, g) for g in (2, 3, 4)])
         shown = F.array(F.concat(F.lit("function "), name, F.lit("(...)")))
         return bind(doc, lambda d: F.when(d == "", shown).otherwise(F.concat(F.split(d, "\n"), shown)))
 

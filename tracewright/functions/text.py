@@ -47,17 +47,17 @@ def _tidy(section: Column) -> Column:
 
 def test_steps(body: Column) -> Column:
     """The test section of a change description, without boxes and hidden comments; '' if there is none."""
-    section = strip(F.regexp_extract(body, F.lit(TEST_SECTION), 1))
+    section = strip(F.regexp_extract(body, TEST_SECTION, 1))
     unix = F.regexp_replace(section, r"\r\n?", "\n")
     return _tidy(F.regexp_replace(unix, CHECKBOX, ""))
 
 
 def explanation(body: Column) -> Column:
-    return _tidy(strip(F.regexp_extract(body, F.lit(EXPLANATION_SECTION), 1)))
+    return _tidy(strip(F.regexp_extract(body, EXPLANATION_SECTION, 1)))
 
 
 def reproduction_steps(body: Column) -> Column:
-    return strip(F.regexp_extract(body, F.lit(STEPS_SECTION), 1))
+    return strip(F.regexp_extract(body, STEPS_SECTION, 1))
 
 
 def java_quote(text: str) -> str:

@@ -129,10 +129,10 @@ def exact_quantiles(df: DataFrame, value: str, wanted: Sequence[float]) -> DataF
         asked,
         lambda q: (F.floor(q * (total - 1)) < end) & (F.ceil(q * (total - 1)) >= begin),
     )
-    near = spans.select("_v", begin.alias("_begin"), end.alias("_end"), "_total", F.explode(hits).alias("quantile"))
+    near = spans.select("_v", begin.alias("_from"), end.alias("_to"), "_total", F.explode(hits).alias("quantile"))
     at = F.col("quantile") * (F.col("_total") - 1)
-    low = (F.floor(at) >= F.col("_begin")) & (F.floor(at) < F.col("_end"))
-    high = (F.ceil(at) >= F.col("_begin")) & (F.ceil(at) < F.col("_end"))
+    low = (F.floor(at) >= F.col("_from")) & (F.floor(at) < F.col("_to"))
+    high = (F.ceil(at) >= F.col("_from")) & (F.ceil(at) < F.col("_to"))
     picked = near.groupBy("quantile").agg(
         F.max(F.when(low, F.col("_v"))).alias("_low"),
         F.max(F.when(high, F.col("_v"))).alias("_high"),

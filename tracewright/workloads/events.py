@@ -24,10 +24,10 @@ def comment_gate(spark: SparkSession, d: str) -> DataFrame:
 WINDOW = rf"""mention_words AS (
   SELECT *, list_filter(string_split_regex(comment_text, '[\s\x{{85}}\x{{a0}}]+'), lambda w: w <> '') AS ws FROM events_in),
 mention_at AS (
-  SELECT *, coalesce(list_position(list_transform(ws, lambda w: contains(lower(w), '{USER_TAG}')), true), 0) AS at
+  SELECT *, coalesce(list_position(list_transform(ws, lambda w: contains(lower(w), '{USER_TAG}')), true), 0) AS spot
   FROM mention_words),
 contexts AS (
-  SELECT *, array_to_string(CASE WHEN at > 0 THEN ws[greatest(at - 10, 1):at + 19] ELSE ws[1:50] END, ' ') AS context
+  SELECT *, array_to_string(CASE WHEN spot > 0 THEN ws[greatest(spot - 10, 1):spot + 19] ELSE ws[1:50] END, ' ') AS context
   FROM mention_at)"""
 COMMANDS = rf"""commands AS (
   SELECT *, replace(lower(context), '{USER_TAG}', ' ') AS plain,

@@ -18,7 +18,7 @@ def _now() -> Column:
 
 
 def _replaced_pulls(spark: SparkSession, d: str) -> DataFrame:
-    """New rows for parts bought below their list price level: title and embedding only."""
+    """New rows for the parts of one brand: title and embedding only."""
     rows = t(spark, d, "part").filter(F.col("p_brand") == "Brand#7")
     vectors = t(spark, d, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding")
     return rows.join(vectors, "p_partkey", "left").select(
@@ -48,7 +48,7 @@ def _scored_links(spark: SparkSession, d: str) -> DataFrame:
 
 def _upserted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return state.upsert_pull_requests(
-        _stored_pulls(spark, d), _embeddings(spark, d), _scored_links(spark, d), _replaced_pulls(spark, d), NOW
+        _stored_pulls(spark, d), _embeddings(spark, d), _scored_links(spark, d), _replaced_pulls(spark, d), _now()
     )
 
 
