@@ -27,7 +27,8 @@ SPACES = "".join(
     )
 )
 BREAKS = "".join(map(chr, (*range(0x0A, 0x0E), *range(0x1C, 0x1F), 0x85, 0x2028, 0x2029)))
-SPACE = f"[{SPACES}]"
+# the same white space as a character class; the Unicode property is one test per character
+SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 NEWLINE = rf"(?:\r\n|[{BREAKS}])"
 
 
@@ -55,13 +56,26 @@ def words(text: Column) -> Column:
 
 
 def unify_lines(text: Column) -> Column:
-    """Every line end as ``\\n``; the end of the last line is not kept."""
-    joined = F.regexp_replace(text, NEWLINE, "\n")
-    return F.regexp_replace(joined, r"\n\z", "")
+    """Every line end as ``\\n``; the end of the last line is not kept.
+
+    Most texts have plain line ends only. They are told by byte search and never reach the regular expression.
+    """
+
+    def plain(t: Column) -> Column:
+        odd = F.lit(False)
+        for mark in BREAKS.replace("\n", ""):
+            odd = odd | F.contains(t, F.lit(mark))
+        return F.when(odd, F.regexp_replace(t, NEWLINE, "\n")).otherwise(t)
+
+    def without_last_end(t: Column) -> Column:
+        return F.when(F.endswith(t, F.lit("\n")), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+
+    return bind(bind(text, plain), without_last_end)
 
 
 def split_lines(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(unify_lines(text), "\n"))
+    none = F.array().cast("array<string>")
+    return bind(text, lambda t: F.when(t == "", none).otherwise(F.split(unify_lines(t), "\n")))
 
 
 def capture(text: Column, pattern: str, group: int = 1) -> Column:

@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.core import BREAKS, SPACES, bind, capture, first_filled, split_lines, strip, unify_lines, words
+from tracewright.functions.core import BREAKS, bind, capture, first_filled, split_lines, strip, unify_lines, words
 from tracewright.functions.text import diff_heading
 
-GAP = "[" + SPACES.replace("\n", "") + "]"
+GAP = r"[\p{IsWhite_Space}\x1c-\x1f&&[^\n]]"
 # Header forms of git's unified diffs.
 HUNK = rf"@@{GAP}*-[0-9]+,?[0-9]*{GAP}*\+([0-9]+),?[0-9]*{GAP}*@@"
 HUNK_LINE = rf"(?:\A|\n)(?=@@)(?=[^\n]*{HUNK})"
 FILE_LINE = r"(?:\A|\n)(?=diff --git a/[^\n]*? b/)"
 FILE_HEADER = r"\Adiff --git a/([^\n]*?) b/([^\n]*)"
-FILE_START = rf"(?:\A|(?<=[{BREAKS}]))(?=diff --git a/[^{BREAKS}]*? b/)"
+FILE_START = rf"(?=diff --git a/[^{BREAKS}]*? b/)(?:\A|(?<=[{BREAKS}]))"
 OLD_PATH = r"\Adiff --git a/(.*?) b/"
 KEPT_PREFIX, DROPPED_PREFIX = "src/", "src/languages"
 
@@ -31,15 +31,22 @@ def file_sections(raw_diff: Column) -> Column:
     """
 
     def entry(section: Column, at: Column) -> Column:
-        return F.struct(
-            F.regexp_extract(section, FILE_HEADER, 2).alias("path"),
-            at.alias("ord"),
-            F.regexp_extract(section, FILE_HEADER, 1).alias("old_path"),
-            F.regexp_replace(section, r"\A[^\n]*\n?", "").alias("patch"),
-        )
+        # only the first line goes through the expressions
+        def split(head: Column) -> Column:
+            return F.when(
+                head.rlike(FILE_HEADER),
+                F.struct(
+                    F.regexp_extract(head, FILE_HEADER, 2).alias("path"),
+                    at.alias("ord"),
+                    F.regexp_extract(head, FILE_HEADER, 1).alias("old_path"),
+                    F.substr(section, F.length(head) + 2).alias("patch"),
+                ),
+            )
+
+        return bind(F.substring_index(section, "\n", 1), split)
 
     pieces = F.filter(
-        F.transform(F.split(unify_lines(raw_diff), FILE_LINE), lambda s, i: F.when(s.rlike(FILE_HEADER), entry(s, i))),
+        F.transform(F.split(unify_lines(raw_diff), FILE_LINE), entry),
         lambda e: e.isNotNull() & (e["path"] != ""),
     )
 
@@ -132,19 +139,17 @@ def patch_status(patch: Column) -> Column:
     )
 
 
-def _count_marked(patch: Column, mark: str) -> Column:
-    def hit(line: Column) -> Column:
-        return F.startswith(line, F.lit(mark)) & ~F.startswith(line, F.lit(mark * 3))
+def line_counts(patch: Column) -> Column:
+    """Added and removed lines of a patch as ``struct<additions, deletions>``; file headers do not count."""
 
-    return F.size(F.filter(split_lines(patch), hit))
+    def marked(lines: Column, mark: str) -> Column:
+        hit = lambda x: F.startswith(x, F.lit(mark)) & ~F.startswith(x, F.lit(mark * 3))
+        return F.size(F.filter(lines, hit))
 
+    def count(lines: Column) -> Column:
+        return F.struct(marked(lines, "+").alias("additions"), marked(lines, "-").alias("deletions"))
 
-def additions(patch: Column) -> Column:
-    return _count_marked(patch, "+")
-
-
-def deletions(patch: Column) -> Column:
-    return _count_marked(patch, "-")
+    return bind(split_lines(patch), count)
 
 
 def split_diffs(df: DataFrame, raw_diff: str = "raw_diff") -> DataFrame:
@@ -156,9 +161,8 @@ def split_diffs(df: DataFrame, raw_diff: str = "raw_diff") -> DataFrame:
 def describe_patches(files: DataFrame) -> DataFrame:
     """Add status and counts to rows with a ``patch``."""
     patch = F.col("patch")
-    return files.withColumns(
-        {"status": patch_status(patch), "additions": additions(patch), "deletions": deletions(patch)}
-    )
+    counted = files.withColumns({"status": patch_status(patch), "_counts": line_counts(patch)})
+    return counted.select(*files.columns, "status", "_counts.*")
 
 
 def with_patches(stats: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,13 +192,19 @@ def review_section(filename: Column, status: Column, added: Column, removed: Col
 
 def review_text(raw_diff: Column) -> Column:
     """All files of one raw diff for a reviewer, in order, with blank lines between them."""
-    shown = F.transform(
-        F.filter(file_sections(raw_diff), lambda s: s["patch"] != ""),
-        lambda s: review_section(
-            s["path"], patch_status(s["patch"]), additions(s["patch"]), deletions(s["patch"]), s["patch"]
-        ),
-    )
-    return F.array_join(shown, "\n\n")
+
+    def show(s: Column) -> Column:
+        return bind(
+            line_counts(s["patch"]),
+            lambda n: review_section(s["path"], patch_status(s["patch"]), n["additions"], n["deletions"], s["patch"]),
+        )
+
+    return F.array_join(F.transform(F.filter(file_sections(raw_diff), lambda s: s["patch"] != ""), show), "\n\n")
+
+
+def reviewed_files(raw_diff: Column) -> Column:
+    """Paths of the files of one raw diff that have a patch, in order."""
+    return F.transform(F.filter(file_sections(raw_diff), lambda s: s["patch"] != ""), lambda s: s["path"])
 
 
 def changed_line_rows(files: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,23 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.session import ensure_checkpoints
+from tracewright.session import scratch_path
 
 # the planner trims a ranking before its shuffle only up to this rank
 RANK_TRIM = 1000
 SALTS = 64
 
 
-def _sorted_and_fixed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    """The rows in global order with their partition number, written out so that later passes agree on it."""
-    ensure_checkpoints(df.sparkSession)
-    fixed = df.sort(*order).checkpoint()
-    # the id holds the partition above bit 33 and the place within the partition below it
-    return fixed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+def _sorted_table(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows written in global order, with the number of their file and their place in it.
+
+    The table sits in the shared folder, so every later pass sees the same order, reads only the columns it
+    needs and does not depend on executors staying alive.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "sorted")
+    df.sort(*order).write.parquet(path)
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    return spark.read.schema(df.schema).parquet(path).select(
+        "*", part.alias("_part"), F.col("_metadata.row_index").alias("_at")
+    )
 
 
 def _offsets(sizes: DataFrame, amount: str) -> DataFrame:
-    """Running total before each partition; one row per sort partition, so it is small by construction."""
+    """Running total before each file; one row per sort partition, so it is small by construction."""
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     everything = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return sizes.select(
@@ -40,12 +47,11 @@ def _offsets(sizes: DataFrame, amount: str) -> DataFrame:
 
 def sequence_rows(df: DataFrame, order: Sequence[Column | str], start: Column | int = 0, name: str = "seq") -> DataFrame:
     """Number all rows ``start``, ``start + 1``, … in the given (unique) order, without gaps."""
-    rows = _sorted_and_fixed(df, order)
+    rows = _sorted_table(df, order)
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     begin = F.lit(start) if isinstance(start, int) else start
-    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = rows.join(F.broadcast(_offsets(sizes, "_rows")), "_part")
-    return numbered.withColumn(name, begin + F.col("_before") + place).drop("_at", "_part", "_before", "_total")
+    return numbered.withColumn(name, begin + F.col("_before") + F.col("_at")).drop("_at", "_part", "_before", "_total")
 
 
 def place_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "place") -> DataFrame:
@@ -117,7 +123,7 @@ def exact_quantiles(df: DataFrame, value: str, wanted: Sequence[float]) -> DataF
     to each quantile are kept.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    rows = _sorted_and_fixed(counted, ["_v"])
+    rows = _sorted_table(counted, ["_v"])
     sizes = rows.groupBy("_part").agg(F.sum("_n").alias("_rows"))
     running = W.partitionBy("_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     spans = rows.join(F.broadcast(_offsets(sizes, "_rows")), "_part").withColumn(

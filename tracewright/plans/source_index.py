@@ -26,5 +26,6 @@ def preview(index: DataFrame) -> DataFrame:
 
 
 def longest_first(index: DataFrame) -> DataFrame:
-    sized = index.select("path", F.size("lines").alias("lines"))
+    # a sort reads its input twice; the exchange makes the second read one of small rows, not of the sources
+    sized = index.select("path", F.size("lines").alias("lines")).repartition("path")
     return sized.orderBy(F.desc("lines"), "path")

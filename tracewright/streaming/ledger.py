@@ -23,9 +23,13 @@ def append_comments(comments: DataFrame, batch_id: int, root: str, order: list[s
     """Store one batch of projected comments.
 
     Each batch owns a folder of each table and overwrites it, so running a batch again changes nothing. Last
-    ids sit in one tiny row per batch, so no history is scanned for them.
+    ids sit in one tiny row per batch, so no history is scanned for them. The projected comments are written
+    first: the steps below read them more than once.
     """
     spark = comments.sparkSession
+    shape = comments.schema
+    comments.write.mode("overwrite").parquet(f"{root}/comments/batch={batch_id}")
+    comments = spark.read.schema(shape).parquet(f"{root}/comments/batch={batch_id}")
     table = lambda name, schema: _before(spark, root, name, record(**{f.name: f.dataType for f in schema}), batch_id)
     last = table("counters", COUNTERS).agg(F.max("last_user"), F.max("last_log")).first()
     last_user, last_log = last[0] or 0, last[1] or 0

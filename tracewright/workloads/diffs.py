@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators import diffs, paths
-from tracewright.operators.ordering import ordered_chunks
 from tracewright.plans import reviewing as plan
 from tracewright.schemas import DIFFSTAT_PAGE
 from tracewright.sources.files import page_values
@@ -148,10 +147,7 @@ def _patterns(spark: SparkSession, d: str) -> DataFrame:
         F.col("n_nationkey").alias("ord"), F.concat(F.lower("n_name"), F.lit("/")).alias("pattern")
     )
     rules = ["# comment", "", "src/src1*/", "!m0.py", "/docs/**/m[23].py", "*.log"]
-    # a handful of fixed lines, one per rule
-    general = names.limit(1).select(
-        F.posexplode(F.array(*[F.lit(r) for r in rules])).alias("ord", "pattern")
-    ).withColumn("ord", F.col("ord") + 1000)
+    general = spark.createDataFrame([(1000 + i, r) for i, r in enumerate(rules)], "ord int, pattern string")
     return names.unionByName(general).withColumn("repo_id", F.lit(feeds.REPO))
 
 
@@ -178,11 +174,8 @@ def review_input(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     ctes(DIFF_FILES)
-    + """SELECT doc_id AS pull_request_id, ((rn - 1) // 3)::BIGINT AS chunk, string_agg(path, ',' ORDER BY rn) AS files
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM patches) GROUP BY doc_id, chunk"""
+    + "SELECT doc_id AS pull_request_id, string_agg(path, ',' ORDER BY ord) AS files FROM patches GROUP BY doc_id"
 )
 def files_reviewed(spark: SparkSession, d: str) -> DataFrame:
-    """Reviewed files per change as ordered lists, here of at most three."""
-    files = _files(spark, d).filter(diffs.has_patch(F.col("patch"))).select(ID, "ord", "path")
-    lists = ordered_chunks(files, [ID], ["ord"], F.col("path"), 3)
-    return lists.select(ID, "chunk", F.array_join("items", ",").alias("files"))
+    files = diffs.reviewed_files(F.col("raw_diff"))
+    return feeds.raw_diffs(spark, d).select(ID, F.array_join(files, ",").alias("files"))
