@@ -53,10 +53,15 @@ def score_links(links: DataFrame, issue_vectors: DataFrame, pull_vectors: DataFr
 
 
 def top_page(scored: DataFrame, page: int = 0, size: int = PAGE) -> DataFrame:
-    """One page of each issue's candidates, best first; equal scores go by number."""
+    """One page of each issue's candidates, best first; equal scores go by number.
+
+    Pairs without a score rank last and are taken out afterwards: a filter before the ranking would be merged
+    into the join and make it compute every score twice.
+    """
     order = [F.desc("score"), F.asc("pull_request_id")]
-    rated = scored.filter(F.col("score").isNotNull() & ~F.isnan("score"))
-    return rank_slice(rated, ISSUE, order, page * size + 1, (page + 1) * size, ["pull_request_id"])
+    rated = scored.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    ranked = rank_slice(rated, ISSUE, order, page * size + 1, (page + 1) * size, ["pull_request_id"])
+    return ranked.filter(F.col("score").isNotNull())
 
 
 def candidate_blocks(ranked: DataFrame, pull_requests: DataFrame) -> DataFrame:

@@ -142,13 +142,16 @@ def review_prompt_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _patterns(spark: SparkSession, d: str) -> DataFrame:
-    """Ignore lines: every nation name is a folder, and a few general rules follow with a negation."""
-    names = t(spark, d, "nation").select(
-        F.col("n_nationkey").alias("ord"), F.concat(F.lower("n_name"), F.lit("/")).alias("pattern")
+    """Ignore lines of each language's repository: a folder per source, then general rules with a negation."""
+    seen = t(spark, d, "documents").select("lang", "source").distinct()
+    folders = seen.select(
+        F.col("lang").alias("repo_id"),
+        F.regexp_extract("source", "([0-9]+)", 1).cast("int").alias("ord"),
+        F.concat(F.lit("/vendor/"), "source", F.lit("/")).alias("pattern"),
     )
-    rules = ["# comment", "", "src/src1*/", "!m0.py", "/docs/**/m[23].py", "*.log"]
-    general = spark.createDataFrame([(1000 + i, r) for i, r in enumerate(rules)], "ord int, pattern string")
-    return names.unionByName(general).withColumn("repo_id", F.lit(feeds.REPO))
+    rules = F.array(*[F.lit(r) for r in ("# comment", "", "src/src1*/", "!m0.py", "/docs/**/m[23].py", "*.log")])
+    general = seen.select("lang").distinct().select(F.col("lang").alias("repo_id"), F.posexplode(rules).alias("ord", "pattern"))
+    return folders.unionByName(general.withColumn("ord", F.col("ord") + 1000))
 
 
 IGNORED_SQL = r"""CASE WHEN regexp_matches(path, '^docs/(.*/)?m[23]\.py(/.*)?$') THEN true

@@ -171,7 +171,9 @@ def raw_diffs(spark: SparkSession, d: str) -> DataFrame:
         return F.concat(lead, F.when(line == "", "").otherwise(F.concat(mark, line)))
 
     diff = F.array_join(F.transform(F.split("text", "\n"), block), "\n")
-    return t(spark, d, "documents").select(F.col("doc_id").alias("pull_request_id"), _repo(), diff.alias("raw_diff"))
+    return t(spark, d, "documents").select(
+        F.col("doc_id").alias("pull_request_id"), F.col("lang").alias("repo_id"), diff.alias("raw_diff")
+    )
 
 
 # one row per line of the same diffs
@@ -234,13 +236,17 @@ numbered_lines AS (
 # --- findings and comments are line items
 
 
+def _repo_of_supplier() -> Column:
+    return F.concat(F.lit("r"), F.pmod(F.col("l_suppkey"), F.lit(5))).alias("repo_id")
+
+
 def raw_findings(spark: SparkSession, d: str) -> DataFrame:
     line = F.col("l_partkey").cast("int")
     suffix = F.when(_hundredths("l_tax") > 7, ".ts").otherwise(".py")
     dot = F.when(F.col("l_linestatus") == "O", "./").otherwise("")
     level = F.when(F.col("l_returnflag") == "A", "LOW").when(F.col("l_returnflag") == "N", "MEDIUM").otherwise("HIGH")
     return t(spark, d, "lineitem").select(
-        _repo(),
+        _repo_of_supplier(),
         F.col("l_suppkey").alias("pull_request_id"),
         F.concat(dot, F.lit("src/m"), "l_linenumber", suffix).alias("filename"),
         line.alias("line_number"),
@@ -262,7 +268,7 @@ FINDINGS = """findings AS (
 
 def changed(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").select(
-        _repo(),
+        _repo_of_supplier(),
         F.col("l_suppkey").alias("pull_request_id"),
         F.concat(F.lit("src/m"), "l_linenumber", F.lit(".py")).alias("file"),
         (F.col("l_partkey").cast("int") + _hundredths("l_discount")).alias("line"),
@@ -279,7 +285,7 @@ def review_comments(spark: SparkSession, d: str) -> DataFrame:
     labels = F.array(*[F.lit(x) for x in COMMENT_LABELS])
     end = F.col("l_partkey").cast("int") + _hundredths("l_tax")
     return t(spark, d, "lineitem").select(
-        _repo(),
+        _repo_of_supplier(),
         F.col("l_suppkey").alias("pull_request_id"),
         F.concat(F.lit("src/m"), "l_linenumber", F.lit(".py")).alias("file"),
         end.alias("line"),
@@ -300,7 +306,7 @@ COMMENTS = f"""comments AS (
 def review_files(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "lineitem").filter(F.col("l_quantity") >= 49)
     return rows.select(
-        _repo(),
+        _repo_of_supplier(),
         F.col("l_suppkey").alias("pull_request_id"),
         F.concat(F.lit("src/m"), "l_linenumber", F.lit(".py")).alias("filename"),
     )
