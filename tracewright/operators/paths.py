@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from tracewright.functions.globs import is_negated, is_pattern_line, last_match_ignores, pattern_regex
 
 CHUNK = 200
+SMALL_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """Broadcast a side after measuring it; a larger one is left to a shuffle join.
+
+    Worth its extra pass where the other side carries long texts, which a late switch by adaptive execution
+    would already have shuffled.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def pattern_runs(patterns: DataFrame) -> DataFrame:
@@ -38,8 +49,8 @@ def pattern_runs(patterns: DataFrame) -> DataFrame:
 
 
 def flag_ignored(files: DataFrame, patterns: DataFrame, path: str = "filename") -> DataFrame:
-    """Add ``ignored`` to file rows. Pattern lists are one row per repository; Spark decides how to ship them."""
-    joined = files.join(pattern_runs(patterns), "repo_id", "left")
+    """Add ``ignored`` to file rows, which may carry their patches. Pattern lists are one row per repository."""
+    joined = files.join(broadcast_if_small(pattern_runs(patterns)), "repo_id", "left")
     return joined.withColumn("ignored", last_match_ignores(F.col(path), F.col("runs"))).drop("runs")
 
 
