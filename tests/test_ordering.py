@@ -77,3 +77,29 @@ def test_keep_first_and_latest(spark):
     assert sorted(r["n"] for r in ordering.keep_first(df, ["k", "l"], "n").collect()) == [1, 3, 5]
     known = df.filter("k is not null")
     assert sorted(r["n"] for r in ordering.latest_by(known, ["k"], "n").collect()) == [2, 5]
+
+
+def test_previous_across_files(skewed):
+    df, rows = skewed
+    got = {r["id"]: r["prev_id"] for r in ordering.previous_in_group(df, ["key"], ["value", "id"], ["id"]).collect()}
+    want = {}
+    for k in {r[1] for r in rows}:
+        ids = [i for i, key, v in sorted(rows, key=lambda r: (r[2], r[0])) if key == k]
+        want |= dict(zip(ids, [None, *ids]))
+    assert got == want
+
+
+def test_hot_key_spans_files(spark, skewed):
+    """Sorting by the whole order spreads one key over several tasks."""
+    df, _ = skewed
+    # small partitions would be joined up again
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = ordering._sorted_table(df, ["key", "value", "id"])
+        files = dict(table.groupBy("_part").count().collect())
+        lagged = ordering.previous_in_group(df, ["key"], ["value", "id"], ["id"])
+        assert lagged.filter("prev_id is null").count() == lagged.select("key").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(files) > 4 and max(files.values()) < 2000
+    assert table.filter("key = 0").select("_part").distinct().count() > 1

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tracewright.functions.core import blank_to_null, first_filled
 from tracewright.functions.text import classify_command, is_bot, mentions, signed_by_us, wants_rerun
+from tracewright.operators.ordering import previous_in_group
 from tracewright.schemas import BITBUCKET_COMMENT, BLOCKER_LABEL, GITHUB_COMMENT, SIGNATURE, STR, USER_TAG
 
 CORRUPT = "_corrupt_record"
@@ -164,3 +165,15 @@ def review_gate(requests: DataFrame, reviews: DataFrame) -> DataFrame:
         .withColumns({"skip": ~F.col("run_again") & same, "since_sha": F.when(~F.col("run_again"), F.col("last_sha"))})
         .drop("last_sha")
     )
+
+
+def due_reviews(requests: DataFrame) -> DataFrame:
+    """Past review requests that needed a review, each judged against the request before it.
+
+    For a backlog in a table; events still arriving go through the stream of the same name. ``requests`` has
+    repo_id, pull_request_id, event_id, ts, head_sha and forced.
+    """
+    valid = requests.filter(blank_to_null(F.col("head_sha")).isNotNull())
+    ordered = previous_in_group(valid, ["repo_id", "pull_request_id"], ["ts", "event_id"], ["head_sha"])
+    due = ordered.filter(F.col("forced") | ~F.col("prev_head_sha").eqNullSafe(F.col("head_sha")))
+    return due.withColumn("since_sha", F.when(~F.col("forced"), F.col("prev_head_sha"))).drop("prev_head_sha")

@@ -54,6 +54,30 @@ def sequence_rows(df: DataFrame, order: Sequence[Column | str], start: Column |
     return numbered.withColumn(name, begin + F.col("_before") + F.col("_at")).drop("_at", "_part", "_before", "_total")
 
 
+def previous_in_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: Sequence[str]
+) -> DataFrame:
+    """Add ``prev_<column>`` with the values of the row before in the same group, null for the first.
+
+    Neighbours are looked up within each file of the sorted table, and across file borders from the last row of
+    the file before, so a group may span any number of tasks.
+    """
+    rows = _sorted_table(df, [*keys, *order])
+    taken = F.struct(*keys, *columns)
+    in_file = W.partitionBy("_part").orderBy("_at")
+    ends = rows.groupBy("_part").agg(F.max_by(taken, "_at").alias("_end"))
+    # one row per file; empty files do not occur among them
+    border = ends.select("_part", F.lag("_end").over(W.orderBy("_part")).alias("_border"))
+    near = rows.withColumn("_near", F.lag(taken).over(in_file)).join(F.broadcast(border), "_part")
+    before = near.withColumn("_before", F.when(F.col("_at") == 0, F.col("_border")).otherwise(F.col("_near")))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"_before.{key}").eqNullSafe(F.col(key))
+    return before.select(
+        *df.columns, *[F.when(same, F.col(f"_before.{c}")).alias(f"prev_{c}") for c in columns]
+    )
+
+
 def place_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "place") -> DataFrame:
     """Zero-based place of each row within its group, whatever the size of the group."""
     rows = sequence_rows(df, [*keys, *order], name="_seq")

@@ -23,7 +23,9 @@ def normalise_findings(raw: DataFrame, tool: str = "bandit") -> DataFrame:
     lines = F.coalesce(F.col("line_range"), F.array("line_number"))
     return raw.select(
         *PULL,
-        F.regexp_replace("filename", r"\A\./", "").alias("file_path"),
+        F.when(F.startswith("filename", F.lit("./")), F.substr("filename", F.lit(3)))
+        .otherwise(F.col("filename"))
+        .alias("file_path"),
         F.array_max(lines).alias("line"),
         F.when(F.size(lines) > 1, F.array_min(lines)).alias("start_line"),
         F.lower("issue_severity").alias("severity"),

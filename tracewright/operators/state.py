@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.operators.ledger import price_calls
 from tracewright.operators.ordering import sequence_rows
-from tracewright.schemas import ISSUES, PULL_REQUESTS, USAGE_LOGS, USERS
+from tracewright.schemas import ISSUES, MODEL_CALLS, PULL_REQUESTS, USAGE_LOGS, USERS
 
 PULL = ["repo_id", "pull_request_id"]
 ISSUE = ["repo_id", "issue_id"]
@@ -130,6 +131,12 @@ def new_usage_logs(users: DataFrame, comments: DataFrame, order: Sequence[str],
     )
 
 
+def new_model_calls(calls: DataFrame, order: Sequence[str], start: int, now: Column) -> DataFrame:
+    """Ledger rows of model calls, priced and numbered in order; calls without a price are left out."""
+    numbered = sequence_rows(price_calls(calls), list(order), start, "id")
+    return shaped(numbered.drop("created_at"), MODEL_CALLS, created_at=now)
+
+
 def record_reviews(reviews: DataFrame, done: DataFrame, now: Column) -> DataFrame:
     """Remember the commit each change was last reviewed at."""
     rows = done.select("pull_request_id", "repo_id", "last_reviewed_commit_sha", now.cast("timestamp").alias("updated_at"))

@@ -116,10 +116,14 @@ def bot_filter(spark: SparkSession, d: str) -> DataFrame:
 
 # --- streams over the events table
 
+BATCH_BYTES = 4 << 30
+
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = t(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # the batch limit bounds what one key can bring into one call of a stateful operator
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES)
+    rows = reader.option("pathGlobFilter", "events.parquet").parquet(d)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -180,18 +184,17 @@ def _finished(rows: DataFrame, root: str) -> None:
     query.awaitTermination()
 
 
-@query(
-    """WITH heads AS (
+DUE_SQL = """WITH heads AS (
   SELECT event_id, user_id, json_extract_string(props, '$.k')::BIGINT // 25 AS sha, event_type = 'purchase' AS forced,
     lag(json_extract_string(props, '$.k')::BIGINT // 25) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
   FROM events)
 SELECT event_id, user_id AS pull_request_id, 'c' || sha AS head_sha, CASE WHEN NOT forced THEN 'c' || before END AS since_sha, forced
 FROM heads WHERE forced OR before IS NULL OR before <> sha"""
-)
-def incremental_review(spark: SparkSession, d: str) -> DataFrame:
-    """Review requests as a stream with the last commit of each pull request as state."""
+
+
+def _review_requests(events: DataFrame) -> DataFrame:
     commit = F.floor(F.get_json_object("props", "$.k").cast("bigint") / 25)
-    requests = _stream(spark, d).select(
+    return events.select(
         F.lit(feeds.REPO).alias("repo_id"),
         F.col("user_id").alias("pull_request_id"),
         "event_id",
@@ -199,10 +202,23 @@ def incremental_review(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("c"), commit.cast("string")).alias("head_sha"),
         (F.col("event_type") == "purchase").alias("forced"),
     )
+
+
+DUE_COLUMNS = ["event_id", "pull_request_id", "head_sha", "since_sha", "forced"]
+
+
+@query(DUE_SQL)
+def incremental_review(spark: SparkSession, d: str) -> DataFrame:
+    """Review requests as a stream with the last commit of each pull request as state."""
     root = scratch_path(spark, "reviews")
-    _finished(due_reviews(requests), root)
-    due = spark.read.schema(DUE).parquet(f"{root}/rows")
-    return due.select("event_id", "pull_request_id", "head_sha", "since_sha", "forced")
+    _finished(due_reviews(_review_requests(_stream(spark, d))), root)
+    return spark.read.schema(DUE).parquet(f"{root}/rows").select(*DUE_COLUMNS)
+
+
+@query(DUE_SQL)
+def review_backlog(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests as a finished table."""
+    return gates.due_reviews(_review_requests(t(spark, d, "events"))).select(*DUE_COLUMNS)
 
 
 @query("SELECT DISTINCT user_id AS issue_id FROM events")

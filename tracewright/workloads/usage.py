@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import ledger
-from tracewright.operators.ordering import sequence_rows
+from tracewright.operators import ledger, state
 from tracewright.workloads import feeds
 from tracewright.workloads.base import ctes, query
 from tracewright.workloads.feeds import CALLS, LOGS
@@ -44,7 +43,8 @@ GROUP BY ALL"""
 )
 def usage_report_nested(spark: SparkSession, d: str) -> DataFrame:
     """Requests with their calls nested, here at most five to a row."""
-    calls = sequence_rows(_calls(spark, d), ["usage_log_id", "line_number", "part", "supplier"], 0, "id")
+    order = ["usage_log_id", "line_number", "part", "supplier"]
+    calls = state.new_model_calls(feeds.model_calls(spark, d), order, 0, F.lit("2025-01-01").cast("timestamp"))
     nested = ledger.nested_usage(feeds.usage_logs(spark, d), feeds.users(spark, d), calls, 5)
     shown = lambda c: F.concat_ws(":", c["id"], c["llm_model"], c["tokens_used"], c["cost_usd_thousandths"])
     return nested.select(
