@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.commits import commits_ahead, merged_numbers
 from tracewright.operators.delivery import describe
+from tracewright.operators.gates import gate_github, project_github
 from tracewright.operators.responses import parse_answers
 from tracewright.plans import deploys, ingest, ranking, reviewing, source_index
 from tracewright.schemas import DIFFSTAT_PAGE, SIGNATURE, USER_TAG
@@ -145,10 +146,15 @@ def test_comment_stream_restarts(spark, tmp_path):
         "ts": pd.Timestamp(2024, 1, n, tz="UTC"), "n": n, "event_type": "issue_comment", "body": body or payload(n, login)
     }
     drop_in(inbox, "a.parquet", [row(1, "ann"), row(2, "x[bot]"), row(3, "ann", "{broken")])
-    for _ in range(2):
-        comment_ledger(spark.readStream.schema(schema).parquet(str(inbox)), root, ["ts", "n"]).awaitTermination()
+
+    def go():
+        events = spark.readStream.schema(schema).parquet(str(inbox))
+        comment_ledger(project_github(gate_github(events)), root, ["ts", "n"]).awaitTermination()
+
+    go()
+    go()
     drop_in(inbox, "b.parquet", [row(4, "bob"), row(5, "ann")])
-    comment_ledger(spark.readStream.schema(schema).parquet(str(inbox)), root, ["ts", "n"]).awaitTermination()
+    go()
     logs = spark.read.parquet(f"{root}/usage_logs").orderBy("id").collect()
     assert [(r["id"], r["user_id"], r["comment_url"], r["command_name"]) for r in logs] == [
         (1, 1, "c/1", "blame"), (2, 2, "c/4", "blame"), (3, 1, "c/5", "blame"),

@@ -80,8 +80,9 @@ def test_linked_issue_ids(spark):
         "$ https://h/o/aXb+c/issues/9",
         "$ [#4](https://h/other/issues/5)",
         "#5 without a sign",
+        "$ #99999999999999999999",
     ]
-    assert run(spark, bodies, lambda c: text.linked_issue_ids(c, "a.b+c")) == [[12, 7, 9, 4, 12], None, None, None]
+    assert run(spark, bodies, lambda c: text.linked_issue_ids(c, "a.b+c")) == [[12, 7, 9, 4, 12], None, None, None, [None]]
 
 
 def test_merge_commits(spark):

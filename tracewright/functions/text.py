@@ -72,13 +72,13 @@ def linked_issue_ids(body: Column, repo_name: str) -> Column:
     found = F.regexp_extract_all(body, F.lit(pattern), 0)
     number = lambda m: F.coalesce(
         capture(m, rf"\A\${SPACE}*\[#([0-9]+)\]"), F.regexp_extract(m, r"([0-9]+)\z", 1)
-    ).cast("bigint")
+    ).try_cast("bigint")
     return bind(F.transform(found, number), lambda ids: F.when(F.size(ids) > 0, ids))
 
 
 def merged_pull_request(message: Column) -> Column:
     """The number in a merge commit's subject; reverts of merges do not count."""
-    return capture(message, MERGE_COMMIT).cast("bigint")
+    return capture(message, MERGE_COMMIT).try_cast("bigint")
 
 
 def mention_context(body: Column, tag: str = USER_TAG) -> Column:

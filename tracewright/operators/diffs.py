@@ -88,7 +88,7 @@ def _hunks(patch: Column) -> Column:
 
     def entry(text: Column) -> Column:
         head = F.when(F.startswith(text, F.lit("@@")), F.substring_index(text, "\n", 1))
-        return F.struct(capture(head, HUNK).cast("int").alias("start"), F.split(text, "\n").alias("lines"))
+        return F.struct(capture(head, HUNK).try_cast("int").alias("start"), F.split(text, "\n").alias("lines"))
 
     return F.transform(F.split(patch, HUNK_LINE), entry)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import review_body
 from tracewright.operators.diffs import changed_line_rows, describe_patches, has_patch, review_section, split_diffs
+from tracewright.operators.ordering import ordered_chunks
 from tracewright.operators.paths import drop_ignored
 from tracewright.operators.review import (
     at_least_medium,
@@ -45,6 +46,15 @@ def review_input(raw_diffs: DataFrame, patterns: DataFrame) -> ReviewInput:
     return ReviewInput(files, sections, changed)
 
 
+def prompt_chunks(sections: DataFrame, size: int = 200) -> DataFrame:
+    """The sections of each change joined to texts of at most ``size`` files, in order.
+
+    For files that come as rows. One raw diff per row needs no shuffle: see ``review_text``.
+    """
+    lists = ordered_chunks(sections, PULL, ["ord"], F.col("section"), size)
+    return lists.select(*PULL, "chunk", F.array_join("items", "\n\n").alias("text"))
+
+
 @dataclass
 class Review:
     comments: DataFrame

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewright.operators.gates import gate_github, project_github
 from tracewright.operators.state import new_usage_logs, new_users
 from tracewright.schemas import INT, LONG, USAGE_LOGS, USERS, record
 from tracewright.sources.files import read_or_empty
@@ -47,9 +46,12 @@ def append_comments(comments: DataFrame, batch_id: int, root: str, order: list[s
     save(ends.join(log_ends, "one").drop("one"), "counters")
 
 
-def comment_ledger(events: DataFrame, root: str, order: list[str]) -> StreamingQuery:
-    """Run the ledger over all events available now. ``order`` starts with the event time and ends unique."""
-    comments = project_github(gate_github(events))
+def comment_ledger(comments: DataFrame, root: str, order: list[str]) -> StreamingQuery:
+    """Run the ledger over all comments available now.
+
+    ``comments`` is a stream of projected events of either host; ``order`` starts with the event time and ends
+    unique.
+    """
     return (
         comments.writeStream.foreachBatch(lambda df, batch_id: append_comments(df, batch_id, root, order))
         .option("checkpointLocation", f"{root}/_progress")

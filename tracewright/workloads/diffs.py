@@ -182,3 +182,16 @@ def review_input(spark: SparkSession, d: str) -> DataFrame:
 def files_reviewed(spark: SparkSession, d: str) -> DataFrame:
     files = diffs.reviewed_files(F.col("raw_diff"))
     return feeds.raw_diffs(spark, d).select(ID, F.array_join(files, ",").alias("files"))
+
+
+@query(
+    ctes(DIFF_FILES, NUMBERED_LINES, STATS, REVIEWED)
+    + f""", placed AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS place FROM sections WHERE NOT ({IGNORED_SQL}))
+SELECT doc_id AS pull_request_id, (place // 2)::BIGINT AS chunk, string_agg(section, chr(10) || chr(10) ORDER BY place) AS text
+FROM placed GROUP BY ALL"""
+)
+def review_prompt_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The sections of file rows joined per change, here at most two to a text."""
+    job = plan.review_input(feeds.raw_diffs(spark, d), _patterns(spark, d))
+    return plan.prompt_chunks(job.sections, 2).drop("repo_id")

@@ -165,7 +165,8 @@ FROM admitted a JOIN known k ON k.username = a.username"""
 def event_stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The event stream through gate, user and usage tables; what the tables hold afterwards."""
     root = scratch_path(spark, "ledger")
-    comment_ledger(_event_bodies(_stream(spark, d)), root, ["ts", "event_id"]).awaitTermination()
+    comments = gates.project_github(gates.gate_github(_event_bodies(_stream(spark, d))))
+    comment_ledger(comments, root, ["ts", "event_id"]).awaitTermination()
     people = spark.read.schema(USERS).parquet(f"{root}/users").select(F.col("id").alias("user_id"), "username")
     logs = spark.read.schema(USAGE_LOGS).parquet(f"{root}/usage_logs")
     return logs.join(people, "user_id").select(
