@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.globs import pattern_regex
 from tracewright.functions.source import is_ignored_source, tree_path
-from tracewright.operators.paths import broadcast_if_small, drop_ignored, flag_ignored
+from tracewright.operators.paths import drop_ignored, flag_ignored, most_bytes
 
 SINGLE = [
     ("*.log", ["a.log", "x/y.log", "x.log/z"], ["a.logs", "log"]),
@@ -59,10 +59,21 @@ def test_long_lists_are_cut_but_whole(spark):
 
 
 def test_broadcast_needs_a_small_side(spark):
-    df = spark.range(1000).withColumn("text", F.lit("x" * 50))
-    assert "Broadcast" in spark.range(5).join(broadcast_if_small(df), "id")._jdf.queryExecution().executedPlan().toString()
-    big = broadcast_if_small(df, limit=1000)
-    assert big is df
+    patterns = spark.createDataFrame([("r", 1, "*.x"), ("s", 1, "y")], "repo_id string, ord int, pattern string")
+    files = spark.createDataFrame([("r", "a.x"), ("s", "a.x"), ("s", "y")], "repo_id string, filename string")
+    assert most_bytes(patterns) == 4 * 5 + 2 + 128
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans, rows = [], []
+        for limit in (1000, 10):
+            flagged = flag_ignored(files, patterns, limit=limit)
+            plans.append(flagged._jdf.queryExecution().executedPlan().toString())
+            rows.append(sorted(tuple(r) for r in flagged.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
+    assert rows[0] == rows[1] == [("r", "a.x", True), ("s", "a.x", False), ("s", "y", True)]
 
 
 def test_source_paths(spark):

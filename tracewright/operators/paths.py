@@ -12,14 +12,13 @@ CHUNK = 200
 SMALL_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
-    """Broadcast a side after measuring it; a larger one is left to a shuffle join.
+def most_bytes(patterns: DataFrame) -> int:
+    """An upper bound for the size of all expressions, from one pass over the raw patterns.
 
-    Worth its extra pass where the other side carries long texts, which a late switch by adaptive execution
-    would already have shuffled.
+    A character becomes at most five, and each pattern gets a fixed frame.
     """
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    cost = F.octet_length("pattern") * 5 + F.octet_length("repo_id") + 64
+    return patterns.agg(F.sum(cost)).first()[0] or 0
 
 
 def pattern_runs(patterns: DataFrame) -> DataFrame:
@@ -48,9 +47,18 @@ def pattern_runs(patterns: DataFrame) -> DataFrame:
     )
 
 
-def flag_ignored(files: DataFrame, patterns: DataFrame, path: str = "filename") -> DataFrame:
-    """Add ``ignored`` to file rows, which may carry their patches. Pattern lists are one row per repository."""
-    joined = files.join(broadcast_if_small(pattern_runs(patterns)), "repo_id", "left")
+def flag_ignored(
+    files: DataFrame, patterns: DataFrame, path: str = "filename", limit: int = SMALL_BYTES
+) -> DataFrame:
+    """Add ``ignored`` to file rows, which may carry their patches.
+
+    Pattern lists are one row per repository. They are broadcast when they are known to be small, so that the
+    patches need not move, and joined by shuffle beyond that.
+    """
+    runs = pattern_runs(patterns)
+    if most_bytes(patterns) <= limit:
+        runs = F.broadcast(runs)
+    joined = files.join(runs, "repo_id", "left")
     return joined.withColumn("ignored", last_match_ignores(F.col(path), F.col("runs"))).drop("runs")
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import review_body
 from tracewright.operators.diffs import changed_line_rows, describe_patches, has_patch, review_section, split_diffs
-from tracewright.operators.ordering import ordered_chunks
 from tracewright.operators.paths import drop_ignored
 from tracewright.operators.review import (
     at_least_medium,
@@ -47,12 +46,16 @@ def review_input(raw_diffs: DataFrame, patterns: DataFrame) -> ReviewInput:
 
 
 def prompt_chunks(sections: DataFrame, size: int = 200) -> DataFrame:
-    """The sections of each change joined to texts of at most ``size`` files, in order.
+    """The sections of each change joined to texts of at most ``size`` files, in order of ``chunk``.
 
-    For files that come as rows. One raw diff per row needs no shuffle: see ``review_text``.
+    For files that come as rows. Chunks are ranges of ``ord``, so no ranking is needed and no list grows with the
+    change. One raw diff per row needs no shuffle at all: see ``review_text``.
     """
-    lists = ordered_chunks(sections, PULL, ["ord"], F.col("section"), size)
-    return lists.select(*PULL, "chunk", F.array_join("items", "\n\n").alias("text"))
+    chunk = F.floor(F.col("ord") / size).alias("chunk")
+    entry = F.struct("ord", "section")
+    lists = sections.groupBy(*PULL, chunk).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    texts = F.transform("entries", lambda e: e["section"])
+    return lists.select(*PULL, "chunk", F.array_join(texts, "\n\n").alias("text"))
 
 
 @dataclass

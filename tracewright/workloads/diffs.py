@@ -186,10 +186,9 @@ def files_reviewed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     ctes(DIFF_FILES, NUMBERED_LINES, STATS, REVIEWED)
-    + f""", placed AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS place FROM sections WHERE NOT ({IGNORED_SQL}))
-SELECT doc_id AS pull_request_id, (place // 2)::BIGINT AS chunk, string_agg(section, chr(10) || chr(10) ORDER BY place) AS text
-FROM placed GROUP BY ALL"""
+    + f"""SELECT doc_id AS pull_request_id, (ord // 2)::BIGINT AS chunk,
+  string_agg(section, chr(10) || chr(10) ORDER BY ord) AS text
+FROM sections WHERE NOT ({IGNORED_SQL}) GROUP BY ALL"""
 )
 def review_prompt_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The sections of file rows joined per change, here at most two to a text."""
