@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.commits import commits_ahead, merged_numbers
 from tracewright.operators.delivery import describe
-from tracewright.operators.gates import gate_github, project_github
+from tracewright.operators.gates import gate_bitbucket, gate_github, project_bitbucket, project_github
+from tracewright.operators.ordering import keep_first
 from tracewright.operators.responses import parse_answers
 from tracewright.plans import deploys, ingest, ranking, reviewing, source_index
 from tracewright.schemas import DIFFSTAT_PAGE, SIGNATURE, USER_TAG
@@ -161,6 +162,31 @@ def test_comment_stream_restarts(spark, tmp_path):
     ]
 
 
+def test_bitbucket_stream(spark, tmp_path):
+    body = json.dumps({
+        "workspace": {"uuid": "{w}"}, "repository": {"uuid": "{r}"}, "pullrequest": {"id": 3}, "comment": {"id": 9},
+        "content": {"raw": f"{USER_TAG} full"}, "user": {"nickname": "nick"}, "links": {"html": {"href": "c"}},
+    })
+    drop_in(tmp_path / "in", "a.parquet", [{"ts": pd.Timestamp(2024, 1, n, tz="UTC"), "n": n, "body": b} for n, b in ((1, body), (2, "{"))])
+    events = spark.readStream.schema("ts timestamp, n bigint, body string").parquet(str(tmp_path / "in"))
+    root = str(tmp_path / "state")
+    comment_ledger(project_bitbucket(gate_bitbucket(events)), root, ["ts", "n"]).awaitTermination()
+    row = spark.read.parquet(f"{root}/usage_logs").first()
+    assert (row["id"], row["user_id"], row["command_name"], row["comment_url"]) == (1, 1, "code_review", "c")
+    assert spark.read.parquet(f"{root}/users").first()["username"] == "nick"
+
+
+def test_first_row_of_many_files_wins(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for n in range(6):
+        lines = [f"{i},2024-0{n + 1}-01T00:00:00Z" for i in range(n, 200 * (n + 1))]
+        (folder / f"part-{n}.csv").write_text("id,merged_at\n" + "\n".join(lines) + "\n")
+    rows = keep_first(files.read_merged(spark, str(folder)), ["id"], "row")
+    got = {r["id"]: r["date"].month for r in rows.collect()}
+    assert got == {i: i // 200 + 1 for i in range(1200)}
+
+
 def test_review_state_over_batches(spark, tmp_path):
     inbox = tmp_path / "in"
     schema = "repo_id string, pull_request_id bigint, event_id bigint, ts timestamp, head_sha string, forced boolean"
@@ -248,6 +274,10 @@ def test_ranking(spark):
     )
     read = parse_answers(answers, "culprits")
     assert [tuple(r)[1:] for r in ranking.publish_culprits(read).collect()] == [(2, "### Possible culprit PRs for this issue\n- #5: why\n")]
+    pages = read.select("repo_id", (F.lit(1) - F.size("answer.pull_requests")).alias("page"), "answer", "accepted")
+    more = pages.withColumn("page", F.lit(7))
+    joined = {r["answer"]["issue_id"]: len(r["answer"]["pull_requests"]) for r in ranking.join_pages(pages.unionByName(more)).collect()}
+    assert joined == {1: 0, 2: 2}
     kept = issues.withColumn("culprit_pull_requests", F.lit(None).cast("array<struct<pull_request_id: bigint, reason: string>>"))
     done = ranking.store_culprits(kept, read).first()
     assert done["is_processed"] and done["culprit_pull_requests"][0]["pull_request_id"] == 5

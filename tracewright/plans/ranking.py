@@ -47,6 +47,18 @@ def store_scores(links: DataFrame, ranking: Ranking) -> DataFrame:
     return set_scores(links, ranking.scores)
 
 
+def join_pages(answers: DataFrame) -> DataFrame:
+    """One answer per issue from accepted answers to several pages, in page order; empty ones add nothing.
+
+    ``answers`` has repo_id, page, answer and accepted. An answer names a few culprits, so the lists stay short.
+    """
+    issue = F.col("answer.issue_id").alias("issue_id")
+    entry = F.struct("page", F.col("answer.pull_requests").alias("found"))
+    listed = answers.filter("accepted").groupBy("repo_id", issue).agg(F.sort_array(F.collect_list(entry)).alias("pages"))
+    found = F.flatten(F.transform("pages", lambda p: p["found"])).alias("pull_requests")
+    return listed.select("repo_id", F.struct("issue_id", found).alias("answer"), F.lit(True).alias("accepted"))
+
+
 def publish_culprits(answers: DataFrame) -> DataFrame:
     """Comments for accepted answers ``repo_id, answer``; issues without culprits get none."""
     found = answers.filter(F.col("accepted") & (F.size("answer.pull_requests") > 0))

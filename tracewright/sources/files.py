@@ -23,21 +23,33 @@ BLOCKER_FILE = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header and a given schema; columns are matched by position, quoted text may span lines."""
-    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', enforceSchema=False)
+def read_csv(spark: SparkSession, path: str, schema: str, free_text: bool = False) -> DataFrame:
+    """CSV with a header and a given schema.
+
+    With ``free_text`` quoted values may hold line ends. Spark then reads each file in one piece, so a large
+    export should come as many files; without it files are split as usual.
+    """
+    return spark.read.csv(path, header=True, schema=schema, multiLine=free_text, escape='"', enforceSchema=False)
 
 
 def read_blockers(spark: SparkSession, path: str) -> DataFrame:
     """One row per blocker; the free-text issue column is left out."""
-    rows = read_csv(spark, path, BLOCKER_FILE).drop("StagingDeployCash Issue")
+    rows = read_csv(spark, path, BLOCKER_FILE, free_text=True).drop("StagingDeployCash Issue")
     return rows.withColumnsRenamed(BLOCKER_COLUMNS)
 
 
 def read_merged(spark: SparkSession, path: str, date: str = "merged_at") -> DataFrame:
-    """Merged changes as ``id, date`` with a ``row`` number giving the order of the file."""
+    """Merged changes as ``id, date`` with ``row``, which orders them as the files do.
+
+    The row id alone would not: Spark packs the pieces of files into tasks by size.
+    """
     rows = read_csv(spark, path, f"id bigint, {date} timestamp").withColumnRenamed(date, "date")
-    return rows.withColumn("row", F.monotonically_increasing_id())
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("n"),
+    )
+    return rows.select("id", "date", place.alias("row"))
 
 
 def read_source_tree(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +76,15 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}.parquet")
 
 
+def list_issues(issues: DataFrame) -> DataFrame:
+    """All issues as they are listed; vectors live in their own table and are not read."""
+    return issues.select("id", "repo_id", "title", "steps", "raw_body", "labels", "is_processed", "culprit_pull_requests")
+
+
+def list_links(links: DataFrame) -> DataFrame:
+    return links.select("issue_id", "pull_request_id", "score")
+
+
 def tenant_scan(table: DataFrame, repo_id: str, columns: Sequence[str]) -> DataFrame:
     """Columns of one repository; prunes files when the table is partitioned by ``repo_id``."""
     return table.filter(F.col("repo_id") == repo_id).select(*columns)

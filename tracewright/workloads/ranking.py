@@ -137,40 +137,45 @@ def candidate_cards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """Three culprits per issue as a model would answer them, as JSON text."""
-    best = similarity.top_page(_scores(spark, d), 0, 3)
+    """Three culprits of each of two pages per issue, as JSON text the way a model answers."""
+    scores = _scores(spark, d)
+    best = [similarity.top_page(scores, page, 3).withColumn("page", F.lit(page)) for page in (0, 1)]
     entry = F.struct("rank", "pull_request_id", F.concat(F.lit("score rank "), "rank").alias("reason"))
-    listed = best.groupBy("repo_id", "issue_id").agg(F.sort_array(F.collect_list(entry)).alias("l"))
-    culprits = F.transform("l", lambda c: F.struct(c["pull_request_id"].alias("pull_request_id"), c["reason"].alias("reason")))
-    return listed.select("repo_id", F.to_json(F.struct("issue_id", culprits.alias("pull_requests"))).alias("response"))
+    listed = (
+        best[0].unionByName(best[1]).groupBy("repo_id", "issue_id", "page").agg(F.sort_array(F.collect_list(entry)).alias("l"))
+    )
+    culprits = F.transform("l", lambda c: F.struct(c["pull_request_id"], c["reason"]))
+    body = F.to_json(F.struct("issue_id", culprits.alias("pull_requests")))
+    texts = listed.select("repo_id", "page", body.alias("response"))
+    return plan.join_pages(responses.parse_answers(texts, "culprits"))
 
 
-TOP3 = """ranked AS (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, pull_request_id) AS rank
-  FROM scores), top3 AS (SELECT * FROM ranked WHERE rank <= 3)"""
+TOP6 = """ranked AS (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, pull_request_id) AS rank
+  FROM scores), top6 AS (SELECT * FROM ranked WHERE rank <= 6)"""
 
 
 @query(
-    ctes(LINKS, VECTORS, SCORES, TOP3)
+    ctes(LINKS, VECTORS, SCORES, TOP6)
     + f"""SELECT issue_id, '### {CULPRIT_TITLE}' || chr(10) || string_agg(
   (CASE WHEN rank = 3 THEN chr(10) || '#### If not above, check these' || chr(10) ELSE '' END)
   || '- #' || pull_request_id || ': score rank ' || rank || chr(10), '' ORDER BY rank) AS comment
-FROM top3 GROUP BY issue_id"""
+FROM top6 GROUP BY issue_id"""
 )
 def culprit_comment(spark: SparkSession, d: str) -> DataFrame:
-    answers = responses.parse_answers(_answers(spark, d), "culprits")
+    answers = _answers(spark, d)
     return plan.publish_culprits(answers).select("issue_id", "comment")
 
 
 @query(
-    ctes(LINKS, VECTORS, SCORES, TOP3)
+    ctes(LINKS, VECTORS, SCORES, TOP6)
     + """SELECT s.s_suppkey AS issue_id, t.issue_id IS NOT NULL OR s_nationkey = 3 AS is_processed,
   (t.rank - 1)::INTEGER AS place, t.pull_request_id, 'score rank ' || t.rank AS reason
-FROM supplier s LEFT JOIN top3 t ON t.issue_id = s.s_suppkey"""
+FROM supplier s LEFT JOIN top6 t ON t.issue_id = s.s_suppkey"""
 )
 def culprit_rows(spark: SparkSession, d: str) -> DataFrame:
     """Issues with the answers stored, one row per culprit."""
     none = F.lit(None).cast("array<struct<pull_request_id: bigint, reason: string>>")
     issues = feeds.issues(spark, d).withColumn("culprit_pull_requests", none)
-    answers = responses.parse_answers(_answers(spark, d), "culprits")
+    answers = _answers(spark, d)
     rows = responses.culprit_rows(plan.store_culprits(issues, answers))
     return rows.select(F.col("id").alias("issue_id"), "is_processed", "place", "pull_request_id", "reason")
