@@ -227,25 +227,25 @@ def test_issues_pass_once(spark, tmp_path):
 
 def test_ingest(spark):
     commits = spark.createDataFrame(
-        [("r", "staging", "1", "Merge pull request #7 from a"), ("r", "staging", "2", "Merge pull request #8 from b"),
-         ("r", "staging", "3", 'Revert "Merge pull request #9"'), ("r", "staging", "4", "Merge pull request #7 again"),
-         ("r", "production", "2", "x"), ("s", "production", "1", "x")],
-        "repo_id string, branch string, sha string, message string",
+        [("r", 1, "staging", "1", "Merge pull request #7 from a"), ("r", 1, "staging", "2", "Merge pull request #8 from b"),
+         ("r", 1, "staging", "3", 'Revert "Merge pull request #9"'), ("r", 1, "staging", "4", "Merge pull request #7 again"),
+         ("r", 4, "staging", "1", "Merge pull request #7 from a"), ("r", 4, "staging", "5", "Merge pull request #99 unknown"),
+         ("r", None, "production", "2", "x"), ("s", None, "production", "1", "x")],
+        "repo_id string, issue_id bigint, branch string, sha string, message string",
     )
-    assert [r["pull_request_id"] for r in merged_numbers(commits_ahead(commits)).collect()] == [7]
+    assert sorted(r["pull_request_id"] for r in merged_numbers(commits_ahead(commits)).collect()) == [7, 99]
     bodies = spark.createDataFrame(
         [("r", 7, "T", "### Explanation of Change x ### Fixed Issues\n$ #3", ["a'b"], "S"), ("r", 8, "U", None, [], "S")],
         "repo_id string, id bigint, title string, body string, files array<string>, code_diff_summary string",
     )
     pulls = spark.createDataFrame([], "repo_id string, id bigint")
-    links = spark.createDataFrame([], "issue_id bigint, pull_request_id bigint, repo_id string, score double")
-    asking = spark.createDataFrame([("r", 1), ("r", 1), ("s", 2)], "repo_id string, issue_id bigint")
+    links = spark.createDataFrame([(9, 7, "r", 0.1)], "issue_id bigint, pull_request_id bigint, repo_id string, score double")
     now = F.lit("2025-01-01").cast("timestamp")
-    job = ingest.ingest_staged(commits, bodies, pulls, links, asking, "repo", now)
+    job = ingest.ingest_staged(commits, bodies, pulls, links, "repo", now)
     row = job.fresh.first()
     assert (row["id"], row["explanation"], row["linked_issue_ids"]) == (7, "x", [3])
     assert row["embedding_text"] == "Title: T\n Tests: \n Explanation: x\n Files changed: [\"a'b\"]\n Code diff summary: S"
-    assert [tuple(r) for r in job.links.collect()] == [(1, 7, "r", 0.0)]
+    assert sorted(tuple(r) for r in job.links.collect()) == [(1, 7, "r", 0.0), (4, 7, "r", 0.0)]
 
 
 def test_ranking(spark):

@@ -15,12 +15,16 @@ def commits_ahead(commits: DataFrame, base: str = "production", head: str = "sta
     return on(head).join(released, ["repo_id", "sha"], "left_anti")
 
 
-def merged_numbers(commits: DataFrame) -> DataFrame:
-    """Distinct numbers of the changes merged by the commits."""
-    numbered = commits.select("repo_id", merged_pull_request(F.col("message")).alias("pull_request_id"))
+def merged_by(commits: DataFrame, *keys: str) -> DataFrame:
+    """Distinct numbers of the changes merged by the commits, per repository and further keys."""
+    numbered = commits.select("repo_id", *keys, merged_pull_request(F.col("message")).alias("pull_request_id"))
     return numbered.filter(F.col("pull_request_id").isNotNull()).distinct()
 
 
+def merged_numbers(commits: DataFrame) -> DataFrame:
+    return merged_by(commits)
+
+
 def unseen(candidates: DataFrame, pulls: DataFrame) -> DataFrame:
     """Candidate numbers without a stored change."""
     known = pulls.select("repo_id", F.col("id").alias("pull_request_id"))

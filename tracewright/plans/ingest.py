@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import explanation, linked_issue_ids, pull_request_embedding_text, test_steps
-from tracewright.operators.commits import commits_ahead, merged_numbers, unseen
+from tracewright.operators.commits import commits_ahead, merged_by, unseen
 from tracewright.operators.state import new_links
 
 
@@ -39,24 +39,19 @@ def describe_pull_requests(bodies: DataFrame, repo_name: str) -> DataFrame:
 
 
 def ingest_staged(
-    commits: DataFrame,
-    bodies: DataFrame,
-    pull_requests: DataFrame,
-    links: DataFrame,
-    issues: DataFrame,
-    repo_name: str,
-    now: Column,
+    commits: DataFrame, bodies: DataFrame, pull_requests: DataFrame, links: DataFrame, repo_name: str, now: Column
 ) -> Ingest:
-    """Staged changes, those of them to store, and links from the asking issues to all staged ones.
+    """Staged changes, those of them to store, and links from the asking issues.
 
-    ``issues`` are the (repo_id, issue_id) asking. Every issue gets every staged change of its repository, as
-    that is what a link means; the staged side is what waits for one release.
+    ``commits`` has repo_id, branch, sha, message and the ``issue_id`` whose request listed the commit. An issue is
+    linked to what its own request found, stored before or not, so no issues and changes are ever paired up.
     """
-    staged = merged_numbers(commits_ahead(commits))
+    ahead = commits_ahead(commits)
+    found = merged_by(ahead, "issue_id")
+    staged = found.select("repo_id", "pull_request_id").distinct()
     wanted = unseen(staged, pull_requests).withColumnRenamed("pull_request_id", "id")
     fresh = describe_pull_requests(bodies.join(wanted, ["repo_id", "id"], "left_semi"), repo_name).withColumn(
         "created_at", now
     )
     stored = pull_requests.select("repo_id", "id").unionByName(fresh.select("repo_id", "id"))
-    asked = issues.select("repo_id", "issue_id").distinct().join(staged, "repo_id")
-    return Ingest(staged, fresh, new_links(links, asked, stored))
+    return Ingest(staged, fresh, new_links(links, found.filter(F.col("issue_id").isNotNull()), stored))

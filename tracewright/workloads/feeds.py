@@ -134,12 +134,15 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Merge pull request #"), "o_custkey", F.lit(" from team/b\n\nMerge pull request #1")))
     )
     sha = F.concat_ws("-", "o_custkey", F.month("o_orderdate"))
-    return t(spark, d, "orders").select(_repo(), branch.alias("branch"), sha.alias("sha"), message.alias("message"))
+    issue = F.year("o_orderdate").cast("bigint")
+    return t(spark, d, "orders").select(
+        _repo(), issue.alias("issue_id"), branch.alias("branch"), sha.alias("sha"), message.alias("message")
+    )
 
 
 COMMITS = """commits AS (
   SELECT CASE WHEN o_orderstatus = 'F' THEN 'production' ELSE 'staging' END AS branch,
-    o_custkey || '-' || month(o_orderdate) AS sha,
+    o_custkey || '-' || month(o_orderdate) AS sha, year(o_orderdate) AS issue_id,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'Revert "Merge pull request #' || o_orderkey || '"'
       WHEN '2-HIGH' THEN 'Fix it' || chr(10) || 'Merge pull request #' || o_orderkey
       ELSE 'Merge pull request #' || o_custkey || ' from team/b' || chr(10) || chr(10) || 'Merge pull request #1' END

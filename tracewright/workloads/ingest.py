@@ -13,6 +13,23 @@ from tracewright.workloads import feeds
 from tracewright.workloads.base import ctes, query, t
 from tracewright.workloads.feeds import BODIES, COMMITS
 
+def _ingest(spark: SparkSession, d: str) -> plan.Ingest:
+    """Labelled documents are stored already, and linked to an issue by their quality."""
+    repo = F.lit(feeds.REPO).alias("repo_id")
+    labels = t(spark, d, "labels")
+    links = labels.select(
+        (F.col("quality") + 1995).cast("bigint").alias("issue_id"), F.col("doc_id").alias("pull_request_id"), repo
+    )
+    return plan.ingest_staged(
+        feeds.commits(spark, d),
+        feeds.bodies(spark, d),
+        labels.select(repo, F.col("doc_id").alias("id")),
+        links,
+        "src1",
+        F.lit("2025-01-01 00:00:00").cast("timestamp"),
+    )
+
+
 STAGED = r"""staged AS (
   SELECT DISTINCT regexp_extract(message, '^Merge pull request #(\d+)', 1)::BIGINT AS pull_request_id
   FROM commits c
@@ -121,16 +138,19 @@ FROM read WHERE doc_id IN (SELECT pull_request_id FROM staged) AND doc_id NOT IN
 )
 def staged_pr_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The whole job: staged numbers, those not stored yet, their fields and text to embed."""
-    stored = t(spark, d, "labels").select(F.lit(feeds.REPO).alias("repo_id"), F.col("doc_id").alias("id"))
-    no_links = feeds.links(spark, d)
-    asking = feeds.issues(spark, d).select("repo_id", F.col("id").alias("issue_id"))
-    job = plan.ingest_staged(
-        feeds.commits(spark, d),
-        feeds.bodies(spark, d),
-        stored,
-        no_links,
-        asking,
-        "src1",
-        F.lit("2025-01-01 00:00:00").cast("timestamp"),
-    )
-    return job.fresh.select("id", "embedding_text")
+    return _ingest(spark, d).fresh.select("id", "embedding_text")
+
+
+@query(
+    ctes(COMMITS)
+    + r"""SELECT DISTINCT issue_id::BIGINT AS issue_id, regexp_extract(message, '^Merge pull request #(\d+)', 1)::BIGINT AS pull_request_id
+FROM commits c
+WHERE branch = 'staging' AND regexp_matches(message, '^Merge pull request #\d+')
+  AND NOT EXISTS (SELECT 1 FROM commits b WHERE b.branch = 'production' AND b.sha = c.sha)
+  AND regexp_extract(message, '^Merge pull request #(\d+)', 1)::BIGINT IN (SELECT doc_id FROM documents)
+  AND NOT EXISTS (SELECT 1 FROM labels l WHERE 1995 + l.quality = c.issue_id
+    AND l.doc_id = regexp_extract(c.message, '^Merge pull request #(\d+)', 1)::BIGINT)"""
+)
+def staged_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links the same job adds: from each asking issue to what its request found."""
+    return _ingest(spark, d).links.select("issue_id", "pull_request_id")
