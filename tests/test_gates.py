@@ -119,6 +119,14 @@ def test_review_gate(spark):
     }
 
 
+def test_lost_commits_mean_a_whole_review(spark):
+    requests = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b"), ("s", 3, "a"), ("r", 4, None)], "repo_id string, pull_request_id int, since_sha string")
+    commits = spark.createDataFrame([("r", "a"), ("r", "a"), ("r", "c")], "repo_id string, sha string")
+    got = gates.only_reachable(requests, commits)
+    assert got.columns == requests.columns
+    assert {r["pull_request_id"]: r["since_sha"] for r in got.collect()} == {1: "a", 2: None, 3: None, 4: None}
+
+
 def test_answers(spark):
     comment = {"file": "f", "line": 3, "content": "c", "label": "issue"}
     given = {

@@ -37,19 +37,19 @@ def test_single_patterns(spark):
 
 def test_last_match_wins(spark):
     patterns = spark.createDataFrame(
-        [("r", 1, "*.py"), ("r", 2, "!keep.py"), ("r", 3, " # not a comment"), ("r", 4, "#*.md"), ("r", 5, "  "),
+        [("r", 1, "*.py"), ("r", 2, "!keep.py"), ("r", 3, " #*.md"), ("r", 4, "#*.md"), ("r", 5, "  "), ("r", 7, "/"), ("r", 8, "\t!late.py"),
          ("r", 6, "lib/keep.py"), ("s", 1, "!*.py"), ("s", 2, "*.md")],
         "repo_id string, ord int, pattern string",
     )
     files = spark.createDataFrame(
-        [("r", "a.py"), ("r", "keep.py"), ("r", "lib/keep.py"), ("r", "a.md"), ("s", "a.py"), ("s", "x/a.md"), ("t", "a.py")],
+        [("r", "a.py"), ("r", "keep.py"), ("r", "lib/keep.py"), ("r", "#a.md"), ("r", "late.py"), ("s", "a.py"), ("s", "x/a.md"), ("t", "a.py")],
         "repo_id string, filename string",
     )
     got = {(r["repo_id"], r["filename"]): r["ignored"] for r in flag_ignored(files, patterns).collect()}
     assert [k for k, v in got.items() if v] and {k for k, v in got.items() if v} == {
         ("r", "a.py"), ("r", "lib/keep.py"), ("s", "x/a.md"),
     }
-    assert drop_ignored(files, patterns).count() == 4
+    assert drop_ignored(files, patterns).count() == 5
 
 
 def test_long_lists_are_cut_but_whole(spark):

@@ -9,12 +9,12 @@ from tracewright.functions.core import bind, strip
 
 
 def is_pattern_line(raw: Column) -> Column:
-    """Lines that count: not blank and not starting with ``#``."""
-    return (strip(raw) != "") & ~F.startswith(raw, F.lit("#"))
+    """Lines that count: not blank, not a comment (indented ones are comments too), not a lone ``/`` or ``!``."""
+    return bind(strip(raw), lambda line: ~line.isin("", "/", "!") & ~F.startswith(line, F.lit("#")))
 
 
 def is_negated(pattern: Column) -> Column:
-    return F.startswith(pattern, F.lit("!"))
+    return F.startswith(strip(pattern), F.lit("!"))
 
 
 def pattern_regex(pattern: Column) -> Column:

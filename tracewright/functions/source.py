@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewright.functions.core import SPACE, any_prefix, bind, split_lines, strip
+from tracewright.functions.core import any_prefix, bind, split_lines, strip
 
 # What an index of the tree leaves out, and the shapes it looks for.
 IGNORED_PREFIXES = (

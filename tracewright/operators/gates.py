@@ -167,6 +167,14 @@ def review_gate(requests: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
+def only_reachable(requests: DataFrame, commits: DataFrame) -> DataFrame:
+    """Review everything where the commit to review from is gone, as after a forced push."""
+    known = commits.select("repo_id", F.col("sha").alias("since_sha")).distinct().withColumn("_there", F.lit(True))
+    joined = requests.join(known, ["repo_id", "since_sha"], "left")
+    since = F.when(F.col("_there"), F.col("since_sha")).alias("since_sha")
+    return joined.select(*[since if c == "since_sha" else F.col(c) for c in requests.columns])
+
+
 def due_reviews(requests: DataFrame) -> DataFrame:
     """Past review requests that needed a review, each judged against the request before it.
 

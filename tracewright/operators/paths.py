@@ -30,7 +30,7 @@ def pattern_runs(patterns: DataFrame) -> DataFrame:
     lines = patterns.filter(is_pattern_line(F.col("pattern"))).select(
         "repo_id",
         "ord",
-        is_negated(F.trim("pattern")).alias("negated"),
+        is_negated(F.col("pattern")).alias("negated"),
         pattern_regex(F.col("pattern")).alias("regex"),
     )
     by_repo = W.partitionBy("repo_id").orderBy("ord")
