@@ -12,12 +12,17 @@ MINUTES_EACH = 5
 USD_PER_HOUR = 100
 
 
+WIDE = "array<double>"
+
+
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    """Dot product in doubles; whole arrays are widened, which is cheaper than widening inside the lambda."""
+    products = F.zip_with(a.cast(WIDE), b.cast(WIDE), lambda x, y: x * y)
+    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x))
+    return F.sqrt(F.aggregate(v.cast(WIDE), F.lit(0.0), lambda total, x: total + x * x))
 
 
 def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:

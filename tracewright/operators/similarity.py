@@ -33,20 +33,21 @@ def without_cherry_picks(pull_requests: DataFrame) -> DataFrame:
 def score_links(links: DataFrame, issue_vectors: DataFrame, pull_vectors: DataFrame) -> DataFrame:
     """Cosine similarity of every linked pair; only keys and the score leave this step.
 
-    Vectors become doubles and get their norm once per side, not once per pair. The issue side joins
-    first: it is the smaller one, so Spark may broadcast it, and then only the change side shuffles.
+    Norms are taken once per vector, not once per pair, and vectors keep their stored width. The change side joins
+    first, so that only ids and each change's vector once go through that shuffle; the issue side is the smaller
+    one and joins in place where Spark can broadcast it.
     """
 
     def prepared(vectors: DataFrame, key: str, name: str) -> DataFrame:
-        wide = F.col("embedding").cast("array<double>")
-        return vectors.filter(F.col("embedding").isNotNull()).select(
-            "repo_id", key, wide.alias(f"{name}_vector"), norm(wide).alias(f"{name}_norm")
+        known = vectors.filter(F.col("embedding").isNotNull())
+        return known.select(
+            "repo_id", key, F.col("embedding").alias(f"{name}_vector"), norm(F.col("embedding")).alias(f"{name}_norm")
         )
 
     pairs = (
         links.select(*ISSUE, "pull_request_id")
-        .join(prepared(issue_vectors, "issue_id", "issue"), ISSUE)
         .join(prepared(pull_vectors, "pull_request_id", "pull"), PULL)
+        .join(prepared(issue_vectors, "issue_id", "issue"), ISSUE)
     )
     similarity = cosine(F.col("issue_vector"), F.col("pull_vector"), F.col("issue_norm"), F.col("pull_norm"))
     return pairs.select(*ISSUE, "pull_request_id", similarity.alias("score"))

@@ -307,17 +307,19 @@ COMMENTS = f"""comments AS (
 
 
 def review_files(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "lineitem").filter(F.col("l_quantity") >= 49)
-    return rows.select(
+    """Files of each change; small quantities name files nobody comments on."""
+    folder = F.when(F.col("l_quantity") >= 49, "src/m").otherwise("docs/m")
+    return t(spark, d, "lineitem").select(
         _repo_of_supplier(),
         F.col("l_suppkey").alias("pull_request_id"),
-        F.concat(F.lit("src/m"), "l_linenumber", F.lit(".py")).alias("filename"),
+        F.concat(folder, "l_linenumber", F.lit(".py")).alias("filename"),
     )
 
 
 FILES = """files AS (
-  SELECT DISTINCT l_suppkey AS pull_request_id, 'src/m' || l_linenumber || '.py' AS file
-  FROM lineitem WHERE l_quantity >= 49)"""
+  SELECT DISTINCT l_suppkey AS pull_request_id,
+    CASE WHEN l_quantity >= 49 THEN 'src/m' ELSE 'docs/m' END || l_linenumber || '.py' AS file
+  FROM lineitem)"""
 
 # --- users are customers, requests are orders, model calls are line items
 

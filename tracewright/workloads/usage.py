@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators import ledger, state
+from tracewright.sources.files import lookup
 from tracewright.workloads import feeds
-from tracewright.workloads.base import ctes, query
+from tracewright.workloads.base import ctes, query, t
 from tracewright.workloads.feeds import CALLS, LOGS
 
 
@@ -67,14 +68,14 @@ def usage_by_user(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    ctes(LOGS)
-    + """SELECT l.id, l.command_name, l.comment_url, l.created_at FROM logs l JOIN customer c ON c.c_custkey = l.user_id
-WHERE c.c_name = 'Customer#000000002'"""
+    """WITH names AS (SELECT DISTINCT 'Customer#' || lpad((user_id * 11)::VARCHAR, 9, '0') AS username FROM events)
+SELECT n.username, c.c_custkey AS id, c.c_acctbal > 0 AS is_active FROM names n LEFT JOIN customer c ON c.c_name = n.username"""
 )
-def usage_of_one_user(spark: SparkSession, d: str) -> DataFrame:
-    """Point lookup by name, the feature itself."""
-    rows = ledger.logs_by_username(feeds.usage_logs(spark, d), feeds.users(spark, d), "Customer#000000002")
-    return rows.select("id", "command_name", "comment_url", "created_at")
+def user_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Users by name for every name seen in events; unknown names give nulls."""
+    name = F.concat(F.lit("Customer#"), F.lpad((F.col("user_id") * 11).cast("string"), 9, "0"))
+    names = t(spark, d, "events").select(name.alias("username")).distinct()
+    return lookup(names, feeds.users(spark, d), ["username"]).select("username", "id", "is_active")
 
 
 @query(
