@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,4 +14,4 @@ from tracewright.session import local_session, tune  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return tune(local_session())
+    return tune(local_session(checkpoint_dir=tempfile.mkdtemp(prefix="tracewright-")))

@@ -8,9 +8,11 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as registered
+from tracewright.workloads import REGISTRY
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = registered.queries(), registered.oracle_sql()
+QUERIES = {name: run for name, run in registered.queries().items() if name in REGISTRY}
+ORACLE = {name: sql for name, sql in registered.oracle_sql().items() if name in REGISTRY}
 
 
 @pytest.fixture(scope="module")

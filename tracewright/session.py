@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -15,6 +15,7 @@ RUNTIME_CONF = {
     # split a hot key even when a later stage could have reused the join's partitioning
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,10 +23,15 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    if spark.sparkContext.master.startswith("local"):  # workers of a cluster get the package by --py-files
+        paths = [ROOT, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(paths))
     return spark
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -38,24 +44,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of its own.
-    """
+    """The folder every executor can reach, taken from ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tracewright-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
