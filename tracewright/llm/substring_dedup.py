@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "substring-dedup")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def cut(text, spans):
         import pandas as pd
 
