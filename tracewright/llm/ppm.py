@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.base import Workspace, bucket, packed, query, table
 from tracewright.llm.words import U, mix, text_bytes, word_hashes
 
-ORDER = 5
+ORDER = 6
 ENTRIES = 1 << 21
 HEAD = 1 << 19
 _SLICE = 1 << 19
