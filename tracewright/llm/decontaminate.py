@@ -77,11 +77,12 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius
     found = None
     for size in lengths:
         some = own.where(F.col("size") == size).select("item_id", "n", shingles_of(F.col("w"), size).alias("g"))
-        places = ws.write(some.select("n", F.posexplode("g").alias("place", "h")).distinct(), "places")
+        places = ws.write(some.select("n", F.posexplode_outer("g").alias("place", "h")).distinct(), "places")
         few = places.count() <= BROADCAST
         rows = docs.select("doc_id", *row_key(F.col("doc_id"), docs["text"]), words_of(docs["text"]).alias("w"))
-        rows = rows.select("doc_id", "ka", "kb", shingles_of(F.col("w"), size).alias("g")).where("g IS NOT NULL")
-        seeds = rows.select("doc_id", "ka", "kb", "g", F.posexplode("g").alias("at", "h")).join(F.broadcast(places) if few else places, "h")
+        rows = rows.select("doc_id", "ka", "kb", shingles_of(F.col("w"), size).alias("g"))
+        # outer: a filter inferred from the plain form would be pushed below the words and split the text for every word
+        seeds = rows.select("doc_id", "ka", "kb", "g", F.posexplode_outer("g").alias("at", "h")).join(F.broadcast(places) if few else places, "h")
         start = F.greatest(F.col("at") - F.col("place"), F.lit(0))
         window = F.slice("g", F.col("start") + 1, F.col("n") - size + 1)
         windows = (
@@ -123,11 +124,11 @@ SQL = f"""
 WITH items AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
 docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 ig AS (SELECT item_id, n, k, p AS place, array_to_string(w[p + 1:p + k], ' ') AS h FROM items, unnest(range(0, n - k + 1)) AS u(p)),
-dg AS (SELECT doc_id, len(w) AS m, s.k, p AS at, array_to_string(w[p + 1:p + s.k], ' ') AS h
+dg AS (SELECT doc_id, len(w) AS m, s.k, p AS spot, array_to_string(w[p + 1:p + s.k], ' ') AS h
   FROM docs, (SELECT DISTINCT k FROM items) AS s, unnest(range(0, greatest(len(w) - s.k + 1, 0))) AS u(p)),
-windows AS (SELECT DISTINCT doc_id, m, k, n, greatest(at - place, 0) AS start FROM dg JOIN (SELECT DISTINCT n, k, place, h FROM ig) USING (k, h)),
+windows AS (SELECT DISTINCT doc_id, m, k, n, greatest(spot - place, 0) AS start FROM dg JOIN (SELECT DISTINCT n, k, place, h FROM ig) USING (k, h)),
 wc AS (SELECT doc_id, n, k, start, h, count(*) AS c FROM windows JOIN dg USING (doc_id, m, k)
-  WHERE at >= start AND at + k <= start + n GROUP BY ALL),
+  WHERE spot >= start AND spot + k <= start + n GROUP BY ALL),
 wn AS (SELECT doc_id, n, k, start, sum(c) AS size FROM wc GROUP BY ALL),
 ic AS (SELECT item_id, n, k, h, count(*) AS c FROM ig GROUP BY ALL),
 pairs AS (SELECT doc_id, item_id, start, wn.size + n - k + 1 - sum(least(wc.c, ic.c)) AS total, sum(least(wc.c, ic.c)) AS shared
