@@ -11,9 +11,10 @@ similarity s misses all tables with a chance of at most 2 * (1 - s^2)^16: 4e-6 a
 2. Left halves are counted first; a half key nobody shares opens no table. Only the others meet right halves.
 3. Each table entry of two or more members links its members to its smallest one (a star, not all pairs). The pairs are
    confirmed on the full sets, and links give components by alternating stars.
-4. Entries whose members are still in different components are gone through exhaustively: every member outside the entry's
-   largest component against all others in other components, if the set sizes allow 0.75. So no link inside an entry is
-   lost, and a large group of near copies costs one star and not its square.
+4. Members of entries that still hold several components may have links no star tried. They share a link only if they share one of
+   the rarest quarter of their shingles (prefix filtering, exact). For each such shingle the members outside its largest
+   component are checked against all members of other components whose set sizes allow 0.75. So no link is lost inside an
+   entry, and a large group of near copies costs one star and not its square.
 
 Sets are only built for documents that share an entry. Hot keys: counts are partial in each task; stars and checks are
 equi-joins, which adaptive execution splits. Nothing grows with a group in one task; the driver sees counts only.
@@ -36,6 +37,7 @@ from tracewright.llm.words import U, grams, mix, text_bytes, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
+ORDER_SAMPLE = 2000
 HALVES = 16
 WIDTH = 2
 
@@ -194,17 +196,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     known = components(links, ws)
     known = ws.write(known, "components")
 
-    # entries that hold more than one component yet
-    placed = members.select("entry", F.col("b").alias("doc_id"), "n").distinct().join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    # what entries with more than one component may still hide
+    placed = members.select("entry", F.col("b").alias("doc_id")).distinct().join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
-    by_part = placed.groupBy("entry", "component").agg(F.count("*").alias("c"))
-    mixed = by_part.groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"))
-    mixed = mixed.where("parts > 1").select("entry", "main")
-    open_rows = ws.write(placed.join(mixed, "entry"), "open")
-    x = open_rows.where("component != main").select("entry", F.col("doc_id").alias("u"), F.col("component").alias("p"), F.col("n").alias("nu"))
-    y = open_rows.select("entry", F.col("doc_id").alias("v"), F.col("component").alias("q"), F.col("n").alias("nv"))
+    mixed = placed.groupBy("entry").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("entry")
+    open_docs = placed.join(mixed, "entry", "left_semi").select("doc_id", "component").distinct()
+    rows = ws.write(_prefixes(sets.join(open_docs, "doc_id"), percent), "prefixes")
+    main = rows.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")
+    )
+    main = main.where("parts > 1").select("key", "main")
+    shared = ws.write(rows.join(main, "key"), "shared")
+    x = shared.where("component != main").select("key", F.col("doc_id").alias("u"), F.col("component").alias("p"), F.col("n").alias("nu"))
+    y = shared.select("key", F.col("doc_id").alias("v"), F.col("component").alias("q"), F.col("n").alias("nv"))
     fits = f"p != q AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
-    across = x.join(y, "entry").where(fits).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    across = x.join(y, "key").where(fits).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     across = ws.write(across.join(pairs, ["a", "b"], "left_anti"), "across")
     more = ws.write(_confirmed(across, sets, percent), "more")
     if more.head(1):
@@ -217,6 +223,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     return ws.result(out)
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id, n, component): the shingles of each set of which one at least is in every set similar enough.
+
+    In any fixed order of shingles, two sets of similarity t share one among their first n - ceil(t n) + 1. The order here puts rare
+    shingles first, by their counts in a bounded sample of the sets; it only decides how many pairs are left to check.
+    """
+    spark = sets.sparkSession
+    share = min(1.0, ORDER_SAMPLE / max(sets.count(), 1))
+    some = sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("shingles").limit(ORDER_SAMPLE).toArrow()
+    values, counts = np.unique(some.column("shingles").combine_chunks().flatten().to_numpy(), return_counts=True)
+    common = spark.sparkContext.broadcast((values[counts > 1], counts[counts > 1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = common.value
+        for big in batches:
+            for i in range(big.num_rows):
+                doc, component, v = (big.column(c)[i] for c in ("doc_id", "component", "shingles"))
+                v = v.values.to_numpy()
+                at = np.minimum(np.searchsorted(often, v), max(len(often) - 1, 0))
+                rank = np.where(often[at] == v, times[at], 0) if len(often) else np.zeros(len(v), np.int64)
+                first = v[np.lexsort((v, rank))][: len(v) - -(-percent * len(v) // 100) + 1]
+                same = lambda x, kind: pa.array(np.full(len(first), x.as_py()), kind)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first), same(doc, pa.int64()), pa.array(np.full(len(first), len(v))), same(component, pa.int64())],
+                    names=["key", "doc_id", "n", "component"],
+                )
+
+    return sets.select("doc_id", "component", "shingles").mapInArrow(run, "key long, doc_id long, n long, component long")
+
+
 def _counted(sets: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of several sets with one id, the one whose sketch counts."""
 
