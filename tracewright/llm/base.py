@@ -51,6 +51,11 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def text_key(text: Column) -> list[Column]:
+    """Two 64-bit columns that tell texts apart; equal texts share them."""
+    return [F.xxhash64(F.lit(3), text).alias("ka"), F.xxhash64(F.lit(4), F.length(text), text).alias("kb")]
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two 64-bit columns that tell (id, text) pairs apart, nulls included; equal rows share them."""
     return [

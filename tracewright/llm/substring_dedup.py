@@ -15,8 +15,10 @@ too, in the same text or another.
 
 No task holds more than its share of picks, one group and one text. Nothing is left to chance but fingerprints of 128 bits.
 
+Equal texts enter the trees once; every window of a text that occurs twice is repeated. So a large group of copies costs one text.
+
 Null texts have no words. Texts shorter than the window lose nothing. Rows given twice count as two texts. Ids may be
-null or repeat; texts are told apart by id and content. Other columns pass through untouched.
+null or repeat; only content counts. Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.base import Workspace, packed, query, row_key, table
+from tracewright.llm.base import Workspace, packed, query, table, text_key
 from tracewright.llm.words import grams, text_bytes, word_hashes
 
 SEED = 8
@@ -79,9 +81,17 @@ def _picks(window: int, seed: int):
 def _segments(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["pick", "hot", "ka", "kb", "lo", "segment"]
+        before, told = None, False  # equal texts follow each other
         for batch in (b for big in batches for b in packed([big], "text", 4 << 20)):
             out: list[list] = [[] for _ in names]
             for ka, kb, text, runs in zip(*(batch.column(c).to_pylist() for c in ("ka", "kb", "text", "runs"))):
+                if (ka, kb) == before:  # a copy: every window of it is repeated; its words are in the trees already
+                    if not told:
+                        for column, value in zip(out, (None, False, ka, kb, len(text.encode().split()), None)):
+                            column.append(value)
+                    told = True
+                    continue
+                before, told = (ka, kb), False
                 words = text.encode().split()
                 for r in runs:
                     segment = b" ".join(words[r["lo"] : r["hi"] + window])
@@ -192,16 +202,17 @@ def _fingerprints(window: int):
 def repeated_spans(docs: DataFrame, ws: Workspace, window: int = 35, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """(ka, kb, spans) of every text with a repeated window; spans are [lo, hi) in words, in order, and may overlap."""
     seed = min(seed, window)
-    keyed = docs.select(*row_key(docs["doc_id"], docs["text"]), docs["text"].cast("string").alias("text"))
+    keyed = docs.select(*text_key(docs["text"]), docs["text"].cast("string").alias("text"))
     picks = ws.write(keyed.mapInArrow(_picks(window, seed), _PICK), "picks")
     often = picks.groupBy("pick").count().where("count > 1").select("pick", (F.col("count") > group).alias("hot"))
     again = picks.join(often, "pick").groupBy("ka", "kb").agg(F.collect_set(F.struct("pick", "hot", "lo", "hi")).alias("runs"))
     segments = ws.write(keyed.where("text IS NOT NULL").join(again, ["ka", "kb"]).mapInArrow(_segments(window), _SEGMENT), "segments")
     ws.drop(picks)
-    trees = segments.where("NOT hot").repartition("pick").sortWithinPartitions("pick").mapInArrow(_trees(window), _SPAN)
+    copies = segments.where("segment IS NULL").select("ka", "kb", F.lit(0).alias("lo"), F.col("lo").alias("hi"))
+    trees = segments.where("NOT hot AND segment IS NOT NULL").repartition("pick").sortWithinPartitions("pick").mapInArrow(_trees(window), _SPAN)
     nodes = segments.where("hot").mapInArrow(_fingerprints(window), "f long, g long, " + _SPAN)
     shared = nodes.groupBy("f", "g").count().where("count > 1").select("f", "g")
-    spans = trees.unionByName(nodes.join(shared, ["f", "g"], "left_semi").drop("f", "g"))
+    spans = copies.unionByName(trees).unionByName(nodes.join(shared, ["f", "g"], "left_semi").drop("f", "g"))
     return spans.groupBy("ka", "kb").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
 
@@ -234,7 +245,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(row, text, spans): every row of docs as a struct beside its spans, null where nothing is repeated."""
-    keyed = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"), *row_key(docs["doc_id"], docs["text"]))
+    keyed = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"), *text_key(docs["text"]))
     return keyed.join(spans, ["ka", "kb"], "left").select("row", "text", "spans")
 
 
