@@ -1,0 +1,137 @@
+"""Each query against its SQL, or, where SQL can't say it, against a plain computation of the same thing."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from compare import compare, duck
+
+import corpus_pipeline
+from tracewright.llm.workloads import REGISTRY
+
+
+@pytest.mark.parametrize("name", sorted(n for n, q in REGISTRY.items() if q.sql))
+def test_matches_sql(spark, folder, name):
+    assert compare(REGISTRY[name].run(spark, folder), duck(folder), REGISTRY[name].sql) is None
+
+
+@pytest.fixture(scope="module")
+def texts(spark, folder):
+    return {r[0]: r[1] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def held(i: int, n: int, r: int) -> bool:
+    return zlib.crc32(str(i).encode()) % n == r
+
+
+def test_op2(spark, folder):
+    langs = dict(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect())
+    found = REGISTRY["op2_language_id"].run(spark, folder).collect()
+    assert {r.doc_id: r.held_out for r in found} == {i: held(i, 5, 0) for i in langs}
+    right = [r.lang_pred == langs[r.doc_id] for r in found if r.held_out]
+    assert sum(right) >= 0.9 * len(right) and all(0 <= r.score <= 1 for r in found)
+
+
+def test_op3(spark, folder, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: (len(t.encode()), n := len(library.encode(t, add_special_tokens=False).ids), n > 2048) for i, t in texts.items()}
+    assert {r[0]: tuple(r[1:]) for r in REGISTRY["op3_token_counts"].run(spark, folder).collect()} == want
+
+
+def test_op5(spark, folder, texts):
+    learned = {i: t for i, t in texts.items() if not held(i, 7, 2)}
+    counts = Counter(w for t in learned.values() for w in t.encode().lower().split())
+    n, v = sum(counts.values()) + len(learned), len(counts) + 1
+    for r in REGISTRY["op5_ppm_scores"].run(spark, folder).collect():
+        words = texts[r.doc_id].encode().lower().split()
+        base = sum(math.log10((c + 1) / (n + v + 1)) for c in [*(counts[w] for w in words), len(learned)])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id, 7, 2), len(words) + 1, 1 + sum(w in counts for w in words), n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score <= 0
+
+
+def test_op7(spark, folder, texts):
+    labels = dict(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").collect())
+    found = REGISTRY["op7_toxicity"].run(spark, folder).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == held(r.doc_id, 4, 2)
+    score = lambda k: [r.score for r in found if labels.get(r.doc_id) == k]
+    assert sum(score(1)) / len(score(1)) > sum(score(0)) / len(score(0))
+
+
+def kept_words(texts: list[str], window: int) -> list[tuple[int, list[bytes]]]:
+    words = [t.encode().split() for t in texts]
+    starts = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = {i + k for i in range(len(w) - window + 1) if starts[tuple(w[i : i + window])] > 1 for k in range(window)}
+        out.append((len(w), [x for i, x in enumerate(w) if i not in gone]))
+    return out
+
+
+def test_op8(spark, folder, texts):
+    ids = list(texts)
+    want = {i: (n, n - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for i, (n, k) in zip(ids, kept_words([texts[i] for i in ids], 35))}
+    assert {r[0]: tuple(r[1:]) for r in REGISTRY["op8_substring_dedup"].run(spark, folder).collect()} == want
+
+
+def tiktoken_rows(texts: dict) -> dict:
+    import numpy as np
+    import tiktoken
+
+    lines = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    encode = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return {i: (len(x := encode(t)), sha(np.array(x, "<u4").tobytes()), sha(t.encode())) for i, t in texts.items()}
+
+
+def test_op9(spark, folder, texts):
+    found = REGISTRY["op9_bpe_tree"].run(spark, folder).collect()
+    assert {r[0]: tuple(r[1:]) for r in found} == tiktoken_rows(texts)
+
+
+def test_pipeline(spark, folder, texts):
+    """Each stage against a plain computation on its own input."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        kept[name] = {r.doc_id: r for r in out.collect()}
+        if name != "encoding":
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(list(kept[name].values()), docs.schema)
+    scored = {r.doc_id for r in REGISTRY["op7_toxicity"].run(spark, folder).where("predicted = 0").collect()}
+    assert set(kept["toxicity"]) == scored
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (r.text or "").encode().lower().split()) else set() for i, r in kept["toxicity"].items()}
+    gone = set(shingles) - set(kept["near_duplicates"])
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b) and bool(a)
+    assert all(any(near(shingles[i], shingles[j]) for j in shingles if j < i) for i in gone)
+    left = sorted(kept["near_duplicates"])
+    assert not any(near(shingles[i], shingles[j]) for n, i in enumerate(left) for j in left[:n])
+    cut = kept_words([kept["near_duplicates"][i].text or "" for i in left], 35)
+    for i, (n, words) in zip(left, cut):
+        r = kept["substrings"][i]
+        assert r.text == (kept["near_duplicates"][i].text if n == len(words) else b" ".join(words).decode()) and r.n_chars == len(r.text)
+    assert set(kept["decontamination"]) <= set(left)
+    want = tiktoken_rows({i: r.text or "" for i, r in kept["decontamination"].items()})
+    assert {i: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for i, r in kept["encoding"].items()} == want
+    assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_run_and_registry(spark, folder):
+    import __spark_entry__ as registered
+
+    names = [n for n in registered.queries() if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in registered.queries()
+    assert corpus_pipeline.run(spark, folder).count() > 0

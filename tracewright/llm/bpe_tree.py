@@ -191,8 +191,9 @@ def ids_sha256(ids):
 
 
 def encode_and_decode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Digests of tokens and of the text decoded from them, with every other column of ``docs``."""
-    back = decode(encode(docs, rank_file, pattern), rank_file, pattern)
+    """Digests of tokens and of the text decoded from them, with every other column of ``docs``; columns that had the new
+    names are replaced."""
+    back = decode(encode(docs.drop("n_tokens", "ids_sha256", "decoded_sha256"), rank_file, pattern), rank_file, pattern)
     return back.select(
         "row.*",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -200,8 +200,8 @@ def _predictor(data):
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(every column of ``docs`` but text, lang_pred, score)."""
-    rest = [c for c in docs.columns if c != "text"]
+    """(every column of ``docs`` but text, lang_pred, score); columns that had the new names are replaced."""
+    rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     rows = docs.select(F.struct(*rest).alias("row"), docs["text"].cast("string").alias("text"))
     data = docs.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

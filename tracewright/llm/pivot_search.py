@@ -12,6 +12,7 @@ the id, queries into chunks of about ``CHUNK``; a task works on one block and on
 fills many blocks of one ring and no task.
 
 Vectors that are null, empty, or hold null or non-finite components take no part. Shorter vectors count as padded with zeros. A
+score beyond 64 bits is held at the end of their range. A
 repeated vec_id is one more candidate for others; a query's own id never is one, and of several rows that query under one id the best hits of
 any count. Null ids take no part.
 """
