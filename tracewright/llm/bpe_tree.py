@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewright.llm.base import Workspace, packed, query, row_key, table
 
@@ -130,20 +129,21 @@ def _joiner(data, pattern: str):
     return run
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, part: int = PART) -> DataFrame:
-    """``docs`` as a struct ``row``, with ``ids`` array<int>: the tokens of its text."""
-    spark = docs.sparkSession
-    with open(rank_file, "rb") as f:
-        data = spark.sparkContext.broadcast(f.read())
-    # only what the encoder needs goes through Python; the row's other columns are joined by nothing but carried along
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), docs["text"].cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= part).mapInArrow(_encoder(data, pattern), f"row {kind}, ids array<int>")
-    long = rows.where(F.length("text") > part)
+def _rows(docs: DataFrame) -> DataFrame:
+    """(row, text): all other columns as one struct beside the text."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), docs["text"].cast("string").alias("text"))
+
+
+def _length():
+    return F.coalesce(F.length("text"), F.lit(0))
+
+
+def _encode_long(long: DataFrame, data, pattern: str, part: int) -> DataFrame | None:
+    """(row, ids) of texts longer than a part, None if there is none."""
     most = long.agg(F.max(F.length("text"))).first()[0]
     if most is None:
-        return short
-    ws = Workspace(spark, "bpe")
+        return None
+    ws = Workspace(long.sparkSession, "bpe")
     keyed = long.select("row", "text", *row_key(F.lit(None).cast("long"), F.col("text")))
     parts = (
         keyed.dropDuplicates(["ka", "kb"])
@@ -159,7 +159,18 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, part: int = PART) -> D
         ws.drop(level)
         level, count = above, -(-count // 2)
     level = ws.result(level)
-    return short.unionByName(keyed.join(level, ["ka", "kb"]).select("row", "ids"))
+    return keyed.join(level, ["ka", "kb"]).select("row", "ids")
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, part: int = PART) -> DataFrame:
+    """``docs`` as a struct ``row``, with ``ids`` array<int>: the tokens of its text."""
+    with open(rank_file, "rb") as f:
+        data = docs.sparkSession.sparkContext.broadcast(f.read())
+    rows = _rows(docs)
+    kind = rows.schema["row"].dataType.simpleString()
+    short = rows.where(_length() <= part).mapInArrow(_encoder(data, pattern), f"row {kind}, ids array<int>")
+    long = _encode_long(rows.where(_length() > part), data, pattern, part)
+    return short if long is None else short.unionByName(long)
 
 
 def _decoder(data, pattern: str):
@@ -182,24 +193,48 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(_decoder(data, pattern), f"{fields}, decoded binary")
 
 
-@F.pandas_udf(T.StringType())
-def ids_sha256(ids):
-    """Hex digest of ids as little-endian unsigned 32-bit integers."""
-    import pandas as pd
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 instead of ids and decoded."""
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for batch in batches:
+        ids = batch.column("ids")
+        numbers, cut = ids.flatten().to_numpy().astype("<u4"), (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+        keep = [c for c in batch.schema.names if c not in ("ids", "decoded")]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(c) for c in keep),
+                pa.array(np.diff(cut), pa.int64()),
+                pa.array([sha(numbers[a:b].tobytes()) for a, b in zip(cut, cut[1:])], pa.string()),
+                pa.array([sha(d) for d in batch.column("decoded").to_pylist()], pa.string()),
+            ],
+            names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
+def _steps(*steps):
+    """Generators one after the other in one Python worker."""
 
-    return pd.Series([hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest() for x in ids], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
 
 
-def encode_and_decode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def encode_and_decode(docs: DataFrame, rank_file: str, pattern: str, part: int = PART) -> DataFrame:
     """Digests of tokens and of the text decoded from them, with every other column of ``docs``; columns that had the new
     names are replaced."""
-    back = decode(encode(docs.drop("n_tokens", "ids_sha256", "decoded_sha256"), rank_file, pattern), rank_file, pattern)
-    return back.select(
-        "row.*",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_sha256("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    with open(rank_file, "rb") as f:
+        data = docs.sparkSession.sparkContext.broadcast(f.read())
+    rows = _rows(docs.drop("n_tokens", "ids_sha256", "decoded_sha256"))
+    back = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    after = (_decoder(data, pattern), _digests)
+    out = rows.where(_length() <= part).mapInArrow(_steps(_encoder(data, pattern), *after), back)
+    long = _encode_long(rows.where(_length() > part), data, pattern, part)
+    if long is not None:
+        out = out.unionByName(long.mapInArrow(_steps(*after), back))
+    return out.select("row.*", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query("op9_bpe_tree")

@@ -30,6 +30,7 @@ LEAST = 24.0
 SAMPLE = 20_000
 PENALTY = 1e-4
 THRESHOLD = 0.3
+_PIECE = 1 << 20
 
 
 @dataclass
@@ -38,44 +39,52 @@ class Model:
     bias: float
 
 
-def present(column: pa.Array, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of every bucket that occurs in a text, once each, in that order.
+def slots_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) of the n-grams of all texts, one size and one piece of the bytes after the other.
 
-    ``number`` maps buckets to features, with -1 for the rest; None takes the buckets themselves.
+    Within what one step gives, texts are in order. Pieces keep a long text from costing more memory.
     """
     data, offsets = text_bytes(column)
-    pairs = []
-    for first in range(0, max(len(data), 1), 1 << 20):  # pieces, so that a long text costs no more memory
-        piece = _LOWER[data[first : first + (1 << 20) + max(SIZES) - 1]]
+    for first in range(0, len(data), _PIECE):
+        piece = _LOWER[data[first : first + _PIECE + max(SIZES) - 1]]
+        last = min(first + _PIECE, len(data))
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, first, last)))
+        room = offsets[text + 1] - np.arange(first, last)
         for size in SIZES:
-            n = min(len(piece) - size + 1, 1 << 20)
-            if n <= 0:
-                continue
+            n = max(0, min(len(piece) - size + 1, last - first))
             code = np.full(n, size, U)
             for i in range(size):
                 code = (code << U(8)) | piece[i : i + n]
-            slot = (mix(code) >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-            if number is not None:
-                slot = number[slot]
-                at = np.flatnonzero(slot >= 0)
-            else:
-                at = np.arange(n)
-            text = np.searchsorted(offsets, at + first, "right") - 1
-            inside = at + first + size <= offsets[text + 1]
-            at, text = at[inside], text[inside]
-            pairs.append(np.unique(text * BUCKETS + slot[at]))
-    both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+            fits = room[:n] >= size
+            yield text[:n][fits], (mix(code[fits]) >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def present(column: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of every feature that occurs in a text, once each, in that order; ``number`` is -1 for other buckets."""
+    pairs = [np.zeros(0, np.int64)]
+    for text, slot in slots_of(column):
+        feature = number[slot]
+        hit = np.flatnonzero(feature >= 0)
+        pairs.append(text[hit] * BUCKETS + feature[hit])
+    both = np.unique(np.concatenate(pairs))
     return both // BUCKETS, both % BUCKETS
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, BUCKETS), np.int64)
     rows = np.zeros(2, np.int64)
-    for batch in (b for big in batches for b in packed([big], "text", 4 << 20)):
+    seen = np.zeros(BUCKETS, bool)
+    for batch in (b for big in batches for b in packed([big], "text", 1 << 20)):
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        text, slot = present(batch.column("text"))
         rows += np.bincount(toxic, minlength=2)
-        counts += np.bincount(toxic[text] * BUCKETS + slot, minlength=2 * BUCKETS).reshape(2, BUCKETS)
+        steps = list(slots_of(batch.column("text")))
+        cuts = [np.searchsorted(text, np.arange(batch.num_rows + 1)).tolist() for text, _ in steps]
+        for i, label in enumerate(toxic.tolist()):
+            for (_, slot), cut in zip(steps, cuts):
+                seen[slot[cut[i] : cut[i + 1]]] = True
+            there = np.flatnonzero(seen)
+            counts[label, there] += 1
+            seen[there] = False
     slots = np.flatnonzero(counts.sum(axis=0))
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.append(slots, -1).astype(np.int32)), *(pa.array(np.append(counts[c, slots], rows[c])) for c in (0, 1))],
