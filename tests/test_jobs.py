@@ -40,7 +40,8 @@ def test_source_tree(spark, tmp_path):
 def test_pages_and_tables(spark, tmp_path):
     page = lambda *paths: json.dumps({"values": [{"new": {"path": p}} for p in paths], "next": "n"})
     df = spark.createDataFrame([(1, page("a", "b")), (1, page("c")), (2, page()), (3, "{}")], "pr int, body string")
-    got = files.page_values(df, DIFFSTAT_PAGE)
+    got, rejected = files.page_values(df, DIFFSTAT_PAGE)
+    assert rejected.count() == 1  # the one that is no list
     assert sorted((r["pr"], r["new"]["path"]) for r in got.collect()) == [(1, "a"), (1, "b"), (1, "c")]
     rows = spark.createDataFrame([("r", 1), ("{u}", 2)], "repo_id string, id bigint")
     rows.write.partitionBy("repo_id").parquet(str(tmp_path / "t.parquet"))

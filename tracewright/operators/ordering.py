@@ -27,7 +27,8 @@ def _sorted_table(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "sorted")
-    df.sort(*order).write.parquet(path)
+    # one file for each sort task, whatever the session's limit: the place in the file is the place in the task
+    df.sort(*order).write.option("maxRecordsPerFile", 0).parquet(path)
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
     return spark.read.schema(df.schema).parquet(path).select(
         "*", part.alias("_part"), F.col("_metadata.row_index").alias("_at")

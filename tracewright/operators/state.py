@@ -27,13 +27,36 @@ def shaped(df: DataFrame, schema: T.StructType, **defaults: Column) -> DataFrame
     )
 
 
-def replace_rows(current: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows win over current ones with the same key, as a whole: nothing of the old row survives."""
+def one_per_key(rows: DataFrame, keys: Sequence[str], version: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the one with the greatest ``version`` (columns of ``rows``).
+
+    Without a version, or among equal ones, the choice is fixed by the values, not by the order of rows.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.dropDuplicates(list(keys))
+    newest = F.struct(*version, F.xxhash64(*rest))
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("_row"))
+    return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in rows.columns])
+
+
+def replace_rows(current: DataFrame, rows: DataFrame, keys: Sequence[str], version: Sequence[str] = ()) -> DataFrame:
+    """Rows win over current ones with the same key, as a whole: nothing of the old row survives.
+
+    Of several rows with one key the last ``version`` counts.
+    """
+    rows = one_per_key(rows, keys, version)
     return current.join(rows.select(*keys), list(keys), "left_anti").select(*rows.columns).unionByName(rows)
 
 
-def update_columns(current: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Set columns of existing rows, also to null; changes to missing keys have no effect."""
+def update_columns(
+    current: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], version: Sequence[str] = ()
+) -> DataFrame:
+    """Set columns of existing rows, also to null; changes to missing keys have no effect.
+
+    Of several changes with one key the last ``version`` counts.
+    """
+    changes = one_per_key(changes.select(*dict.fromkeys([*keys, *columns, *version])), keys, version)
     incoming = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = current.join(incoming, list(keys), "left")
     return joined.select(
@@ -52,6 +75,7 @@ def upsert_pull_requests(
     Replacing drops the old row with everything that hangs on it: its links go, its embedding is the new one,
     and columns the new row does not give return to their defaults.
     """
+    rows = one_per_key(rows, ["repo_id", "id"])
     new = shaped(rows, PULL_REQUESTS, created_at=now)
     keys = rows.select("repo_id", F.col("id").alias("pull_request_id"))
     vectors = rows.select(
@@ -68,6 +92,7 @@ def upsert_issues(
     issues: DataFrame, embeddings: DataFrame, links: DataFrame, rows: DataFrame, now: Column
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Replace issues and their embedding; a replaced issue is unprocessed again and has no links."""
+    rows = one_per_key(rows, ["repo_id", "id"])
     new = shaped(rows.drop("is_processed"), ISSUES, is_processed=F.lit(False), created_at=now)
     keys = rows.select("repo_id", F.col("id").alias("issue_id"))
     vectors = rows.select(

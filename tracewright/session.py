@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RUNTIME_CONF = {
+    # keyed state of streams stays off the executors' heaps
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -16,7 +19,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def tune(spark: SparkSession) -> SparkSession:

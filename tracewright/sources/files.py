@@ -65,11 +65,15 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.select("path", "lines").write.mode("overwrite").json(path)
 
 
-def page_values(pages: DataFrame, schema: T.StructType, body: str = "body") -> DataFrame:
-    """The values of all pages of an API answer, one row each."""
+def page_values(pages: DataFrame, schema: T.StructType, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """The values of all pages of an API answer, one row each, and the pages that hold no list of values.
+
+    A page that was cut off would otherwise pass for an empty one.
+    """
     kept = [c for c in pages.columns if c != body]
-    parsed = pages.select(*kept, F.from_json(body, schema)["values"].alias("values"))
-    return parsed.select(*kept, F.explode("values").alias("value")).select(*kept, "value.*")
+    parsed = pages.select("*", F.from_json(body, schema)["values"].alias("_values"))
+    values = parsed.select(*kept, F.explode("_values").alias("_value")).select(*kept, "_value.*")
+    return values, parsed.where("_values IS NULL").drop("_values")
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewright.schemas import BOOL, LONG, STR, TS, record
-from tracewright.session import STATE_STORE
 
 DUE = record(repo_id=STR, pull_request_id=LONG, event_id=LONG, ts=TS, head_sha=STR, since_sha=STR, forced=BOOL)
 
@@ -21,8 +20,6 @@ def due_reviews(requests: DataFrame) -> DataFrame:
     pull request, in the state store. ``since_sha`` is the commit to review from, null for a whole review. The
     source's batch limit bounds what one pull request can bring into one call.
     """
-    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-
     # defined here so that it travels by value and workers need not have this package
     class LastReviewed(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:

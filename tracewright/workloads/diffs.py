@@ -120,7 +120,7 @@ def diffstat_join(spark: SparkSession, d: str) -> DataFrame:
     pages = t(spark, d, "documents").select(
         F.col("doc_id").alias(ID), F.to_json(F.struct(values.alias("values"))).alias("body")
     )
-    joined = diffs.with_patches(page_values(pages, DIFFSTAT_PAGE), _files(spark, d), [ID])
+    joined = diffs.with_patches(page_values(pages, DIFFSTAT_PAGE)[0], _files(spark, d), [ID])
     return joined.select(ID, "filename", "status", "additions", "deletions", F.length("patch").alias("patch_length"))
 
 

@@ -9,6 +9,7 @@ from tracewright.functions import text
 from tracewright.operators import gates
 from tracewright.schemas import SIGNATURE, USAGE_LOGS, USER_TAG, USERS
 from tracewright.session import scratch_path
+from tracewright.sources.files import read_or_empty
 from tracewright.streaming.ledger import comment_ledger
 from tracewright.streaming.reviews import DUE, due_reviews, first_requests
 from tracewright.workloads import feeds
@@ -123,7 +124,10 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = t(spark, d, "events").schema
     # the batch limit bounds what one key can bring into one call of a stateful operator
     reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES)
-    rows = reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    # a stream reads folders: that of the table's part files, or the one around a table of a single file
+    rows = reader.parquet(f"{d}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -167,8 +171,8 @@ def event_stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "ledger")
     comments = gates.project_github(gates.gate_github(_event_bodies(_stream(spark, d))))
     comment_ledger(comments, root, ["ts", "event_id"]).awaitTermination()
-    people = spark.read.schema(USERS).parquet(f"{root}/users").select(F.col("id").alias("user_id"), "username")
-    logs = spark.read.schema(USAGE_LOGS).parquet(f"{root}/usage_logs")
+    people = read_or_empty(spark, f"{root}/users", USERS).select(F.col("id").alias("user_id"), "username")
+    logs = read_or_empty(spark, f"{root}/usage_logs", USAGE_LOGS)
     return logs.join(people, "user_id").select(
         "id", "user_id", "username", "command_name", "comment_url", F.col("created_at").cast("timestamp_ntz").alias("created_at")
     )
