@@ -13,8 +13,9 @@ similarity s misses all tables with a chance of at most 2 * (1 - s^2)^16: 4e-6 a
    confirmed on the full sets, and links give components by alternating stars.
 4. Members of entries that still hold several components may have links no star tried. They share a link only if they share one of
    the rarest quarter of their shingles (prefix filtering, exact). For each such shingle the members outside its largest
-   component are checked against all members of other components whose set sizes allow 0.75. So no link is lost inside an
-   entry, and a large group of near copies costs one star and not its square.
+   component are checked against all members of other components whose set sizes, and what follows the shingle in both sets
+   (positional filtering, exact), allow 0.75. So no link is lost inside an entry, and a large group of near copies costs one
+   star and not its square.
 
 Sets are only built for documents that share an entry. Hot keys: counts are partial in each task; stars and checks are
 equi-joins, which adaptive execution splits. Nothing grows with a group in one task; the driver sees counts only.
@@ -207,9 +208,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     )
     main = main.where("parts > 1").select("key", "main")
     shared = ws.write(rows.join(main, "key"), "shared")
-    x = shared.where("component != main").select("key", F.col("doc_id").alias("u"), F.col("component").alias("p"), F.col("n").alias("nu"))
-    y = shared.select("key", F.col("doc_id").alias("v"), F.col("component").alias("q"), F.col("n").alias("nv"))
-    fits = f"p != q AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
+    x = shared.where("component != main").select("key", F.col("doc_id").alias("u"), F.col("component").alias("p"), F.col("n").alias("nu"), F.col("at").alias("i"))
+    y = shared.select("key", F.col("doc_id").alias("v"), F.col("component").alias("q"), F.col("n").alias("nv"), F.col("at").alias("j"))
+    # their first common shingle and what follows it in the order bounds the overlap
+    fits = f"p != q AND {100 + percent} * least(nu - i, nv - j) >= {percent} * (nu + nv)"
     across = x.join(y, "key").where(fits).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     across = ws.write(across.join(pairs, ["a", "b"], "left_anti"), "across")
     more = ws.write(_confirmed(across, sets, percent), "more")
@@ -224,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, n, component): the shingles of each set of which one at least is in every set similar enough.
+    """(key, at, doc_id, n, component): the shingles of each set of which one at least is in every set similar enough, and their places.
 
     In any fixed order of shingles, two sets of similarity t share one among their first n - ceil(t n) + 1. The order here puts rare
     shingles first, by their counts in a bounded sample of the sets; it only decides how many pairs are left to check.
@@ -246,11 +248,14 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 first = v[np.lexsort((v, rank))][: len(v) - -(-percent * len(v) // 100) + 1]
                 same = lambda x, kind: pa.array(np.full(len(first), x.as_py()), kind)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(first), same(doc, pa.int64()), pa.array(np.full(len(first), len(v))), same(component, pa.int64())],
-                    names=["key", "doc_id", "n", "component"],
+                    [
+                        pa.array(first), pa.array(np.arange(len(first))), same(doc, pa.int64()),
+                        pa.array(np.full(len(first), len(v))), same(component, pa.int64()),
+                    ],
+                    names=["key", "at", "doc_id", "n", "component"],
                 )
 
-    return sets.select("doc_id", "component", "shingles").mapInArrow(run, "key long, doc_id long, n long, component long")
+    return sets.select("doc_id", "component", "shingles").mapInArrow(run, "key long, at long, doc_id long, n long, component long")
 
 
 def _counted(sets: DataFrame, sketches: DataFrame) -> DataFrame:
