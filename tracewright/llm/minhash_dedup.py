@@ -12,7 +12,7 @@ similarity s misses all tables with a chance of at most 2 * (1 - s^2)^16: 4e-6 a
 3. Each table entry of two or more members links its members to its smallest one (a star, not all pairs). The pairs are
    confirmed on the full sets, and links give components by alternating stars.
 4. Members of entries that still hold several components may have links no star tried. They share a link only if they share one of
-   the rarest quarter of their shingles (prefix filtering, exact). For each such shingle the members outside its largest
+   the rarest quarter of their shingles, by counts over all these sets (prefix filtering, exact). For each such shingle the members outside its largest
    component are checked against all members of other components whose set sizes, and what follows the shingle in both sets
    (positional filtering, exact), allow 0.75. So no link is lost inside an entry, and a large group of near copies costs one
    star and not its square.
@@ -38,7 +38,6 @@ from tracewright.llm.words import U, grams, mix, text_bytes, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
-ORDER_SAMPLE = 2000
 HALVES = 16
 WIDTH = 2
 
@@ -185,8 +184,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     members = ws.write(entries.join(stars, "entry").select("entry", "a", F.col("doc_id").alias("b"), "n"), "members")
     ws.drop(entries)
 
-    pairs = ws.write(members.where("a < b").select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sizes = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"))
+    starred = members.where("a < b").select("a", "b", "n").distinct().join(sizes, "a")
+    pairs = ws.write(starred.where(f"100 * least(na, n) >= {percent} * greatest(na, n)").select("a", "b"), "pairs")
+    # written first: its size is then known, and where it is small the texts need no shuffle
+    wanted = ws.write(members.select(F.col("b").alias("doc_id")).distinct(), "wanted")
     texts = narrow.join(wanted, "doc_id", "left_semi")
     if sketches is not all_rows:  # the set that counts is the smallest by its keys
         texts = texts.dropDuplicates(["doc_id", "text"])
@@ -198,11 +200,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     known = ws.write(known, "components")
 
     # what entries with more than one component may still hide
-    placed = members.select("entry", F.col("b").alias("doc_id")).distinct().join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    placed = members.select("entry", F.col("b").alias("doc_id")).join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("entry").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("entry")
-    open_docs = placed.join(mixed, "entry", "left_semi").select("doc_id", "component").distinct()
-    rows = ws.write(_prefixes(sets.join(open_docs, "doc_id"), percent), "prefixes")
+    open_docs = ws.write(placed.join(mixed, "entry", "left_semi").select("doc_id", "component").distinct(), "open")
+    rows = ws.write(_prefixes(sets.join(open_docs, "doc_id"), ws, percent), "prefixes")
     main = rows.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")
     )
@@ -225,37 +227,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     return ws.result(out)
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, at, doc_id, n, component): the shingles of each set of which one at least is in every set similar enough, and their places.
+def _prefixes(sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+    """(key, at, doc_id, n, component): the shingles of each set of which one at least is in every similar set of another component.
 
-    In any fixed order of shingles, two sets of similarity t share one among their first n - ceil(t n) + 1. The order here puts rare
-    shingles first, by their counts in a bounded sample of the sets; it only decides how many pairs are left to check.
+    In any fixed order of shingles, two sets of similarity t share one among their first n - ceil(t n) + 1. The order here starts with
+    what one component has alone, which cannot be shared and makes no row, and goes on by count, rare shingles first.
     """
-    spark = sets.sparkSession
-    share = min(1.0, ORDER_SAMPLE / max(sets.count(), 1))
-    some = sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("shingles").limit(ORDER_SAMPLE).toArrow()
-    values, counts = np.unique(some.column("shingles").combine_chunks().flatten().to_numpy(), return_counts=True)
-    common = spark.sparkContext.broadcast((values[counts > 1], counts[counts > 1]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = common.value
-        for big in batches:
-            for i in range(big.num_rows):
-                doc, component, v = (big.column(c)[i] for c in ("doc_id", "component", "shingles"))
-                v = v.values.to_numpy()
-                at = np.minimum(np.searchsorted(often, v), max(len(often) - 1, 0))
-                rank = np.where(often[at] == v, times[at], 0) if len(often) else np.zeros(len(v), np.int64)
-                first = v[np.lexsort((v, rank))][: len(v) - -(-percent * len(v) // 100) + 1]
-                same = lambda x, kind: pa.array(np.full(len(first), x.as_py()), kind)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(first), pa.array(np.arange(len(first))), same(doc, pa.int64()),
-                        pa.array(np.full(len(first), len(v))), same(component, pa.int64()),
-                    ],
-                    names=["key", "at", "doc_id", "n", "component"],
-                )
-
-    return sets.select("doc_id", "component", "shingles").mapInArrow(run, "key long, at long, doc_id long, n long, component long")
+    rows = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    counts = rows.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("c"))
+    common = ws.write(counts.where("p < q").select("key", "c"), "common")
+    # a list holds shingles of one document
+    listed = rows.join(common, "key").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("keys"))
+    room = F.size("keys") + 1 - F.expr(f"({percent} * n + 99) div 100").cast("int")
+    return (
+        listed.withColumn("room", room)
+        .where("room > 0")
+        .select("doc_id", "component", "n", F.size("keys").alias("m"), F.posexplode(F.slice("keys", F.lit(1), F.col("room"))).alias("place", "k"))
+        .select(F.col("k.key").alias("key"), (F.col("n") - F.col("m") + F.col("place")).alias("at"), "doc_id", "n", "component")
+    )
 
 
 def _counted(sets: DataFrame, sketches: DataFrame) -> DataFrame:
