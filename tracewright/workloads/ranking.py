@@ -138,12 +138,10 @@ def candidate_cards(spark: SparkSession, d: str) -> DataFrame:
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Three culprits of each of two pages per issue, as JSON text the way a model answers."""
-    scores = _scores(spark, d)
-    best = [similarity.top_page(scores, page, 3).withColumn("page", F.lit(page)) for page in (0, 1)]
+    scores = _scores(spark, d)  # ranked once; the pages are cut from that
+    best = similarity.top_page(scores, 0, 6).withColumn("page", F.expr("(rank - 1) div 3").cast("int"))
     entry = F.struct("rank", "pull_request_id", F.concat(F.lit("score rank "), "rank").alias("reason"))
-    listed = (
-        best[0].unionByName(best[1]).groupBy("repo_id", "issue_id", "page").agg(F.sort_array(F.collect_list(entry)).alias("l"))
-    )
+    listed = best.groupBy("repo_id", "issue_id", "page").agg(F.sort_array(F.collect_list(entry)).alias("l"))
     culprits = F.transform("l", lambda c: F.struct(c["pull_request_id"], c["reason"]))
     body = F.to_json(F.struct("issue_id", culprits.alias("pull_requests")))
     texts = listed.select("repo_id", "page", body.alias("response"))
