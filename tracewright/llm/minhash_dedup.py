@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.llm.base import WORD, Workspace, packed, query, table
 from tracewright.llm.words import U, grams, mix, text_bytes, word_hashes
@@ -60,6 +61,17 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets) if sets else np.zeros(0, U), offsets
 
 
+def _set_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two rows; zeros for an empty one."""
+    full = np.flatnonzero(np.diff(offsets))
+    sums = np.zeros((2, len(offsets) - 1), np.int64)
+    if len(full):
+        starts = offsets[:-1][full]
+        sums[0, full] = np.add.reduceat(mix(values), starts).view(np.int64)
+        sums[1, full] = np.add.reduceat(mix(values ^ U(0xD6E8FEB86659FD93)), starts).view(np.int64)
+    return sums
+
+
 def _sketches(shingle: int, halves: int, width: int):
     seeds = mix(np.arange(1, 2 * halves * width + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -78,13 +90,10 @@ def _sketches(shingle: int, halves: int, width: int):
             values, offsets = shingle_sets(batch.column("text"), shingle)
             n = np.diff(offsets)
             full = np.flatnonzero(n)
-            sums = np.zeros((2, len(n)), np.int64)
+            sums = _set_keys(values, offsets)
             half = np.zeros((len(n), 2 * halves), np.int64)
             if len(full):
-                starts = offsets[:-1][full]
-                sums[0, full] = np.add.reduceat(mix(values), starts).view(np.int64)
-                sums[1, full] = np.add.reduceat(mix(values ^ U(0xD6E8FEB86659FD93)), starts).view(np.int64)
-                half[full] = keys(values, starts)
+                half[full] = keys(values, offsets[:-1][full])
             lists = [
                 pa.ListArray.from_arrays(
                     pa.array(np.arange(0, len(n) * halves + 1, halves, dtype=np.int32)), pa.array(half[:, a : a + halves].ravel())
@@ -152,7 +161,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, halves: int = HALVES, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of all documents, as the module says."""
+    return _labelled(docs, percent, shingle, halves, width)[0]
+
+
+def _labelled(docs: DataFrame, percent: int, shingle: int, halves: int, width: int, choice: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """What ``near_duplicates`` gives; with ``choice`` also (doc_id, n, ka, kb) of the set that counts for each repeated id, if any is."""
     ws = Workspace(docs.sparkSession, "minhash")
+    chosen = None
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     all_rows = ws.write(narrow.mapInArrow(_sketches(shingle, halves, width), _SKETCH), "sketches")
     # a repeated id counts once; which of its texts counts is fixed by the order of the set keys
@@ -163,6 +178,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         )
         once = all_rows.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(pick.select("doc_id", "r.*"))
         sketches = ws.write(once, "once")
+        if choice:  # a workspace of its own: it is read after the result is written
+            own = Workspace(docs.sparkSession, "minhash-choice")
+            chosen = own.result(sketches.join(repeated.select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "ka", "kb"))
     else:
         sketches = all_rows
     some = sketches.where("doc_id IS NOT NULL AND n > 0")
@@ -224,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     out = some.select("doc_id", "n", "ka", "kb").join(classed, ["ka", "kb", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sketches.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    return ws.result(out)
+    return ws.result(out), chosen
 
 
 def _prefixes(sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
@@ -263,11 +281,36 @@ def _counted(sets: DataFrame, sketches: DataFrame) -> DataFrame:
     return keyed.join(sketches.select("doc_id", "ka", "kb"), ["doc_id", "ka", "kb"], "left_semi").select("doc_id", "shingles").dropDuplicates(["doc_id"])
 
 
+def _of_the_set(shingle: int):
+    """The rows whose text has the set (n, ka, kb) that counts for their id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for big in batches for b in packed([big], "text", 4 << 20)):
+            values, offsets = shingle_sets(batch.column("text"), shingle)
+            found = [np.diff(offsets), *_set_keys(values, offsets)]
+            same = np.all([f == batch.column(c).to_numpy() for f, c in zip(found, ("n", "ka", "kb"))], axis=0)
+            yield batch.select(["_tw_id", "row"]).filter(pa.array(same))
+
+    return run
+
+
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one with the smallest id. Rows without id stay."""
-    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_tw_id"))
-    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("_tw_id"))
+    """``docs`` with one row of each group of near duplicates: the one with the smallest id. Rows without id stay.
+
+    Of rows that repeat an id, one stays: its set is the one that was compared; of several, the one whose row has the smallest hash.
+    """
+    found, chosen = _labelled(docs, percent, SHINGLE, HALVES, WIDTH, choice=True)
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_tw_id"))
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("_tw_id"), docs["text"].cast("string").alias("text"))
     staying = rows.where("_tw_id IS NOT NULL").join(kept, "_tw_id", "left_semi")
+    if chosen is not None:
+        chosen = chosen.withColumnRenamed("doc_id", "_tw_id")
+        several = staying.join(chosen, "_tw_id")
+        out = T.StructType([several.schema["_tw_id"], several.schema["row"]])
+        several = several.mapInArrow(_of_the_set(SHINGLE), out)
+        # the least row of each task goes on, so a hot id isn't together anywhere
+        one = several.groupBy("_tw_id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        staying = staying.join(chosen, "_tw_id", "left_anti").select("row").union(one.select("row"))
     return staying.select("row.*").union(rows.where("_tw_id IS NULL").select("row.*"))
 
 
