@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from tracewright.llm import minhash_dedup, substring_dedup
+from tracewright.llm import decontaminate, minhash_dedup, substring_dedup
 
 
 def test_repeated_rows_stay_once_and_keep_their_text(spark):
@@ -18,3 +18,11 @@ def test_repeated_rows_stay_once_and_keep_their_text(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted([(1, clean), (2, other), (3, copy), (5, None), rows[-1]], key=key)
     cut = substring_dedup.remove_repeats(kept)
     assert {r.doc_id: r.text for r in cut.collect()}[1] == clean
+
+
+def test_only_contaminated_rows_go(spark):
+    item = " ".join(f"q{i}" for i in range(40))
+    rows = [(None, item), (None, "clean text without an id"), (None, None), (1, "before " + item), (1, "clean text under the same id"), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.text) for r in left.collect()} == {rows[1], rows[2], rows[4], rows[5]}

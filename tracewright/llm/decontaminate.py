@@ -65,12 +65,8 @@ def blocks(df: DataFrame, radius: int) -> DataFrame:
     return df.withColumn("b", F.explode(F.array(*values))).select("*", "b.block", "b.value").drop("b")
 
 
-def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, start_word, shared, total): each item in each document, at its best window (ties: the first).
-
-    ``docs`` has doc_id and text, ``items`` item_id and text; shared / total is the similarity.
-    """
-    ws = Workspace(docs.sparkSession, "decontaminate")
+def _matches(docs: DataFrame, items: DataFrame, percent: int, radius: int, ws: Workspace) -> DataFrame | None:
+    """(doc_id, ka, kb, item_id, start, shared, total): every window that matches an item; ka and kb tell rows apart. None without items."""
     own = items.select("item_id", words_of(items["text"]).alias("w")).where("size(w) > 0")
     own = own.select("item_id", F.size("w").alias("n"), F.least(F.size("w"), F.lit(SHINGLE)).alias("size"), "w")
     lengths = [r[0] for r in own.select("size").distinct().orderBy("size").collect()]  # five values at most
@@ -94,14 +90,24 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius
         left = blocks(simhash(windows, ["doc_id", "ka", "kb", "n", "start"], "wg"), radius)
         right = blocks(simhash(some, ["item_id", "n"], "g"), radius).withColumnRenamed("print", "item_print")
         near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-        near = near.dropDuplicates(["ka", "kb", "start", "item_id"]).select("doc_id", "item_id", "start", "wg", "g")
+        near = near.dropDuplicates(["ka", "kb", "start", "item_id"]).select("doc_id", "ka", "kb", "item_id", "start", "wg", "g")
         times = lambda a, h: F.size(F.filter(a, lambda x: x == h))
         shared = F.aggregate(
             F.array_intersect("wg", "g"), F.lit(0), lambda acc, h: acc + F.least(times(F.col("wg"), h), times(F.col("g"), h))
         )
         near = near.withColumn("shared", shared).withColumn("total", F.size("wg") + F.size("g") - F.col("shared"))
-        near = near.where(100 * F.col("shared") >= percent * F.col("total")).select("doc_id", "item_id", "start", "shared", "total")
+        near = near.where(100 * F.col("shared") >= percent * F.col("total")).select("doc_id", "ka", "kb", "item_id", "start", "shared", "total")
         found = near if found is None else found.unionByName(near)
+    return found
+
+
+def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, item_id, start_word, shared, total): each item in each document, at its best window (ties: the first).
+
+    ``docs`` has doc_id and text, ``items`` item_id and text; shared / total is the similarity.
+    """
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    found = _matches(docs, items, percent, radius, ws)
     if found is None:
         empty = docs.select("doc_id").limit(0).crossJoin(items.select("item_id").limit(0))
         return empty.select("*", *(F.lit(0).cast("long").alias(c) for c in ("start_word", "shared", "total")))
@@ -112,10 +118,15 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows that hold an item."""
-    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("_tw_id"))
-    hits = find_items(docs.select("doc_id", "text"), items, percent).select(F.col("doc_id").alias("_tw_id")).distinct()
-    return rows.join(hits, rows["_tw_id"].eqNullSafe(hits["_tw_id"]), "left_anti").select("row.*")
+    """``docs`` without the rows that hold an item. Rows are told apart by id and text, so others with the same id, or none, stay."""
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    found = _matches(docs.select("doc_id", "text"), items, percent, RADIUS, ws)
+    if found is None:
+        return docs
+    hits = ws.result(found.select(F.col("ka").alias("_tw_ka"), F.col("kb").alias("_tw_kb")).distinct())
+    ka, kb = row_key(docs["doc_id"], docs["text"])
+    rows = docs.select(F.struct("*").alias("row"), ka.alias("_tw_ka"), kb.alias("_tw_kb"))
+    return rows.join(hits, ["_tw_ka", "_tw_kb"], "left_anti").select("row.*")
 
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"
