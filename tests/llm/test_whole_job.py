@@ -26,3 +26,14 @@ def test_only_contaminated_rows_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert {(r.doc_id, r.text) for r in left.collect()} == {rows[1], rows[2], rows[4], rows[5]}
+
+
+def test_items_with_swapped_halves(spark):
+    words = [f"q{i}" for i in range(60)]
+    pad = [f"p{i}" for i in range(100)]
+    swapped = words[30:] + words[:30]
+    texts = [pad + swapped + pad, swapped, pad + swapped[:55], pad + words[:30] + pad[:30] + words[30:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = {r.doc_id: (r.start_word, r.shared, r.total) for r in decontaminate.find_items(docs, items).collect()}
+    assert found == {0: (100, 52, 60), 1: (0, 52, 60), 2: (100, 47, 60)}

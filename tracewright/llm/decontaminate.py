@@ -4,8 +4,9 @@ Text is lower-cased (A-Z) and cut into words at ASCII white space; a text's shin
 fewer: all its words). A window of an item of n words is n consecutive words of a document, fewer where the document ends. Window
 and item match when the weighted Jaccard similarity of their shingles (weight: how often it occurs) is 0.75 or more.
 
-1. A window can only match an item of its size that it shares a shingle with. So each document position whose shingle occurs
-   in an item, at place q of it, proposes the window that starts q words before. Other windows have similarity 0.
+1. A window can only match an item of its size when at least 75 / 175 of both their shingles together are shared, in any order: all
+   windows that hold so many positions whose shingle occurs in an item of that size are proposed, wherever in the item it stands.
+   Other windows cannot reach the similarity.
 2. The 64-bit SimHash of a window weighs its shingles alike. Two fingerprints that differ in at most ``RADIUS`` bits agree on
    one of RADIUS + 1 blocks entirely, so an equi-join on (size, block, value) finds every pair within the radius.
 3. Pairs within the radius are checked exactly, in whole numbers: 100 * sum of minima >= 75 * sum of maxima.
@@ -43,6 +44,29 @@ def shingles_of(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(runs, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)])))
 
 
+def dense_starts(spots: Column, width: Column, size: Column, percent: int) -> Column:
+    """Starts of all windows of ``width`` shingles, in a text of ``size``, that hold enough of the sorted positions ``spots``.
+
+    Two bags of a and b shingles reach the similarity only when they share percent * (a + b) / (100 + percent). With both of full width
+    that is ``whole``; a window cut short by the end of the text must itself have, and share, percent of the width.
+    """
+    whole = F.ceil(2 * percent * width / (100 + percent)).cast("int")
+    short = F.ceil(percent * width / 100).cast("int")
+
+    def starts(need: Column, low: Column, high: Column) -> Column:
+        """Windows with ``need`` spots: each spot as the first one inside gives a run of starts, and the runs are disjoint."""
+
+        def run(i: Column) -> Column:
+            a = F.greatest(F.get(spots, i + need - 1) - width + 1, F.coalesce(F.get(spots, i - 1), F.lit(-1)) + 1, low)
+            b = F.least(F.get(spots, i), high)
+            return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+        runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(spots) - need), run))
+        return F.when(F.size(spots) >= need, runs).otherwise(F.array().cast("array<int>"))
+
+    return F.concat(starts(whole, F.lit(0), size - width), starts(short, F.greatest(size - width + 1, F.lit(0)), size - 1))
+
+
 def simhash(df: DataFrame, keys: list[str], shingles: str) -> DataFrame:
     """(keys, shingles, print): for each bit the majority of the shingles' hashes."""
     each = df.select(*keys, shingles, F.explode(shingles).alias("h"))
@@ -66,24 +90,30 @@ def blocks(df: DataFrame, radius: int) -> DataFrame:
 
 
 def _matches(docs: DataFrame, items: DataFrame, percent: int, radius: int, ws: Workspace) -> DataFrame | None:
-    """(doc_id, ka, kb, item_id, start, shared, total): every window that matches an item; ka and kb tell rows apart. None without items."""
+    """(doc_id, ka, kb, item_id, start, shared, total, aligned): every window that matches an item; ka and kb tell rows apart. None without items."""
     own = items.select("item_id", words_of(items["text"]).alias("w")).where("size(w) > 0")
     own = own.select("item_id", F.size("w").alias("n"), F.least(F.size("w"), F.lit(SHINGLE)).alias("size"), "w")
     lengths = [r[0] for r in own.select("size").distinct().orderBy("size").collect()]  # five values at most
     found = None
     for size in lengths:
         some = own.where(F.col("size") == size).select("item_id", "n", shingles_of(F.col("w"), size).alias("g"))
-        places = ws.write(some.select("n", F.posexplode_outer("g").alias("place", "h")).distinct(), "places")
+        places = ws.write(some.select("n", F.explode_outer("g").alias("h")).distinct(), "places")
         few = places.count() <= BROADCAST
-        rows = docs.select("doc_id", *row_key(F.col("doc_id"), docs["text"]), words_of(docs["text"]).alias("w"))
-        rows = rows.select("doc_id", "ka", "kb", shingles_of(F.col("w"), size).alias("g"))
+        texts = docs.select("doc_id", "text", *row_key(F.col("doc_id"), docs["text"]))
+        rows = texts.select("ka", "kb", words_of(F.col("text")).alias("w")).select("ka", "kb", shingles_of(F.col("w"), size).alias("g"))
         # outer: a filter inferred from the plain form would be pushed below the words and split the text for every word
-        seeds = rows.select("doc_id", "ka", "kb", "g", F.posexplode_outer("g").alias("at", "h")).join(F.broadcast(places) if few else places, "h")
-        start = F.greatest(F.col("at") - F.col("place"), F.lit(0))
+        seeds = rows.select("ka", "kb", F.size("g").alias("all"), F.posexplode_outer("g").alias("at", "h")).join(F.broadcast(places) if few else places, "h")
+        spots = seeds.groupBy("ka", "kb", "n").agg(F.first("all").alias("all"), F.sort_array(F.collect_set("at")).alias("spots"))
+        starts = spots.select("ka", "kb", "n", dense_starts(F.col("spots"), F.col("n") - size + 1, F.col("all"), percent).alias("starts"))
+        # written first: its size is then known, and where it is small the texts need no shuffle
+        starts = starts.where("size(starts) > 0").groupBy("ka", "kb").agg(F.collect_list(F.struct("n", "starts")).alias("s"))
+        starts = ws.write(starts, "starts")
+        again = texts.join(starts, ["ka", "kb"]).select("doc_id", "ka", "kb", words_of(F.col("text")).alias("w"), "s")
+        again = again.select("doc_id", "ka", "kb", shingles_of(F.col("w"), size).alias("g"), "s")
+        again = again.select("doc_id", "ka", "kb", "g", F.explode("s").alias("s")).select("doc_id", "ka", "kb", "g", "s.n", F.explode("s.starts").alias("start"))
         window = F.slice("g", F.col("start") + 1, F.col("n") - size + 1)
         windows = (
-            seeds.select("doc_id", "ka", "kb", "n", start.alias("start"), "g")
-            .select("doc_id", "ka", "kb", "n", "start", window.alias("wg"))
+            again.select("doc_id", "ka", "kb", "n", "start", window.alias("wg"))
             .groupBy("ka", "kb", "n", "start").agg(F.first("doc_id").alias("doc_id"), F.first("wg").alias("wg"))
         )
         windows = ws.write(windows, "windows")
@@ -96,22 +126,26 @@ def _matches(docs: DataFrame, items: DataFrame, percent: int, radius: int, ws: W
             F.array_intersect("wg", "g"), F.lit(0), lambda acc, h: acc + F.least(times(F.col("wg"), h), times(F.col("g"), h))
         )
         near = near.withColumn("shared", shared).withColumn("total", F.size("wg") + F.size("g") - F.col("shared"))
-        near = near.where(100 * F.col("shared") >= percent * F.col("total")).select("doc_id", "ka", "kb", "item_id", "start", "shared", "total")
+        near = near.where(100 * F.col("shared") >= percent * F.col("total"))
+        in_place = F.exists(F.zip_with("wg", "g", lambda a, b: a.eqNullSafe(b)), lambda x: x)
+        cut_left = F.size(F.filter("wg", lambda x, i: F.array_contains(F.slice("g", i + 1, F.size("g")), x))) > 0
+        near = near.withColumn("aligned", in_place | ((F.col("start") == 0) & cut_left))
+        near = near.select("doc_id", "ka", "kb", "item_id", "start", "shared", "total", "aligned")
         found = near if found is None else found.unionByName(near)
     return found
 
 
 def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, start_word, shared, total): each item in each document, at its best window (ties: the first).
+    """(doc_id, item_id, start_word, shared, total): each item in each document, at its best window.
 
-    ``docs`` has doc_id and text, ``items`` item_id and text; shared / total is the similarity.
+    Of equally good windows, those with a shared shingle in its place in the item (``aligned``) come first, then the first. ``docs`` has doc_id and text, ``items`` item_id and text; shared / total is the similarity.
     """
     ws = Workspace(docs.sparkSession, "decontaminate")
     found = _matches(docs, items, percent, radius, ws)
     if found is None:
         empty = docs.select("doc_id").limit(0).crossJoin(items.select("item_id").limit(0))
         return empty.select("*", *(F.lit(0).cast("long").alias(c) for c in ("start_word", "shared", "total")))
-    best = F.max_by(F.struct("start", "shared", "total"), F.struct(F.col("shared") / F.col("total"), -F.col("start"))).alias("r")
+    best = F.max_by(F.struct("start", "shared", "total"), F.struct(F.col("shared") / F.col("total"), "aligned", -F.col("start"))).alias("r")
     out = found.groupBy("doc_id", "item_id").agg(best)
     out = out.select("doc_id", "item_id", *(F.col(f"r.{a}").cast("long").alias(b) for a, b in (("start", "start_word"), ("shared", "shared"), ("total", "total"))))
     return ws.result(out)
