@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from tracewright.llm import decontaminate, minhash_dedup, substring_dedup
+import pytest
+from test_odd_input import brute_ppm
+
+from tracewright.llm import decontaminate, minhash_dedup, ppm, substring_dedup
 
 
 def test_repeated_rows_stay_once_and_keep_their_text(spark):
@@ -37,3 +40,14 @@ def test_items_with_swapped_halves(spark):
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     found = {r.doc_id: (r.start_word, r.shared, r.total) for r in decontaminate.find_items(docs, items).collect()}
     assert found == {0: (100, 52, 60), 1: (0, 52, 60), 2: (100, 47, 60)}
+
+
+@pytest.mark.parametrize("entries", [20, 150, 600])
+def test_ppm_scores_do_not_depend_on_the_head(spark, entries):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice(["a", "b", "the ", "ing", "é", " "]) for _ in range(rng.randint(0, 60)))
+    learn, ask = [text() for _ in range(30)], [text() + rng.choice(["", "zq"]) for _ in range(40)] + ["", "unseen!"]
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in ppm.score_texts(frame(ask), frame(learn), entries=entries, head=5).collect()}
+    want = brute_ppm([t.encode() for t in learn], [t.encode() for t in ask], ppm.ORDER)
+    assert max(abs(found[i] - w) for i, w in enumerate(want)) < 1e-4

@@ -7,9 +7,10 @@ excluded there: their counts and their part of the escape count leave the denomi
 excluded yet, with equal shares. A text's score is the sum of log10 of its bytes' probabilities.
 
 Counting: one row for each distinct run of ORDER + 1 bytes, summed by Spark; shorter contexts follow by summing again.
-The trie that goes to the tasks has ``ENTRIES`` (context, byte) entries at most: contexts seen less often than a threshold are
-left out, longest first by nature, since a longer context is never seen more often. Order 0 is always there (256
-entries). So its size is bounded whatever the corpus; the threshold comes from a histogram of counts over the whole corpus.
+The trie that goes to the tasks is a head of ``ENTRIES`` (context, byte) entries at most: contexts seen less often than a threshold
+(from a histogram over the whole corpus) are not in it. A context is never seen more often than a shorter end of it, so bytes whose
+whole context is in the head are scored there exactly. All others are scored from the full counts: their distinct codes meet the counts
+order by order in equi-joins, and the results are joined back to the texts. So every score is that of the whole model.
 
 Baseline: log10((c + 1) / (N + V + 1)) for every token, exactly, for any vocabulary: words that reach a count threshold (at most
 ``HEAD``, from a histogram) are looked up in the task, all other tokens are joined to their counts by hash. Words are 64-bit hashes.
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.base import Workspace, bucket, packed, query, table
@@ -212,6 +213,7 @@ class Model:
     tokens: int
     vocabulary: int
     ends: int
+    whole: bool  # all contexts are in the trie
     trie: Trie | None = None
     words: Lookup | None = None
 
@@ -237,8 +239,8 @@ def _bin(n):
     return F.floor(F.log2(n) * 8 + 1e-9).cast("int")
 
 
-def train(texts: DataFrame, ws: Workspace, entries: int = ENTRIES, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``texts`` (text), and the counts (key, n) of all words."""
+def train(texts: DataFrame, ws: Workspace, entries: int = ENTRIES, head: int = HEAD) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of all rows of ``texts`` (text), the counts (key, n) of all words and (k, code, n) of all contexts and bytes."""
     grams = ws.write(texts.mapInArrow(_counter("grams"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     words = ws.write(texts.mapInArrow(_counter("words"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     levels = None
@@ -249,21 +251,66 @@ def train(texts: DataFrame, ws: Workspace, entries: int = ENTRIES, head: int = H
     levels = ws.write(levels, "levels")
     nodes = levels.groupBy("k", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("d"))
     nodes = ws.write(nodes, "nodes")
+    ws.drop(grams)
     least = _threshold(nodes.where("k > 0").groupBy(_bin(F.col("total")).alias("b")).agg(F.sum("d")).collect(), entries)
+    whole = nodes.where((F.col("k") > 0) & (F.col("total") < least)).isEmpty()
     kept = nodes.where((F.col("k") == 0) | (F.col("total") >= least)).select("k", "context")
     trie = levels.withColumn("context", F.shiftright("code", 8)).join(kept, ["k", "context"]).select("k", "code", "n").toArrow()
+    ws.drop(nodes)
     least = _threshold(words.groupBy(_bin(F.col("n")).alias("b")).count().collect(), head)
     top = words.where(F.col("n") >= least).toArrow()
     sums = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = texts.count()
     model = Model(
         trie.column("k").to_numpy().astype(np.int64), trie.column("code").to_numpy().astype(np.int64).view(U), trie.column("n").to_numpy(),
-        top.column("key").to_numpy().astype(np.int64).view(U), top.column("n").to_numpy(), sums[1] + ends, sums[0] + bool(ends), ends,
+        top.column("key").to_numpy().astype(np.int64).view(U), top.column("n").to_numpy(), sums[1] + ends, sums[0] + bool(ends), ends, whole,
     )
-    return model, words
+    return model, words, levels
+
+
+def tail_logs(codes: DataFrame, levels: DataFrame, ws: Workspace) -> DataFrame:
+    """(code, log): log10 of the probability of each distinct code, from all counts, shortest contexts first.
+
+    A step knows for each (context of k bytes, byte) ``start``, the logarithm when this context is the first one tried, and ``arrive``, that of
+    what follows an escape from it.
+    """
+
+    def low(k: int) -> Column:
+        return F.col("code").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+
+    before = None
+    for k in range(ORDER + 1):
+        asked = codes.select(low(k).alias("code")).distinct() if k < ORDER else codes
+        asked = asked.withColumn("context", F.shiftright("code", 8))
+        own = levels.where(F.col("k") == k).select("code", "n")
+        of = own.withColumn("context", F.shiftright("code", 8)).join(asked.select("context").distinct(), "context", "left_semi")
+        counts = [F.sum("n").cast("double").alias("total"), F.count("*").cast("double").alias("d")]
+        if k:
+            shorter = levels.where(F.col("k") == k - 1).select(F.col("code").alias("short"), F.col("n").alias("n_short"))
+            of = of.withColumn("short", low(k - 1)).join(shorter, "short")
+            counts.append(F.sum("n_short").alias("excluded"))
+        now = asked.join(own, "code", "left").join(of.groupBy("context").agg(*counts), "context", "left")
+        if k:
+            now = now.withColumn("short", low(k - 1)).join(before, "short")
+            fresh, whole = F.col("p_d") - F.col("d"), F.col("p_total") - F.col("excluded") + F.col("p_d") - F.col("d")
+            hit = F.log10("p_n") - F.log10(whole)
+            arrive = F.when(F.col("p_n").isNotNull(), hit).otherwise(F.when(fresh > 0, F.log10(fresh / whole)).otherwise(0.0) + F.col("p_arrive"))
+            none = F.col("p_start")
+        else:
+            arrive = -F.log10(F.greatest(256 - F.coalesce("d", F.lit(0.0)), F.lit(1.0)))
+            none = F.lit(-float(np.log10(256)))
+        now = now.withColumn("arrive", arrive)
+        seen = F.col("total") + F.col("d")
+        start = F.when(F.col("n").isNotNull(), F.log10("n") - F.log10(seen)).otherwise(F.log10(F.col("d") / seen) + F.col("arrive"))
+        now = now.withColumn("start", F.when(F.col("total").isNull(), none).otherwise(start))
+        step = ws.write(now.select(F.col("code").alias("short"), *(F.col(c).alias(f"p_{c}") for c in ("n", "total", "d", "arrive", "start"))), f"logs{k}")
+        if before is not None:
+            ws.drop(before)
+        before = step
+    return before.select(F.col("short").alias("code"), F.col("p_start").alias("log"))
 
 
-_SCORED = "n long, known long, logs double, score double, rest array<long>"
+_SCORED = "n long, known long, logs double, score double, rest array<long>, tail array<long>"
 
 
 def _scorer(data):
@@ -272,7 +319,12 @@ def _scorer(data):
         for batch in (b for big in batches for b in packed([big], "text", 1 << 20)):
             rows = batch.num_rows
             score = np.zeros(rows)
+            outside = [(np.zeros(0, np.int64), np.zeros(0, U))]
             for text, code in codes_of(batch.column("text"), ORDER):
+                if not model.whole:
+                    there = model.trie.nodes.find((code >> U(8)) | _tag(ORDER)) >= 0
+                    outside.append((text[~there], code[~there]))
+                    text, code = text[there], code[there]
                 score += np.bincount(text, weights=model.trie.logs(code), minlength=rows)
             words, whose = word_hashes(*text_bytes(batch.column("text")), lower=True)
             at = model.words.find(words)
@@ -281,35 +333,46 @@ def _scorer(data):
             logs = np.bincount(doc[head], weights=np.log10(model.head_count[at[head]] + 1.0), minlength=rows)
             known = np.bincount(doc[head], minlength=rows) + (model.ends > 0)
             rest = ~head
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[rest], minlength=rows)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words[rest].view(np.int64)))
+            lists = [
+                pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(([0], np.cumsum(np.bincount(whose_, minlength=rows)))).astype(np.int32)), pa.array(values.view(np.int64))
+                )
+                for whose_, values in ((doc[rest], words[rest]), [np.concatenate(x) for x in zip(*outside)])
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(whose) + 1), pa.array(known), pa.array(logs + np.log10(model.ends + 1.0)), pa.array(score), lists],
-                names=["doc_id", "n", "known", "logs", "score", "rest"],
+                [batch.column("doc_id"), pa.array(np.diff(whose) + 1), pa.array(known), pa.array(logs + np.log10(model.ends + 1.0)), pa.array(score), *lists],
+                names=["doc_id", "n", "known", "logs", "score", "rest", "tail"],
             )
 
     return run
 
 
-def score_texts(docs: DataFrame, learn: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, learn: DataFrame, entries: int = ENTRIES, head: int = HEAD) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of all ``docs``, learned from the texts of ``learn``."""
     spark = docs.sparkSession
     ws = Workspace(spark, "ppm")
     texts = learn.select(F.coalesce(learn["text"].cast("string"), F.lit("")).alias("text"))
-    model, words = train(texts, ws)
+    model, words, levels = train(texts, ws, entries, head)
     data = spark.sparkContext.broadcast(model)
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     scored = ws.write(narrow.mapInArrow(_scorer(data), "doc_id long, " + _SCORED).withColumn("rid", F.monotonically_increasing_id()), "scored")
     tail = scored.select("rid", F.explode("rest").alias("key"))
     seen = tail.join(words, "key").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
+    out = scored.drop("rest", "tail").join(seen, "rid", "left")
+    if not model.whole:
+        bytes_ = scored.select("rid", F.explode("tail").alias("code"))
+        logs = tail_logs(ws.write(bytes_.select("code").distinct(), "codes"), levels, ws)
+        out = out.join(bytes_.join(logs, "code").groupBy("rid").agg(F.sum("log").alias("tail_score")), "rid", "left")
+    else:
+        out = out.withColumn("tail_score", F.lit(0.0))
     whole = float(np.log10(model.tokens + model.vocabulary + 1))
-    out = scored.drop("rest").join(seen, "rid", "left").select(
+    out = out.select(
         "doc_id",
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n") * F.lit(whole)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
     )
     return ws.result(out)
 
