@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from test_odd_input import brute_ppm
 
-from tracewright.llm import decontaminate, minhash_dedup, ppm, substring_dedup
+from tracewright.llm import decontaminate, language_id, minhash_dedup, ppm, substring_dedup
 
 
 def test_repeated_rows_stay_once_and_keep_their_text(spark):
@@ -51,3 +52,15 @@ def test_ppm_scores_do_not_depend_on_the_head(spark, entries):
     found = {r.doc_id: r.score for r in ppm.score_texts(frame(ask), frame(learn), entries=entries, head=5).collect()}
     want = brute_ppm([t.encode() for t in learn], [t.encode() for t in ask], ppm.ORDER)
     assert max(abs(found[i] - w) for i, w in enumerate(want)) < 1e-4
+
+
+def test_a_large_language_takes_no_words_from_a_small_one(spark):
+    big = [f"big{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    small = [f"few{chr(97 + i)}" for i in range(20)]
+    rows = [(" ".join(big * 9 + ["both"] * 100), "en"), (" ".join([*small, "both"]), "xx")]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"), words=30, grams=100)
+    assert set(small) <= set(model.words)
+    total = np.array([400 * 9 + 100, 21])
+    want = np.log((np.array([100, 1]) + 0.5) / (total + 0.5 * (len(model.words) + 1)))
+    assert np.allclose(model.word_logs[model.words.index("both")], want, atol=1e-4)
+    assert set(language_id.gram_codes(small, 4)[1].tolist()) <= set(model.gram_codes[0].tolist())

@@ -2,7 +2,7 @@
 
 A word is a run of letters, lower-cased. Counts of words by language cover all training texts. The ``WORDS`` most frequent
 words of each language form the table of known words; the n-grams (4, 3, 2 and 1 characters) of all counted words, space-padded,
-form the tables for the rest, ``GRAMS`` of each length at most. Each known word adds its smoothed log frequency in every language. An
+form the tables for the rest, the ``GRAMS`` most frequent of each length and language. What is chosen in one language has its counts in all. Each known word adds its smoothed log frequency in every language. An
 unknown word adds the mean over its n-grams of the greatest length of which any is known. The language with the largest
 sum wins (ties: the smaller name); the score is its share after spreading the sums over the square root of the word count.
 
@@ -122,21 +122,29 @@ def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model | No
     gram_total = {(r[0], r[1]): r[2] for r in gram_counts.groupBy("lang", "size").agg(F.sum("n")).collect()}
 
     def top(df: DataFrame, key: str, most: int):
-        """The rows of the most frequent keys, at most about ``most``: those whose count reaches a threshold."""
-        level = df.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("b")).count().collect()
-        least, kept = 0, 0
-        for b, c in sorted(((r[0], r[1]) for r in level), reverse=True):
-            if kept and kept + c > most:
-                least = 2 ** ((b + 1) / 4)
-                break
-            kept += c
-        return df.where(F.col("n") >= least).toPandas()
-
-    vocabulary = top(counts, "word", words * len(languages))
+        """All rows of the keys that are among the most frequent of a language, at most about ``most`` of each: those whose count there
+        reaches a threshold of that language. So a chosen key has its counts in every language."""
+        level = defaultdict(list)
+        for lang, b, c in df.groupBy("lang", F.floor(F.log2("n") * 4).cast("int").alias("b")).count().collect():
+            level[lang].append((b, c))
+        least = []
+        for lang, sizes in level.items():
+            limit, kept = 0.0, 0
+            for b, c in sorted(sizes, reverse=True):
+                if kept and kept + c > most:
+                    limit = 2 ** ((b + 1) / 4)
+                    break
+                kept += c
+            least.append((lang, limit))
+        limits = spark.createDataFrame(least, "lang string, least double")  # a row for each language
+        chosen = ws.write(df.join(F.broadcast(limits), "lang").where("n >= least").select(key).distinct(), "chosen")
+        return df.join(chosen, key, "left_semi").toPandas()
+
+    vocabulary = top(counts, "word", words)
     known, word_logs = _logs(vocabulary["word"].to_numpy(str), vocabulary["lang"].to_numpy(), vocabulary["n"].to_numpy(), word_total, languages)
     codes, logs = [], []
     for size in LENGTHS:
-        part = top(gram_counts.where(F.col("size") == size), "code", grams * len(languages))
+        part = top(gram_counts.where(F.col("size") == size), "code", grams)
         c, v = _logs(part["code"].to_numpy(np.int64).view(np.uint64), part["lang"].to_numpy(), part["n"].to_numpy(),
                      {x: gram_total.get((x, size), 0) for x in languages}, languages)
         codes.append(c)
