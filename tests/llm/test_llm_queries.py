@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import math
-import zlib
 from collections import Counter
 
 import public_tokenizers
 import pytest
+from brute import held, kept_words, tiktoken_rows
 from compare import compare, duck
 
 import corpus_pipeline
@@ -26,10 +25,6 @@ def texts(spark, folder):
     return {r[0]: r[1] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
 
 
-def held(i: int, n: int, r: int) -> bool:
-    return zlib.crc32(str(i).encode()) % n == r
-
-
 def test_op2(spark, folder):
     langs = dict(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect())
     found = REGISTRY["op2_language_id"].run(spark, folder).collect()
@@ -67,33 +62,12 @@ def test_op7(spark, folder, texts):
     assert sum(score(1)) / len(score(1)) > sum(score(0)) / len(score(0))
 
 
-def kept_words(texts: list[str], window: int) -> list[tuple[int, list[bytes]]]:
-    words = [t.encode().split() for t in texts]
-    starts = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
-    out = []
-    for w in words:
-        gone = {i + k for i in range(len(w) - window + 1) if starts[tuple(w[i : i + window])] > 1 for k in range(window)}
-        out.append((len(w), [x for i, x in enumerate(w) if i not in gone]))
-    return out
-
-
 def test_op8(spark, folder, texts):
     ids = list(texts)
     want = {i: (n, n - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for i, (n, k) in zip(ids, kept_words([texts[i] for i in ids], 35))}
     assert {r[0]: tuple(r[1:]) for r in REGISTRY["op8_substring_dedup"].run(spark, folder).collect()} == want
 
 
-def tiktoken_rows(texts: dict) -> dict:
-    import numpy as np
-    import tiktoken
-
-    lines = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb")
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encode = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    sha = lambda b: hashlib.sha256(b).hexdigest()
-    return {i: (len(x := encode(t)), sha(np.array(x, "<u4").tobytes()), sha(t.encode())) for i, t in texts.items()}
-
-
 def test_op9(spark, folder, texts):
     found = REGISTRY["op9_bpe_tree"].run(spark, folder).collect()
     assert {r[0]: tuple(r[1:]) for r in found} == tiktoken_rows(texts)

@@ -11,8 +11,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from brute import kept_words, tiktoken_rows
 from pyspark.sql import functions as F
-from test_registered import kept_words, tiktoken_rows
 
 from tracewright.llm import bpe_tree, chat_format, decontaminate, language_id, minhash_dedup, pivot_search, ppm, substring_dedup, token_counts, toxicity, words
 from tracewright.llm.base import Workspace
