@@ -64,3 +64,10 @@ def test_a_large_language_takes_no_words_from_a_small_one(spark):
     want = np.log((np.array([100, 1]) + 0.5) / (total + 0.5 * (len(model.words) + 1)))
     assert np.allclose(model.word_logs[model.words.index("both")], want, atol=1e-4)
     assert set(language_id.gram_codes(small, 4)[1].tolist()) <= set(model.gram_codes[0].tolist())
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 8, 28])
+def test_sliding_argmin(width):
+    values = np.random.default_rng(width).integers(0, 9, 200).astype(np.uint64)
+    want = [i + int(values[i : i + width].argmin()) for i in range(200 - width + 1)]
+    assert substring_dedup.sliding_argmin(values, width).tolist() == want

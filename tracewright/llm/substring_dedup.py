@@ -42,11 +42,26 @@ _SEGMENT = "pick long, hot boolean, ka long, kb long, lo int, segment binary"
 _SPAN = "ka long, kb long, lo int, hi int"
 
 
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each ``width`` neighbouring values stands (the first of equal ones).
+
+    Minima of 2, 4, 8, ... neighbours come from those of half as many; two overlapping ones make any other width.
+    """
+    at, have = np.arange(len(values), dtype=np.int32), 1
+
+    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[b] < values[a], b, a)
+
+    while have * 2 <= width:
+        at, have = lesser(at[:-have], at[have:]), have * 2
+    return lesser(at[: len(at) - (width - have)], at[width - have :]) if have < width else at
+
+
 def _picks(window: int, seed: int):
     width = window - seed + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b for big in batches for b in packed([big], "text")):
+        for batch in (b for big in batches for b in packed([big], "text", 2 << 20)):
             words, whose = word_hashes(*text_bytes(batch.column("text")), lower=False)
             if len(words) < window:
                 continue
@@ -59,7 +74,7 @@ def _picks(window: int, seed: int):
             if not len(starts):
                 continue
             run_hash = grams(words, seed)
-            picked = np.lib.stride_tricks.sliding_window_view(run_hash, width).argmin(axis=1)[starts] + starts
+            picked = sliding_argmin(run_hash, width)[starts]
             first = np.flatnonzero(np.concatenate(([True], picked[1:] != picked[:-1])))
             last = np.concatenate((first[1:], [len(starts)])) - 1
             row = np.searchsorted(whose, starts[first], "right") - 1
