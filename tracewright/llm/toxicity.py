@@ -1,12 +1,14 @@
 """Toxicity scores: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
-Features are the byte n-grams (4 and 5 bytes, A-Z lower-cased) that a text contains, hashed into ``BUCKETS``. Over all
-labelled training rows the documents with each bucket are counted by class; the log ratio of the smoothed rates is the
-feature's scale. Buckets whose chi-squared is at least ``LEAST`` (the best ``FEATURES`` of them) enter a logistic regression
-with an L2 penalty, fitted on at most about ``SAMPLE`` labelled rows, taken by hash of the id. The model is a few tables of fixed size.
+The classifier learns from about ``SAMPLE`` labelled rows: ids are taken by hash, their short list is broadcast after it was counted, and
+only their texts leave the scan, so no text is shuffled for a label. Features are the n-grams of 4 and 5 characters (A-Z lower-cased) that a text
+contains, hashed into ``BUCKETS``. The sampled rows with each bucket are counted by class; the log ratio of the smoothed
+rates is the feature's scale. Buckets whose chi-squared is at least ``LEAST`` (the best ``FEATURES`` of them) enter a logistic regression
+with an L2 penalty. The model is a few tables of fixed size; every row is scored by it.
 
 Several labels for one id: toxic if any says so. Null labels and labels of unknown ids are ignored. Null and empty texts
-get the score of a text without any feature. Without a training row of either class all scores are 0.
+get the score of a text without any feature. Without a training row of either class all scores are 0. Rows that repeat an id are
+each scored; if they make the sample larger than asked, it is thinned by hash of the row.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.base import bucket, packed, query, table
-from tracewright.llm.words import _LOWER, U, mix, text_bytes
+from tracewright.llm.words import _BASE, _INVERSE, _LOWER, U, mix, powers, text_bytes
 
 SIZES = (4, 5)
 BUCKETS = 1 << 18
@@ -40,23 +42,27 @@ class Model:
 
 
 def slots_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, bucket) of the n-grams of all texts, one size and one piece of the bytes after the other.
+    """(text, bucket) of the character n-grams of all texts, one size and one piece of the bytes after the other.
 
     Within what one step gives, texts are in order. Pieces keep a long text from costing more memory.
     """
     data, offsets = text_bytes(column)
     for first in range(0, len(data), _PIECE):
-        piece = _LOWER[data[first : first + _PIECE + max(SIZES) - 1]]
+        piece = _LOWER[data[first : first + _PIECE + 4 * max(SIZES)]]  # n-grams may end in the next piece
         last = min(first + _PIECE, len(data))
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, first, last)))
-        room = offsets[text + 1] - np.arange(first, last)
+        text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, first, last)))
+        lead = np.append(np.flatnonzero((piece & 0xC0) != 0x80), len(piece))
+        begin = lead[: np.searchsorted(lead, last - first)]
+        text = text_of[begin]
+        total = np.zeros(len(piece) + 1, U)
+        np.cumsum((piece.astype(U) + U(1)) * powers(_BASE, len(piece)), out=total[1:])
+        back = powers(_INVERSE, len(piece))[begin]
         for size in SIZES:
-            n = max(0, min(len(piece) - size + 1, last - first))
-            code = np.full(n, size, U)
-            for i in range(size):
-                code = (code << U(8)) | piece[i : i + n]
-            fits = room[:n] >= size
-            yield text[:n][fits], (mix(code[fits]) >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+            n = max(0, min(len(begin), len(lead) - size))
+            end = lead[size : size + n]
+            fits = np.flatnonzero(end + first <= offsets[text[:n] + 1])
+            code = (total[end[fits]] - total[begin[fits]]) * back[fits] + U(size)
+            yield text[fits], (mix(code) >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
 def present(column: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +114,7 @@ def _logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, y: np.nd
     n, k = len(y), len(scale)
     w, b = np.ones(k), np.log((y.sum() + 1) / (n - y.sum() + 1))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
-    x = scale[columns]
+    x = scale[columns].astype(np.float32)
     for step in range(1, 301):
         z = np.bincount(rows, weights=x * w[columns], minlength=n) + b
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
@@ -119,8 +125,8 @@ def _logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, y: np.nd
     return w, float(b)
 
 
-def train(rows: DataFrame, features: int = FEATURES, sample: int = SAMPLE, penalty: float = PENALTY) -> Model | None:
-    """The model of labelled rows (doc_id, text, toxic 0/1)."""
+def train(rows: DataFrame, features: int = FEATURES, penalty: float = PENALTY) -> Model | None:
+    """The model of labelled rows (text, toxic 0/1): a bounded number of them, see ``labelled``."""
     counts = (
         rows.select("text", "toxic").mapInArrow(_class_counts, "slot int, clean long, toxic long")
         .groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
@@ -137,9 +143,7 @@ def train(rows: DataFrame, features: int = FEATURES, sample: int = SAMPLE, penal
     best = np.lexsort((slot, -tells))[: min(features, int((tells >= LEAST).sum()))]
     number = np.full(BUCKETS, -1, np.int32)
     number[slot[best]] = np.arange(len(best))
-    part = min(1.0, sample / total.sum())
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))) if part < 1 else rows
-    table_ = chosen.select("text", "toxic").mapInArrow(_features(number), "toxic int, features array<int>").limit(2 * sample).toArrow()
+    table_ = rows.select("text", "toxic").mapInArrow(_features(number), "toxic int, features array<int>").toArrow()
     lists = table_.column("features").combine_chunks()
     y = table_.column("toxic").to_numpy().astype(np.float64)
     sizes = np.diff(lists.offsets.to_numpy())
@@ -169,12 +173,19 @@ def _scorer(data):
     return run
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the rows that may be learned from: labelled, and not held out."""
-    marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
-    marks = marks.where(bucket(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text")).where(bucket(F.col("doc_id"), 4) != 2)
-    return texts.join(marks, "doc_id")
+def _share(key: Column, rows: int, sample: int) -> Column:
+    """True for about ``sample`` of ``rows`` rows, picked by hash."""
+    return F.pmod(F.xxhash64(F.lit(77), key), F.lit(1 << 20)) < F.lit(-(-sample * (1 << 20) // max(rows, 1)))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, toxic) of about ``sample`` rows that may be learned from: labelled, and not held out."""
+    marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic").where(bucket(F.col("doc_id"), 4) != 2)
+    marks = marks.where(_share(F.col("doc_id"), marks.agg(F.count_distinct("doc_id")).first()[0], sample))
+    marks = F.broadcast(marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))  # about ``sample`` pairs
+    rows = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text")).join(marks, "doc_id")
+    found = docs.select("doc_id").join(marks, "doc_id").count()
+    return (rows.where(_share(F.col("text"), found, sample)) if found > 2 * sample else rows).select("text", "toxic")
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
