@@ -107,5 +107,5 @@ def test_run_and_registry(spark, folder):
     import __spark_entry__ as registered
 
     names = [n for n in registered.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in registered.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in registered.queries()
     assert corpus_pipeline.run(spark, folder).count() > 0

@@ -8,6 +8,7 @@ from tracewright.llm import (  # noqa: F401
     minhash_dedup,
     pivot_search,
     ppm,
+    quality_rules,
     substring_dedup,
     token_counts,
     toxicity,
