@@ -6,6 +6,7 @@ from tracewright.llm import (  # noqa: F401
     decontaminate,
     language_id,
     minhash_dedup,
+    periodic_runs,
     pivot_search,
     ppm,
     quality_rules,
