@@ -4,6 +4,7 @@ from tracewright.llm import (  # noqa: F401
     bpe_tree,
     chat_format,
     decontaminate,
+    hard_negatives,
     language_id,
     minhash_dedup,
     periodic_runs,
