@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tracewright.functions import text
 from tracewright.operators import gates, responses, review
 from tracewright.schemas import SIGNATURE, USER_TAG
 
@@ -194,9 +195,11 @@ COMMENT_COLUMNS = "repo_id string, pull_request_id bigint, file string, line int
 
 
 def test_nearby_comments(spark):
-    security = spark.createDataFrame([("r", 1, "a", 10, None, "s", "security")] * 3, COMMENT_COLUMNS)
-    rows = [("r", 1, "a", n, None, "c", "issue") for n in range(5, 16)] + [("r", 1, "b", 10, None, "c", "issue")]
-    rows += [("r", 2, "a", 10, None, "c", "issue")]
+    found = "HIGH: Possible hardcoded password: 'x' (Rule: bandit B105)"
+    security = spark.createDataFrame([("r", 1, "a", 10, None, found, "security")] * 3, COMMENT_COLUMNS)
+    said = "Keep this secret elsewhere"
+    rows = [("r", 1, "a", n, None, said, "issue") for n in range(5, 16)] + [("r", 1, "b", 10, None, said, "issue")]
+    rows += [("r", 2, "a", 10, None, said, "issue")]
     comments = spark.createDataFrame(rows, COMMENT_COLUMNS)
     kept = review.drop_near_security(comments, security).collect()
     assert {(r["pull_request_id"], r["file"], r["line"]) for r in kept} == {
@@ -206,6 +209,32 @@ def test_nearby_comments(spark):
     assert review.drop_near_security(comments, none).count() == len(rows)
 
 
+def test_nearby_comments_on_other_concerns_stay(spark):
+    found = [("HIGH: Possible hardcoded password (Rule: bandit B105)", 10), ("MEDIUM: subprocess call with shell=True identified (Rule: bandit B602)", 10)]
+    security = spark.createDataFrame([("r", 1, "a", n, None, x, "security") for x, n in found], COMMENT_COLUMNS)
+    said = {
+        "Name this variable `config`, not `cfg`": True,
+        "hard-coded credentials!": False,
+        "Passwords belong in the vault": False,
+        "shell=True is not needed": False,
+        "HIGH and bandit alone say nothing": True,
+        "": True,
+        "the and for": True,
+    }
+    rows = [("r", 1, "a", 12, None, x, "issue") for x in said] + [("r", 1, "a", 12, None, None, "issue")]
+    kept = review.drop_near_security(spark.createDataFrame(rows, COMMENT_COLUMNS), security)
+    assert kept.columns == security.columns
+    assert {r["content"] for r in kept.collect()} == {x for x, stays in said.items() if stays} | {None}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_words_of_a_concern(spark):
+    texts = ["LOW: Use of MD5, the hash (Rule: bandit B303)", "Query built from SQL text", "sha-1 and Hashing", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(text.concern_words(F.col("t")).alias("w")).collect()
+    assert [sorted(r["w"]) for r in rows] == [["is_hashing"], ["built", "is_sql", "text"], ["is_hashing"], []]
+
+
 def test_review_rows(spark):
     comments = spark.createDataFrame(
         [

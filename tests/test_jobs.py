@@ -296,7 +296,7 @@ def test_review(spark):
         "repo_id string, pull_request_id bigint, filename string, line_number int, line_range array<int>, issue_severity string, test_id string, issue_text string",
     )
     said = spark.createDataFrame(
-        [("r", 1, "a.py", 5, None, "near", "issue"), ("r", 1, "a.py", 6, None, "far", "issue"), ("r", 1, "gone", 6, None, "x", "issue")],
+        [("r", 1, "a.py", 5, None, "a bad call", "issue"), ("r", 1, "a.py", 6, None, "a bad call", "issue"), ("r", 1, "gone", 6, None, "x", "issue")],
         "repo_id string, pull_request_id bigint, file string, line int, start_line int, content string, label string",
     )
     overview = spark.createDataFrame([("r", 1, "ov", None)], "repo_id string, pull_request_id bigint, code_overview string, since_sha string")

@@ -34,6 +34,20 @@ MERGE_COMMIT = r"\AMerge pull request #([0-9]+)"
 RERUN_WORDS = ("again", "full", "complete")
 BLAME_WORDS = r"(?i)\b(?:culprit|which pr|find pr|cause)"
 REVIEW_WORDS = r"(?i)\b(?:review|feedback|analyze pr)"
+# Wordings of one security concern; each counts as the same word when remarks are compared.
+CONCERNS = {
+    "credentials": r"hard[- ]?cod\w*|passw\w*|passphrases?|secrets?|credentials?|api[- ]?keys?",
+    "hashing": r"md5|sha-?1|hash\w*",
+    "shell": r"shell\w*|subprocess\w*|popen",
+    "sql": r"sql\w*|query|queries",
+    "randomness": r"random\w*|prng",
+    "transport": r"tls|ssl|certificates?|verify",
+    "parsing": r"pickle\w*|deseriali[sz]\w*|yaml|xml",
+    "evaluation": r"eval|exec",
+    "temporary": r"temp|temporary|tmp|mktemp",
+    "assertion": r"assert\w*",
+}
+COMMON_WORDS = ("the", "and", "for", "this", "that", "with", "not", "are", "use", "should", "possible", "here", "from", "into", "when")
 NO_TESTS = "No test steps provided."
 NO_FILES = "No files listed."
 NO_SUMMARY = "No code diff summary provided."
@@ -114,6 +128,19 @@ def classify_command(body: Column, subject: Column, tag: str = USER_TAG) -> Colu
     return bind(plain, decide)
 
 
+def concern_words(remark: Column) -> Column:
+    """What a review remark is about: its different words, without common ones, wordings of one concern as one word.
+
+    The severity before and the rule behind a scanner's remark are left out.
+    """
+    bare = F.regexp_replace(F.regexp_replace(remark, r"^[A-Z]+: ", ""), r" \(Rule: [^)]*\)$", "")
+    plain = F.lower(F.coalesce(bare, F.lit("")))
+    for name, wordings in CONCERNS.items():
+        plain = F.regexp_replace(plain, rf"\b(?:{wordings})\b", f" is_{name} ")
+    found = F.regexp_extract_all(plain, F.lit(r"[a-z0-9_]{3,}"), 0)
+    return F.array_except(found, F.array(*[F.lit(w) for w in COMMON_WORDS]))
+
+
 def mentions(body: Column, tag: str = USER_TAG) -> Column:
     return F.contains(F.lower(body), F.lit(tag.lower()))
 

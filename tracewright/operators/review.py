@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import concern_words
 from tracewright.schemas import COMMENT_LABELS, PUBLISHED_LABELS, SEVERITIES, SIGNATURE
 
 PULL = ["repo_id", "pull_request_id"]
 NEARBY = 3
+#: Least share of the smaller remark's words that two remarks on one concern have in common.
+OVERLAP = 0.5
 COMMENT = ["file", "line", "start_line", "content", "label"]
 
 
@@ -64,20 +67,26 @@ def findings_to_comments(findings: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_security(comments: DataFrame, security: DataFrame, nearby: int = NEARBY) -> DataFrame:
-    """Comments without those within ``nearby`` lines of a security comment on the same file.
+def drop_near_security(comments: DataFrame, security: DataFrame, nearby: int = NEARBY, overlap: float = OVERLAP) -> DataFrame:
+    """Comments without those that repeat a security comment: same file, at most ``nearby`` lines apart, similar concern.
 
-    The security side is small once it is one row per line, so its band is spelled out and the join stays a
-    plain equality, with at most one match per comment.
+    Two remarks are similar when they share at least ``overlap`` of the words of the one that has fewer (see ``concern_words``); remarks
+    without words are like no other. The security side is made distinct by line and words and its band spelled out, so the join stays an
+    equality whose matches only test word sets; it emits no pairs, and the first match settles a comment.
     """
     offsets = F.array(*[F.lit(d) for d in range(-nearby, nearby + 1)])
     band = (
-        security.select(*PULL, "file", "line")
+        security.select(*PULL, "file", "line", concern_words(F.col("content")).alias("words"))
         .distinct()
-        .select(*PULL, "file", F.explode(F.transform(offsets, lambda d: F.col("line") + d)).alias("line"))
+        .select(*PULL, "file", F.explode(F.transform(offsets, lambda d: F.col("line") + d)).alias("line"), "words")
         .distinct()
     )
-    return comments.join(band, [*PULL, "file", "line"], "left_anti")
+    c, s = comments.withColumn("_words", concern_words(F.col("content"))).alias("c"), band.alias("s")
+    shared = F.size(F.array_intersect("c._words", "s.words"))
+    fewer = F.least(F.size("c._words"), F.size("s.words"))
+    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in (*PULL, "file", "line")]
+    similar = (fewer > 0) & (shared >= overlap * fewer)
+    return c.join(s, [*same, similar], "left_anti").drop("_words")
 
 
 def merge_comments(security: DataFrame, comments: DataFrame) -> DataFrame:

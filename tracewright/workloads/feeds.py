@@ -243,6 +243,30 @@ def _repo_of_supplier() -> Column:
     return F.concat(F.lit("r"), F.pmod(F.col("l_suppkey"), F.lit(5))).alias("repo_id")
 
 
+FOUND = (
+    "Possible hardcoded password",
+    "Use of weak MD5 hash for security",
+    "subprocess call with shell enabled",
+    "Standard random generators are not suitable for tokens",
+    "Starting a process with a partial path",
+)
+SAID = (
+    "Move the hard-coded secret to the vault",
+    "Rename this variable",
+    "Prefer another hash than md5 here",
+    "The shell is not needed for this subprocess",
+    "Split this long function",
+    "Process path is partial",
+    "Tokens need a better generator",
+)
+
+
+def _picked(texts: tuple[str, ...], key: str) -> Column:
+    """One of the texts by a number, and the order it is about."""
+    chosen = F.get(F.array(*[F.lit(x) for x in texts]), (F.col(key) % len(texts)).cast("int"))
+    return F.concat(chosen, F.lit(", order "), "l_orderkey")
+
+
 def raw_findings(spark: SparkSession, d: str) -> DataFrame:
     line = F.col("l_partkey").cast("int")
     suffix = F.when(_hundredths("l_tax") > 7, ".ts").otherwise(".py")
@@ -256,16 +280,16 @@ def raw_findings(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("l_quantity") > 25, F.array(line - 2, line, line - 1)).alias("line_range"),
         level.alias("issue_severity"),
         F.concat(F.lit("B10"), "l_linenumber").alias("test_id"),
-        F.concat(F.lit("order "), "l_orderkey").alias("issue_text"),
+        _picked(FOUND, "l_linenumber").alias("issue_text"),
     )
 
 
-FINDINGS = """findings AS (
+FINDINGS = f"""findings AS (
   SELECT l_suppkey AS pull_request_id,
     'src/m' || l_linenumber || (CASE WHEN round(l_tax * 100) > 7 THEN '.ts' ELSE '.py' END) AS file_path,
     l_partkey::INTEGER AS line, CASE WHEN l_quantity > 25 THEN (l_partkey - 2)::INTEGER END AS start_line,
     CASE l_returnflag WHEN 'A' THEN 'low' WHEN 'N' THEN 'medium' ELSE 'high' END AS severity,
-    'B10' || l_linenumber AS rule_id, 'order ' || l_orderkey AS description
+    'B10' || l_linenumber AS rule_id, ({list(FOUND)})[l_linenumber % {len(FOUND)} + 1] || ', order ' || l_orderkey AS description
   FROM lineitem)"""
 
 
@@ -293,7 +317,7 @@ def review_comments(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("src/m"), "l_linenumber", F.lit(".py")).alias("file"),
         end.alias("line"),
         F.when(F.col("l_quantity") < 40, F.col("l_partkey").cast("int")).alias("start_line"),
-        F.concat(F.lit("see order "), "l_orderkey").alias("content"),
+        _picked(SAID, "l_orderkey").alias("content"),
         F.coalesce(F.get(labels, _hundredths("l_discount")), F.lit("todo")).alias("label"),
     )
 
@@ -301,7 +325,8 @@ def review_comments(spark: SparkSession, d: str) -> DataFrame:
 COMMENTS = f"""comments AS (
   SELECT l_suppkey AS pull_request_id, 'src/m' || l_linenumber || '.py' AS file,
     (l_partkey + round(l_tax * 100))::INTEGER AS line,
-    CASE WHEN l_quantity < 40 THEN l_partkey::INTEGER END AS start_line, 'see order ' || l_orderkey AS content,
+    CASE WHEN l_quantity < 40 THEN l_partkey::INTEGER END AS start_line,
+    ({list(SAID)})[l_orderkey % {len(SAID)} + 1] || ', order ' || l_orderkey AS content,
     coalesce(({list(COMMENT_LABELS)})[round(l_discount * 100)::INTEGER + 1], 'todo') AS label
   FROM lineitem)"""
 

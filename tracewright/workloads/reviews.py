@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import review_body
+from tracewright.functions.text import COMMON_WORDS, CONCERNS, review_body
 from tracewright.operators import gates, review
 from tracewright.operators.ordering import ordered_chunks
 from tracewright.plans import reviewing as plan
@@ -43,10 +43,21 @@ def finding_comments(spark: SparkSession, d: str) -> DataFrame:
     return _security(spark, d).drop("repo_id")
 
 
-KEPT = """kept AS (
-  SELECT c.* FROM comments c WHERE NOT EXISTS (
-    SELECT 1 FROM security s
-    WHERE s.pull_request_id = c.pull_request_id AND s.file = c.file AND abs(s.line - c.line) <= 3))"""
+def _words_sql(remark: str) -> str:
+    """The words of a remark, in SQL."""
+    plain = f"lower(regexp_replace(regexp_replace({remark}, '^[A-Z]+: ', ''), ' \\(Rule: [^)]*\\)$', ''))"
+    for name, wordings in CONCERNS.items():
+        plain = f"regexp_replace({plain}, '\\b(?:{wordings})\\b', ' is_{name} ', 'g')"
+    return f"list_distinct(list_filter(regexp_extract_all({plain}, '[a-z0-9_]{{3,}}'), lambda w: w NOT IN {COMMON_WORDS}))"
+
+
+KEPT = f"""said AS (SELECT *, row_number() OVER () AS said_id, {_words_sql("content")} AS said_words FROM comments),
+warned AS (SELECT DISTINCT pull_request_id, file, line, {_words_sql("content")} AS warned_words FROM security),
+repeats AS (
+  SELECT DISTINCT said_id FROM said c JOIN warned s ON s.pull_request_id = c.pull_request_id AND s.file = c.file AND abs(s.line - c.line) <= 3
+  WHERE 2 * len(list_intersect(said_words, warned_words)) >= least(len(said_words), len(warned_words))
+    AND least(len(said_words), len(warned_words)) > 0),
+kept AS (SELECT * EXCLUDE (said_id, said_words) FROM said WHERE said_id NOT IN (SELECT said_id FROM repeats))"""
 
 
 @query(ctes(FINDINGS, CHANGED, SECURITY, COMMENTS, KEPT) + "SELECT * FROM kept")
