@@ -17,8 +17,7 @@ from tracewright.plans import deploys, ingest, ranking, reviewing, source_index
 from tracewright.schemas import DIFFSTAT_PAGE, SIGNATURE, USER_TAG
 from tracewright.session import shared_dir
 from tracewright.sources import files
-from tracewright.streaming.ledger import append_comments, comment_ledger
-from tracewright.streaming.reviews import due_reviews, first_requests
+from tracewright.streaming.ledger import append_comments, comment_ledger, ledger_tables
 
 
 def test_source_tree(spark, tmp_path):
@@ -120,9 +119,8 @@ def test_ledger_batches_and_replay(spark, tmp_path):
         append_comments(rows, batch, root, ["at", "n"])
     append_comments(second.limit(0), 2, root, ["at", "n"])
     append_comments(comments(spark, [(when, 6, "dee")]), 3, root, ["at", "n"])
-    users = spark.read.parquet(f"{root}/users").orderBy("id").collect()
+    users, logs = (rows.orderBy("id").collect() for rows in ledger_tables(spark, root))
     assert [(r["id"], r["username"], r["name"]) for r in users] == [(1, "bob", "BOB"), (2, "ann", "ANN"), (3, "cy", "CY"), (4, "dee", "DEE")]
-    logs = spark.read.parquet(f"{root}/usage_logs").orderBy("id").collect()
     assert [(r["id"], r["user_id"], r["comment_url"]) for r in logs] == [
         (1, 1, "c/1"), (2, 2, "c/2"), (3, 1, "c/3"), (4, 3, "c/4"), (5, 2, "c/5"), (6, 4, "c/6"),
     ]
@@ -157,7 +155,7 @@ def test_comment_stream_restarts(spark, tmp_path):
     go()
     drop_in(inbox, "b.parquet", [row(4, "bob"), row(5, "ann")])
     go()
-    logs = spark.read.parquet(f"{root}/usage_logs").orderBy("id").collect()
+    logs = ledger_tables(spark, root)[1].orderBy("id").collect()
     assert [(r["id"], r["user_id"], r["comment_url"], r["command_name"]) for r in logs] == [
         (1, 1, "c/1", "blame"), (2, 2, "c/4", "blame"), (3, 1, "c/5", "blame"),
     ]
@@ -172,9 +170,10 @@ def test_bitbucket_stream(spark, tmp_path):
     events = spark.readStream.schema("ts timestamp, n bigint, body string").parquet(str(tmp_path / "in"))
     root = str(tmp_path / "state")
     comment_ledger(project_bitbucket(gate_bitbucket(events)), root, ["ts", "n"]).awaitTermination()
-    row = spark.read.parquet(f"{root}/usage_logs").first()
+    users, logs = ledger_tables(spark, root)
+    row = logs.first()
     assert (row["id"], row["user_id"], row["command_name"], row["comment_url"]) == (1, 1, "code_review", "c")
-    assert spark.read.parquet(f"{root}/users").first()["username"] == "nick"
+    assert users.first()["username"] == "nick"
 
 
 def test_first_row_of_many_files_wins(spark, tmp_path):
@@ -188,44 +187,6 @@ def test_first_row_of_many_files_wins(spark, tmp_path):
     assert got == {i: i // 200 + 1 for i in range(1200)}
 
 
-def test_review_state_over_batches(spark, tmp_path):
-    inbox = tmp_path / "in"
-    schema = "repo_id string, pull_request_id bigint, event_id bigint, ts timestamp, head_sha string, forced boolean"
-    row = lambda n, sha, forced=False, pr=1: {
-        "repo_id": "r", "pull_request_id": pr, "event_id": n, "ts": pd.Timestamp(2024, 1, 1, tz="UTC"), "head_sha": sha, "forced": forced,
-    }
-
-    def go():
-        rows = due_reviews(spark.readStream.schema(schema).parquet(str(inbox)))
-        stream = rows.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-
-    drop_in(inbox, "a.parquet", [row(2, "b"), row(1, "a"), row(3, "b"), row(4, "b", True), row(5, ""), row(1, "z", pr=2)])
-    go()
-    drop_in(inbox, "b.parquet", [row(6, "b"), row(7, "a"), row(8, "a", True)])
-    go()
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("pull_request_id", "event_id").collect()
-    assert [(r["pull_request_id"], r["event_id"], r["since_sha"]) for r in got] == [
-        (1, 1, None), (1, 2, "a"), (1, 4, None), (1, 7, "b"), (1, 8, None), (2, 1, None),
-    ]
-
-
-def test_issues_pass_once(spark, tmp_path):
-    inbox = tmp_path / "in"
-    schema = "repo_id string, issue_id bigint"
-
-    def go():
-        rows = first_requests(spark.readStream.schema(schema).parquet(str(inbox)))
-        stream = rows.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-
-    drop_in(inbox, "a.parquet", [{"repo_id": "r", "issue_id": n} for n in (1, 1, 2)])
-    go()
-    drop_in(inbox, "b.parquet", [{"repo_id": r, "issue_id": 1} for r in ("r", "s")])
-    go()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("r", 1), ("r", 2), ("s", 1)]
-
-
 def test_ingest(spark):
     commits = spark.createDataFrame(
         [("r", 1, "staging", "1", "Merge pull request #7 from a"), ("r", 1, "staging", "2", "Merge pull request #8 from b"),

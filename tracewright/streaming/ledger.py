@@ -2,48 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewright.operators.state import new_usage_logs, new_users
-from tracewright.schemas import INT, LONG, USAGE_LOGS, USERS, record
-from tracewright.sources.files import read_or_empty
+from tracewright.schemas import LONG, USAGE_LOGS, USERS, record
+from tracewright.streaming.tables import FAN, BatchTables
 
 COUNTERS = record(last_user=LONG, last_log=LONG)
+REDUCE = {"counters": lambda rows: rows.agg(F.max("last_user").alias("last_user"), F.max("last_log").alias("last_log"))}
+KEPT = ("users", "usage_logs", "counters")
 
 
-def _before(spark, root: str, table: str, schema, batch_id: int) -> DataFrame:
-    """What earlier batches wrote; the batch's own output, left by a failed try, is not seen."""
-    return read_or_empty(spark, f"{root}/{table}", schema.add("batch", INT)).filter(F.col("batch") < batch_id).drop("batch")
+def store_comments(tables: BatchTables, comments: DataFrame, order: list[str]) -> DataFrame:
+    """Users and logs of one batch of projected comments, which come back as a written table.
 
-
-def append_comments(comments: DataFrame, batch_id: int, root: str, order: list[str]) -> None:
-    """Store one batch of projected comments.
-
-    Each batch owns a folder of each table and overwrites it, so running a batch again changes nothing. Last
-    ids sit in one tiny row per batch, so no history is scanned for them. The projected comments are written
-    first: the steps below read them more than once.
+    Last ids sit in one tiny row per batch, so no history is scanned for them.
     """
-    spark = comments.sparkSession
-    shape = comments.schema
-    comments.write.mode("overwrite").parquet(f"{root}/comments/batch={batch_id}")
-    comments = spark.read.schema(shape).parquet(f"{root}/comments/batch={batch_id}")
-    table = lambda name, schema: _before(spark, root, name, record(**{f.name: f.dataType for f in schema}), batch_id)
-    last = table("counters", COUNTERS).agg(F.max("last_user"), F.max("last_log")).first()
+    comments = tables.save(comments, "comments")
+    last = tables.read("counters", COUNTERS).agg(F.max("last_user"), F.max("last_log")).first()
     last_user, last_log = last[0] or 0, last[1] or 0
-    users = table("users", USERS)
+    users = tables.read("users", USERS)
     now = F.col(order[0])
-    save = lambda df, name: df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
-
-    save(new_users(users, comments, order, last_user + 1, now), "users")
-    fresh = spark.read.schema(USERS).parquet(f"{root}/users/batch={batch_id}")
-    everyone = users.unionByName(fresh)
-    save(new_usage_logs(everyone, comments, order, last_log + 1, now), "usage_logs")
-    logs = spark.read.schema(USAGE_LOGS).parquet(f"{root}/usage_logs/batch={batch_id}")
+    fresh = tables.save(new_users(users, comments, order, last_user + 1, now), "users")
+    logs = tables.save(new_usage_logs(users.unionByName(fresh), comments, order, last_log + 1, now), "usage_logs")
     ends = fresh.agg(F.coalesce(F.max("id"), F.lit(last_user)).alias("last_user")).withColumn("one", F.lit(1))
     log_ends = logs.agg(F.coalesce(F.max("id"), F.lit(last_log)).alias("last_log")).withColumn("one", F.lit(1))
-    save(ends.join(log_ends, "one").drop("one"), "counters")
+    tables.save(ends.join(log_ends, "one").drop("one"), "counters")
+    return comments
+
+
+def append_comments(comments: DataFrame, batch_id: int, root: str, order: list[str], fan: int = FAN) -> None:
+    """Store one batch of projected comments; a batch that is stored already changes nothing."""
+    tables = BatchTables(comments.sparkSession, root, batch_id, REDUCE, fan)
+    if not tables.done:
+        store_comments(tables, comments, order)
+        tables.commit(KEPT)
 
 
 def comment_ledger(comments: DataFrame, root: str, order: list[str]) -> StreamingQuery:
@@ -52,9 +47,16 @@ def comment_ledger(comments: DataFrame, root: str, order: list[str]) -> Streamin
     ``comments`` is a stream of projected events of either host; ``order`` starts with the event time and ends
     unique.
     """
-    return (
-        comments.writeStream.foreachBatch(lambda df, batch_id: append_comments(df, batch_id, root, order))
-        .option("checkpointLocation", f"{root}/_progress")
-        .trigger(availableNow=True)
-        .start()
-    )
+    return in_batches(comments, root, lambda df, batch_id: append_comments(df, batch_id, root, order))
+
+
+def in_batches(rows: DataFrame, root: str, store) -> StreamingQuery:
+    """Hand all rows available now to ``store``, batch by batch; progress is kept under ``root``."""
+    writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/_progress")
+    return writer.trigger(availableNow=True).start()
+
+
+def ledger_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Users and usage logs as committed."""
+    tables = BatchTables(spark, root)
+    return tables.read("users", USERS), tables.read("usage_logs", USAGE_LOGS)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
 from tracewright.operators import gates
-from tracewright.schemas import SIGNATURE, USAGE_LOGS, USER_TAG, USERS
+from tracewright.schemas import BLOCKER_LABEL, SIGNATURE, USER_TAG
 from tracewright.session import scratch_path
-from tracewright.sources.files import read_or_empty
-from tracewright.streaming.ledger import comment_ledger
-from tracewright.streaming.reviews import DUE, due_reviews, first_requests
+from tracewright.streaming.job import comment_event_job as event_job
+from tracewright.streaming.job import outcomes
+from tracewright.streaming.ledger import comment_ledger, ledger_tables
+from tracewright.streaming.reviews import DUE, PROCESSED, issue_stream, review_stream
+from tracewright.streaming.tables import BatchTables
 from tracewright.workloads import feeds
 from tracewright.workloads.base import ctes, query, t
 from tracewright.workloads.feeds import EVENT_REASON
@@ -131,7 +135,8 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _event_bodies(events: DataFrame) -> DataFrame:
+def _event_bodies(events: DataFrame, tail: Column | None = None, rest: Sequence[Column] = ()) -> DataFrame:
+    """Events as the host sends them; ``tail`` is said at the end, ``rest`` stands beside the body."""
     kind = F.col("event_type")
     said = (
         F.when(kind == "purchase", f"{USER_TAG} review this")
@@ -143,7 +148,7 @@ def _event_bodies(events: DataFrame) -> DataFrame:
     payload = F.struct(
         F.when(kind == "error", "deleted").otherwise("created").alias("action"),
         F.struct(
-            said.alias("body"),
+            (said if tail is None else F.concat(said, tail)).alias("body"),
             F.concat(F.lit("https://tracker.test/c/"), "event_id").alias("url"),
             F.struct(F.concat(F.lit("user"), "user_id").alias("login")).alias("user"),
         ).alias("comment"),
@@ -153,7 +158,7 @@ def _event_bodies(events: DataFrame) -> DataFrame:
             F.col("user_id").alias("number"), F.when(kind == "purchase", F.struct(F.lit("u").alias("url"))).alias("pull_request")
         ).alias("issue"),
     )
-    return events.select("event_id", "ts", F.lit("issue_comment").alias("event_type"), F.to_json(payload).alias("body"))
+    return events.select("event_id", "ts", F.lit("issue_comment").alias("event_type"), F.to_json(payload).alias("body"), *rest)
 
 
 @query(
@@ -171,24 +176,13 @@ def event_stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "ledger")
     comments = gates.project_github(gates.gate_github(_event_bodies(_stream(spark, d))))
     comment_ledger(comments, root, ["ts", "event_id"]).awaitTermination()
-    people = read_or_empty(spark, f"{root}/users", USERS).select(F.col("id").alias("user_id"), "username")
-    logs = read_or_empty(spark, f"{root}/usage_logs", USAGE_LOGS)
+    users, logs = ledger_tables(spark, root)
+    people = users.select(F.col("id").alias("user_id"), "username")
     return logs.join(people, "user_id").select(
         "id", "user_id", "username", "command_name", "comment_url", F.col("created_at").cast("timestamp_ntz").alias("created_at")
     )
 
 
-def _finished(rows: DataFrame, root: str) -> None:
-    query = (
-        rows.writeStream.format("parquet")
-        .option("path", f"{root}/rows")
-        .option("checkpointLocation", f"{root}/_progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-
-
 DUE_SQL = """WITH heads AS (
   SELECT event_id, user_id, json_extract_string(props, '$.k')::BIGINT // 25 AS sha, event_type = 'purchase' AS forced,
     lag(json_extract_string(props, '$.k')::BIGINT // 25) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
@@ -216,8 +210,8 @@ DUE_COLUMNS = ["event_id", "pull_request_id", "head_sha", "since_sha", "forced"]
 def incremental_review(spark: SparkSession, d: str) -> DataFrame:
     """Review requests as a stream with the last commit of each pull request as state."""
     root = scratch_path(spark, "reviews")
-    _finished(due_reviews(_review_requests(_stream(spark, d))), root)
-    return spark.read.schema(DUE).parquet(f"{root}/rows").select(*DUE_COLUMNS)
+    review_stream(_review_requests(_stream(spark, d)), root).awaitTermination()
+    return BatchTables(spark, root).read("due", DUE).select(*DUE_COLUMNS)
 
 
 @query(DUE_SQL)
@@ -226,10 +220,79 @@ def review_backlog(spark: SparkSession, d: str) -> DataFrame:
     return gates.due_reviews(_review_requests(t(spark, d, "events"))).select(*DUE_COLUMNS)
 
 
-@query("SELECT DISTINCT user_id AS issue_id FROM events")
+# An issue is labelled from k = 30 on; it has culprits if its customer has an urgent order, the dearest three.
+def _ranker(spark: SparkSession, d: str):
+    urgent = t(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    order = F.struct(-F.col("o_totalprice"), "o_orderkey")
+
+    def rank(issues: DataFrame) -> DataFrame:
+        found = urgent.join(issues, F.col("o_custkey") == F.col("issue_id")).groupBy("repo_id", "issue_id")
+        best = found.agg(F.slice(F.sort_array(F.collect_list(order)), 1, 3).alias("best"))
+        return best.select("repo_id", "issue_id", F.transform("best", lambda b: b["o_orderkey"]).alias("culprits"))
+
+    return rank
+
+
+def _labels() -> Column:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return F.when(k >= 30, F.array(F.lit("bug"), F.lit(BLOCKER_LABEL))).otherwise(F.array(F.lit("bug")))
+
+
+FIRSTS = """urgent AS (SELECT DISTINCT o_custkey AS issue_id FROM orders WHERE o_orderpriority = '1-URGENT'),
+asked AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events),"""
+
+
+@query(
+    "WITH " + FIRSTS + """
+best AS (SELECT o_custkey AS issue_id, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey)[1:3] AS culprits
+  FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+SELECT issue_id, event_id, culprits FROM (SELECT DISTINCT ON (user_id) user_id, event_id FROM asked WHERE k >= 30 ORDER BY user_id, ts, event_id) f
+JOIN best ON issue_id = user_id"""
+)
 def process_once(spark: SparkSession, d: str) -> DataFrame:
-    """Ranking requests as a stream; each issue passes once."""
-    requests = _stream(spark, d).select(F.lit(feeds.REPO).alias("repo_id"), F.col("user_id").alias("issue_id"))
+    """Ranking requests as a stream; each issue is processed once, by its first labelled request that finds culprits."""
+    requests = _stream(spark, d).select(F.lit(feeds.REPO).alias("repo_id"), F.col("user_id").alias("issue_id"), "event_id", "ts", _labels().alias("labels"))
     root = scratch_path(spark, "once")
-    _finished(first_requests(requests), root)
-    return spark.read.schema(requests.schema).parquet(f"{root}/rows").select("issue_id")
+    issue_stream(requests, root, _ranker(spark, d)).awaitTermination()
+    return BatchTables(spark, root).read("processed", PROCESSED).select("issue_id", "event_id", "culprits")
+
+
+def _job_comments(events: DataFrame) -> DataFrame:
+    """Projected comments with the labels of their issue and the head of their change; every tenth event asks for a full review."""
+    commit = F.floor(F.get_json_object("props", "$.k").cast("bigint") / 25).cast("string")
+    rest = [_labels().alias("labels"), F.concat(F.lit("c"), commit).alias("head_sha")]
+    full = F.when(F.col("event_id") % 10 == 0, " full").otherwise("")
+    return gates.project_github(gates.gate_github(_event_bodies(events, full, rest)))
+
+
+JOB_SQL = (
+    "WITH "
+    + FIRSTS
+    + """
+admitted AS (
+  SELECT *, row_number() OVER (ORDER BY ts, event_id) AS log_id, 'user' || user_id AS username,
+    CASE event_type WHEN 'purchase' THEN 'code_review' WHEN 'click' THEN 'blame' ELSE 'unknown' END AS route
+  FROM asked WHERE event_type IN ('purchase', 'click', 'signup')),
+success AS (
+  SELECT DISTINCT ON (user_id) user_id, ts, event_id FROM admitted SEMI JOIN urgent ON issue_id = user_id
+  WHERE route = 'blame' AND k >= 30 ORDER BY user_id, ts, event_id),
+heads AS (
+  SELECT event_id, 'c' || (k // 25) AS sha, event_id % 10 = 0 AS forced,
+    lag('c' || (k // 25)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
+  FROM admitted WHERE route = 'code_review')
+SELECT a.event_id, log_id, username, route,
+  CASE route WHEN 'unknown' THEN 'unknown'
+    WHEN 'blame' THEN CASE WHEN (a.ts, a.event_id) > (s.ts, s.event_id) THEN 'already processed' WHEN k < 30 THEN 'not labeled'
+      WHEN s.event_id IS NOT NULL THEN 'processed' ELSE 'no culprits' END
+    ELSE CASE WHEN forced OR before IS NULL OR before <> sha THEN 'review' ELSE 'skip' END END AS outcome,
+  CASE WHEN route = 'code_review' AND NOT forced AND before <> sha THEN before END AS since_sha
+FROM admitted a LEFT JOIN success s ON s.user_id = a.user_id LEFT JOIN heads h ON h.event_id = a.event_id"""
+)
+
+
+@query(JOB_SQL)
+def comment_event_job(spark: SparkSession, d: str) -> DataFrame:
+    """The event stream through gate, ledger, rankings and reviews; what became of each admitted comment."""
+    root = scratch_path(spark, "job")
+    event_job(_job_comments(_stream(spark, d)), root, _ranker(spark, d)).awaitTermination()
+    return outcomes(spark, root)
