@@ -6,11 +6,14 @@ for escaping to the context one byte shorter (method C). After an escape the byt
 excluded there: their counts and their part of the escape count leave the denominator. Below the empty context stand all bytes not
 excluded yet, with equal shares. A text's score is the sum of log10 of its bytes' probabilities.
 
-Counting: one row for each distinct run of ORDER + 1 bytes, summed by Spark; shorter contexts follow by summing again.
-The trie that goes to the tasks is a head of ``ENTRIES`` (context, byte) entries at most: contexts seen less often than a threshold
-(from a histogram over the whole corpus) are not in it. A context is never seen more often than a shorter end of it, so bytes whose
-whole context is in the head are scored there exactly. All others are scored from the full counts: their distinct codes meet the counts
-order by order in equi-joins, and the results are joined back to the texts. So every score is that of the whole model.
+Counting: one row for each distinct run of ORDER + 1 bytes (a code), with how often it is learned and how often asked for. All contexts of
+a byte end in the same bytes, so codes are dealt out once by their last ``SHARED`` context bytes: each task builds the trie of the
+contexts it has, from three bytes up, over those of up to two bytes (2^24 entries at the outside), and gives the logarithm of every distinct code
+that any text asks for. Hot endings are few distinct codes, however often the texts repeat them.
+
+Scoring: the codes asked for most often (at most ``ENTRIES``, by a threshold from a histogram over the whole corpus) travel with
+their logarithms; a byte is one lookup. All other codes, in pieces of bounded length, meet the table of logarithms in an equi-join whose keys are rare
+by choice, and its sums are added to the rows. So every score is that of the whole model, whatever the size of the head.
 
 Baseline: log10((c + 1) / (N + V + 1)) for every token, exactly, for any vocabulary: words that reach a count threshold (at most
 ``HEAD``, from a histogram) are looked up in the task, all other tokens are joined to their counts by hash. Words are 64-bit hashes.
@@ -26,17 +29,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.base import Workspace, bucket, packed, query, table
 from tracewright.llm.words import U, mix, text_bytes, word_hashes
 
 ORDER = 6
+SHARED = 3
 ENTRIES = 1 << 21
 HEAD = 1 << 19
 _SLICE = 1 << 19
 _MERGE = 1 << 21
+_LOAD = 1 << 19
+_PIECE = 1 << 16
 
 
 def codes_of(column: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,36 +74,45 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
-def _counter(kind: str, order: int = ORDER):
-    """Counts of n-grams or words in one task, handed on whenever they get many."""
+def _counted(found: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys and their counts, handed on whenever they get many."""
+    held, size = [], 0
+    for values in found:
+        keys, n = np.unique(values, return_counts=True)
+        held.append((keys, n.astype(np.int64)))
+        size += len(keys)
+        if size > _MERGE:
+            held = [_merged(held)]
+            size = len(held[0][0])
+            if size > _MERGE // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield _merged(held)
 
-    def runs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        if kind == "words":
-            yield word_hashes(*text_bytes(batch.column("text")), lower=True)[0]
-        else:
-            for _, code in codes_of(batch.column("text"), order):
-                yield code
 
-    def rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+_COUNTS = "ending long, code long, learned long, asked long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+
+def _code_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes of all texts with their ending; the lowest two bits of a key say whether the text is learned from and asked for."""
+
+    def keys() -> Iterator[np.ndarray]:
         for batch in (b for big in batches for b in packed([big], "text", 4 << 20)):
-            for found in runs(batch):
-                keys, n = np.unique(found, return_counts=True)
-                held.append((keys, n.astype(np.int64)))
-                size += len(keys)
-                if size > _MERGE:
-                    held = [_merged(held)]
-                    size = len(held[0][0])
-                    if size > _MERGE // 2:
-                        yield rows(*held[0])
-                        held, size = [], 0
-        if held:
-            yield rows(*_merged(held))
+            use = 2 * batch.column("learn").to_numpy(zero_copy_only=False).astype(np.int64) + batch.column("ask").to_numpy(zero_copy_only=False)
+            for text, code in codes_of(batch.column("text"), ORDER):
+                yield (code << U(2)) | use.astype(U)[text]
+
+    for key, n in _counted(keys()):
+        use, code = (key & U(3)).astype(np.int64), (key >> U(2)).view(np.int64)
+        ending = (code >> 8) & ((1 << (8 * SHARED)) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ending, code, n * (use >> 1), n * (use & 1))], names=["ending", "code", "learned", "asked"])
 
-    return run
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = (word_hashes(*text_bytes(b.column("text")), lower=True)[0] for big in batches for b in packed([big], "text", 4 << 20))
+    for key, n in _counted(found):
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
 
 class Lookup:
@@ -203,25 +218,70 @@ class Trie:
         return out
 
 
+def _low(code: np.ndarray, order: int) -> np.ndarray:
+    return code & U((1 << (8 * (order + 1))) - 1)
+
+
+def _sums(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _merged([(code, n)])
+
+
+_LOGS = "code long, asked long, log float"
+
+
+def _code_logs(data):
+    """Reads counts by ending; a load of whole endings, over the short contexts, is a trie that has all contexts of its codes."""
+
+    def solve(load: pa.Table) -> pa.RecordBatch:
+        code, learned, asked = (load.column(c).to_numpy() for c in ("code", "learned", "asked"))
+        short_code, short_n = data.value
+        known = np.flatnonzero(learned)
+        orders, codes, counts = [], [], []
+        for k in range(ORDER + 1):
+            kept, n = (code[known].view(U), learned[known]) if k >= SHARED else (short_code, short_n)
+            kept, n = _sums(_low(kept, k), n)
+            orders.append(np.full(len(kept), k))
+            codes.append(kept)
+            counts.append(n)
+        trie = Trie(np.concatenate(orders), np.concatenate(codes), np.concatenate(counts), ORDER)
+        want = np.flatnonzero(asked)
+        logs = np.concatenate([trie.logs(code[want[i : i + _LOAD]].view(U)) for i in range(0, len(want), _LOAD)] or [np.zeros(0)])
+        return pa.RecordBatch.from_arrays([pa.array(code[want]), pa.array(asked[want]), pa.array(logs.astype(np.float32))], names=["code", "asked", "log"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            ending = batch.column("ending").to_numpy()
+            border = int(np.searchsorted(ending, ending[-1])) if len(ending) else 0  # the last ending may go on in the next batch
+            size += batch.num_rows
+            if size >= _LOAD and (border or (held and held[-1].column("ending")[-1].as_py() != ending[0])):
+                yield solve(pa.Table.from_batches([*held, batch.slice(0, border)]))
+                held, size = [batch.slice(border)], batch.num_rows - border
+            elif batch.num_rows:
+                held.append(batch)
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return run
+
+
 @dataclass
 class Model:
-    order: np.ndarray
     code: np.ndarray
-    count: np.ndarray
+    log: np.ndarray
     head: np.ndarray
     head_count: np.ndarray
     tokens: int
     vocabulary: int
     ends: int
-    whole: bool  # all contexts are in the trie
-    trie: Trie | None = None
+    codes: Lookup | None = None
     words: Lookup | None = None
 
     def ready(self) -> Model:
         """Built once in each Python process."""
-        if self.trie is None:
-            self.trie = Trie(self.order, self.code, self.count, ORDER)
-            self.words = Lookup(self.head)
+        if self.codes is None:
+            self.codes, self.words = Lookup(self.code), Lookup(self.head)
         return self
 
 
@@ -239,146 +299,108 @@ def _bin(n):
     return F.floor(F.log2(n) * 8 + 1e-9).cast("int")
 
 
-def train(texts: DataFrame, ws: Workspace, entries: int = ENTRIES, head: int = HEAD) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of all rows of ``texts`` (text), the counts (key, n) of all words and (k, code, n) of all contexts and bytes."""
-    grams = ws.write(texts.mapInArrow(_counter("grams"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    words = ws.write(texts.mapInArrow(_counter("words"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    levels = None
-    for k in range(ORDER, -1, -1):
-        level = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        level = level.select(F.lit(k).alias("k"), "code", "n")
-        levels = level if levels is None else levels.unionByName(level)
-    levels = ws.write(levels, "levels")
-    nodes = levels.groupBy("k", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("d"))
-    nodes = ws.write(nodes, "nodes")
-    ws.drop(grams)
-    least = _threshold(nodes.where("k > 0").groupBy(_bin(F.col("total")).alias("b")).agg(F.sum("d")).collect(), entries)
-    whole = nodes.where((F.col("k") > 0) & (F.col("total") < least)).isEmpty()
-    kept = nodes.where((F.col("k") == 0) | (F.col("total") >= least)).select("k", "context")
-    trie = levels.withColumn("context", F.shiftright("code", 8)).join(kept, ["k", "context"]).select("k", "code", "n").toArrow()
-    ws.drop(nodes)
+def train(rows: DataFrame, ws: Workspace, entries: int = ENTRIES, head: int = HEAD) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the ``rows`` (text, learn, ask) that are learned from, the counts (key, n) of all words and the (code, asked, log) of
+    all codes asked for."""
+    spark = rows.sparkSession
+    sums = [F.sum("learned").alias("learned"), F.sum("asked").alias("asked")]
+    counts = rows.select("text", "learn", "ask").mapInArrow(_code_counts, _COUNTS).repartition("ending").groupBy("ending", "code").agg(*sums)
+    counts = ws.write(counts, "counts")
+    low = F.col("code").bitwiseAND(F.lit((1 << (8 * SHARED)) - 1))  # a byte after up to two bytes
+    short = counts.where("learned > 0").groupBy(low.alias("code")).agg(F.sum("learned").alias("n")).toArrow()
+    data = spark.sparkContext.broadcast((short.column("code").to_numpy().astype(np.int64).view(U), short.column("n").to_numpy().astype(np.int64)))
+    logs = ws.write(counts.repartition("ending").sortWithinPartitions("ending").mapInArrow(_code_logs(data), _LOGS), "logs")
+    ws.drop(counts)
+    texts = rows.where("learn")
+    words = ws.write(texts.select("text").mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    least = _threshold(logs.groupBy(_bin(F.col("asked")).alias("b")).count().collect(), entries)
+    often = logs.where(F.col("asked") >= least).select("code", "log").toArrow()
     least = _threshold(words.groupBy(_bin(F.col("n")).alias("b")).count().collect(), head)
     top = words.where(F.col("n") >= least).toArrow()
-    sums = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = texts.count()
     model = Model(
-        trie.column("k").to_numpy().astype(np.int64), trie.column("code").to_numpy().astype(np.int64).view(U), trie.column("n").to_numpy(),
-        top.column("key").to_numpy().astype(np.int64).view(U), top.column("n").to_numpy(), sums[1] + ends, sums[0] + bool(ends), ends, whole,
+        often.column("code").to_numpy().astype(np.int64).view(U), often.column("log").to_numpy().astype(np.float32),
+        top.column("key").to_numpy().astype(np.int64).view(U), top.column("n").to_numpy(), tokens + ends, kinds + bool(ends), ends,
     )
-    return model, words, levels
-
-
-def tail_logs(codes: DataFrame, levels: DataFrame, ws: Workspace) -> DataFrame:
-    """(code, log): log10 of the probability of each distinct code, from all counts, shortest contexts first.
-
-    A step knows for each (context of k bytes, byte) ``start``, the logarithm when this context is the first one tried, and ``arrive``, that of
-    what follows an escape from it.
-    """
-
-    def low(k: int) -> Column:
-        return F.col("code").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
-
-    before = None
-    for k in range(ORDER + 1):
-        asked = codes.select(low(k).alias("code")).distinct() if k < ORDER else codes
-        asked = asked.withColumn("context", F.shiftright("code", 8))
-        own = levels.where(F.col("k") == k).select("code", "n")
-        of = own.withColumn("context", F.shiftright("code", 8)).join(asked.select("context").distinct(), "context", "left_semi")
-        counts = [F.sum("n").cast("double").alias("total"), F.count("*").cast("double").alias("d")]
-        if k:
-            shorter = levels.where(F.col("k") == k - 1).select(F.col("code").alias("short"), F.col("n").alias("n_short"))
-            of = of.withColumn("short", low(k - 1)).join(shorter, "short")
-            counts.append(F.sum("n_short").alias("excluded"))
-        now = asked.join(own, "code", "left").join(of.groupBy("context").agg(*counts), "context", "left")
-        if k:
-            now = now.withColumn("short", low(k - 1)).join(before, "short")
-            fresh, whole = F.col("p_d") - F.col("d"), F.col("p_total") - F.col("excluded") + F.col("p_d") - F.col("d")
-            hit = F.log10("p_n") - F.log10(whole)
-            arrive = F.when(F.col("p_n").isNotNull(), hit).otherwise(F.when(fresh > 0, F.log10(fresh / whole)).otherwise(0.0) + F.col("p_arrive"))
-            none = F.col("p_start")
-        else:
-            arrive = -F.log10(F.greatest(256 - F.coalesce("d", F.lit(0.0)), F.lit(1.0)))
-            none = F.lit(-float(np.log10(256)))
-        now = now.withColumn("arrive", arrive)
-        seen = F.col("total") + F.col("d")
-        start = F.when(F.col("n").isNotNull(), F.log10("n") - F.log10(seen)).otherwise(F.log10(F.col("d") / seen) + F.col("arrive"))
-        now = now.withColumn("start", F.when(F.col("total").isNull(), none).otherwise(start))
-        step = ws.write(now.select(F.col("code").alias("short"), *(F.col(c).alias(f"p_{c}") for c in ("n", "total", "d", "arrive", "start"))), f"logs{k}")
-        if before is not None:
-            ws.drop(before)
-        before = step
-    return before.select(F.col("short").alias("code"), F.col("p_start").alias("log"))
-
-
-_SCORED = "n long, known long, logs double, score double, rest array<long>, tail array<long>"
+    return model, words, logs
+
+
+_SCORED = "rid long, doc_id long, n long, known long, logs double, score double, codes array<long>, words array<long>"
+
+
+def _piece(rid: pa.Array, owner: np.ndarray, values: np.ndarray, name: str) -> pa.RecordBatch:
+    """Rows (rid, list) of values by owner (in order), each list of bounded length."""
+    begin = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1])))
+    begin = np.unique(np.concatenate([begin, np.arange(0, len(owner), _PIECE)]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(owner)).astype(np.int32)), pa.array(values.view(np.int64)))
+    rid = rid.take(pa.array(owner[begin]))
+    columns = {"rid": rid, name: lists}
+    kinds = {"codes": pa.list_(pa.int64()), "words": pa.list_(pa.int64()), "logs": pa.float64(), "score": pa.float64()}
+    names = [part.split()[0] for part in _SCORED.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(len(begin), kinds.get(c, pa.int64())) for c in names], names=names)
 
 
 def _scorer(data):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = data.value.ready()
         for batch in (b for big in batches for b in packed([big], "text", 1 << 20)):
-            rows = batch.num_rows
+            rows, rid = batch.num_rows, batch.column("rid")
             score = np.zeros(rows)
-            outside = [(np.zeros(0, np.int64), np.zeros(0, U))]
             for text, code in codes_of(batch.column("text"), ORDER):
-                if not model.whole:
-                    there = model.trie.nodes.find((code >> U(8)) | _tag(ORDER)) >= 0
-                    outside.append((text[~there], code[~there]))
-                    text, code = text[there], code[there]
-                score += np.bincount(text, weights=model.trie.logs(code), minlength=rows)
+                at = model.codes.find(code)
+                there = at >= 0
+                score += np.bincount(text[there], weights=model.log[at[there]], minlength=rows)
+                if not there.all():
+                    yield _piece(rid, text[~there], code[~there], "codes")
             words, whose = word_hashes(*text_bytes(batch.column("text")), lower=True)
             at = model.words.find(words)
             doc = np.repeat(np.arange(rows), np.diff(whose))
             head = at >= 0
             logs = np.bincount(doc[head], weights=np.log10(model.head_count[at[head]] + 1.0), minlength=rows)
             known = np.bincount(doc[head], minlength=rows) + (model.ends > 0)
-            rest = ~head
-            lists = [
-                pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(np.bincount(whose_, minlength=rows)))).astype(np.int32)), pa.array(values.view(np.int64))
-                )
-                for whose_, values in ((doc[rest], words[rest]), [np.concatenate(x) for x in zip(*outside)])
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(whose) + 1), pa.array(known), pa.array(logs + np.log10(model.ends + 1.0)), pa.array(score), *lists],
-                names=["doc_id", "n", "known", "logs", "score", "rest", "tail"],
-            )
+            if not head.all():
+                yield _piece(rid, doc[~head], words[~head], "words")
+            none = pa.nulls(rows, pa.list_(pa.int64()))
+            own = (np.diff(whose) + 1, known, logs + np.log10(model.ends + 1.0), score)
+            yield pa.RecordBatch.from_arrays([rid, batch.column("doc_id"), *map(pa.array, own), none, none], names=[part.split()[0] for part in _SCORED.split(", ")])
 
     return run
 
 
-def score_texts(docs: DataFrame, learn: DataFrame, entries: int = ENTRIES, head: int = HEAD) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of all ``docs``, learned from the texts of ``learn``."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "ppm")
-    texts = learn.select(F.coalesce(learn["text"].cast("string"), F.lit("")).alias("text"))
-    model, words, levels = train(texts, ws, entries, head)
-    data = spark.sparkContext.broadcast(model)
-    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    scored = ws.write(narrow.mapInArrow(_scorer(data), "doc_id long, " + _SCORED).withColumn("rid", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("rid", F.explode("rest").alias("key"))
+def score_rows(rows: DataFrame, ws: Workspace, entries: int = ENTRIES, head: int = HEAD) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of the ``rows`` (doc_id, text, learn, ask) that are asked for."""
+    rows = rows.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    model, words, logs = train(rows, ws, entries, head)
+    data = rows.sparkSession.sparkContext.broadcast(model)
+    asked = rows.where("ask").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = ws.write(asked.mapInArrow(_scorer(data), _SCORED), "scored")
+    tail = scored.where("words IS NOT NULL").select("rid", F.explode("words").alias("key"))
     seen = tail.join(words, "key").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
-    out = scored.drop("rest", "tail").join(seen, "rid", "left")
-    if not model.whole:
-        bytes_ = scored.select("rid", F.explode("tail").alias("code"))
-        logs = tail_logs(ws.write(bytes_.select("code").distinct(), "codes"), levels, ws)
-        out = out.join(bytes_.join(logs, "code").groupBy("rid").agg(F.sum("log").alias("tail_score")), "rid", "left")
-    else:
-        out = out.withColumn("tail_score", F.lit(0.0))
+    codes = scored.where("codes IS NOT NULL").select("rid", F.explode("codes").alias("code"))
+    rest = codes.join(logs, "code").groupBy("rid").agg(F.sum("log").alias("rest"))
+    out = scored.where("n IS NOT NULL").drop("codes", "words").join(seen, "rid", "left").join(rest, "rid", "left")
     whole = float(np.log10(model.tokens + model.vocabulary + 1))
-    out = out.select(
+    return ws.result(out.select(
         "doc_id",
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n") * F.lit(whole)).alias("base_score"),
-        (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
-    )
-    return ws.result(out)
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
+    ))
+
+
+def score_texts(docs: DataFrame, learn: DataFrame, entries: int = ENTRIES, head: int = HEAD) -> DataFrame:
+    """Like ``score_rows``, for all ``docs`` (doc_id, text), learned from the texts of another table."""
+    asked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.lit(False).alias("learn"), F.lit(True).alias("ask"))
+    learned = learn.select(F.lit(None).cast("long").alias("doc_id"), learn["text"], F.lit(True).alias("learn"), F.lit(False).alias("ask"))
+    return score_rows(asked.unionByName(learned), Workspace(docs.sparkSession, "ppm"), entries, head)
 
 
 @query("op5_ppm_scores")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = score_texts(docs, docs.where(bucket(F.col("doc_id"), 7) != 2))
+    docs = table(spark, folder, "documents")
+    rows = docs.select("doc_id", "text", (bucket(F.col("doc_id"), 7) != 2).alias("learn"), F.lit(True).alias("ask"))
+    out = score_rows(rows, Workspace(spark, "op5"))
     return out.withColumn("held_out", bucket(F.col("doc_id"), 7) == 2)
