@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.numbers import cosine, norm
@@ -10,8 +10,11 @@ from tracewright.functions.text import candidate_card
 from tracewright.operators.ordering import rank_slice
 
 PAGE = 25
+#: Issues and changes of a cell; with wide vectors a few MB.
+BLOCK = 512
 ISSUE = ["repo_id", "issue_id"]
 PULL = ["repo_id", "pull_request_id"]
+CELL = ["repo_id", "issue_block", "pull_block"]
 
 
 def with_embedding(pull_requests: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -30,27 +33,69 @@ def without_cherry_picks(pull_requests: DataFrame) -> DataFrame:
     return pull_requests.filter(~F.contains(F.lower("title"), F.lit("cp staging")))
 
 
-def score_links(links: DataFrame, issue_vectors: DataFrame, pull_vectors: DataFrame) -> DataFrame:
+def _prepared(vectors: DataFrame, key: str) -> DataFrame:
+    """(repo_id, key, vector, norm) of the vectors there are; norms are taken once per vector."""
+    known = vectors.filter(F.col("embedding").isNotNull())
+    return known.select("repo_id", key, F.col("embedding").alias("vector"), norm(F.col("embedding")).alias("norm"))
+
+
+def _fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own estimate is below its broadcast limit."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def score_links(links: DataFrame, issue_vectors: DataFrame, pull_vectors: DataFrame, block: int | None = None) -> DataFrame:
     """Cosine similarity of every linked pair; only keys and the score leave this step.
 
-    Norms are taken once per vector, not once per pair, and vectors keep their stored width. The change side joins
-    first, so that only ids and each change's vector once go through that shuffle; the issue side is the smaller
-    one and joins in place where Spark can broadcast it.
+    Vectors that Spark can broadcast are joined in place. Beyond that, or with ``block``, links are laid out in cells (see ``score_in_cells``).
     """
+    issue, pull = _prepared(issue_vectors, "issue_id"), _prepared(pull_vectors, "pull_request_id")
+    pairs = links.select(*ISSUE, "pull_request_id")
+    if block or not (_fits_broadcast(issue_vectors) and _fits_broadcast(pull_vectors)):
+        return score_in_cells(pairs, issue, pull, block or BLOCK)
+    named = lambda df, name: df.withColumnsRenamed({"vector": f"{name}_vector", "norm": f"{name}_norm"})
+    joined = pairs.join(named(pull, "pull"), PULL).join(named(issue, "issue"), ISSUE)
+    similarity = cosine(F.col("issue_vector"), F.col("pull_vector"), F.col("issue_norm"), F.col("pull_norm"))
+    return joined.select(*ISSUE, "pull_request_id", similarity.alias("score"))
 
-    def prepared(vectors: DataFrame, key: str, name: str) -> DataFrame:
-        known = vectors.filter(F.col("embedding").isNotNull())
-        return known.select(
-            "repo_id", key, F.col("embedding").alias(f"{name}_vector"), norm(F.col("embedding")).alias(f"{name}_norm")
-        )
 
-    pairs = (
-        links.select(*ISSUE, "pull_request_id")
-        .join(prepared(pull_vectors, "pull_request_id", "pull"), PULL)
-        .join(prepared(issue_vectors, "issue_id", "issue"), ISSUE)
-    )
-    similarity = cosine(F.col("issue_vector"), F.col("pull_vector"), F.col("issue_norm"), F.col("pull_norm"))
-    return pairs.select(*ISSUE, "pull_request_id", similarity.alias("score"))
+def in_cells(pairs: DataFrame, issue_blocks: int, pull_blocks: int) -> DataFrame:
+    """Pairs with their cell: the blocks that their issue and their change fall in by hash."""
+    place = lambda key, n: F.pmod(F.xxhash64("repo_id", key), F.lit(n)).cast("int")
+    return pairs.withColumns({"issue_block": place("issue_id", issue_blocks), "pull_block": place("pull_request_id", pull_blocks)})
+
+
+def vectors_of_cells(cells: DataFrame, vectors: DataFrame, key: str, name: str) -> DataFrame:
+    """Each cell with the vectors its pairs need, once each, however many pairs need them."""
+    wanted = cells.select(*CELL, key).distinct().join(vectors, ["repo_id", key])
+    entries = F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), "vector", "norm")))
+    return wanted.groupBy(*CELL).agg(entries.alias(name))
+
+
+def score_in_cells(pairs: DataFrame, issue: DataFrame, pull: DataFrame, block: int) -> DataFrame:
+    """Scores of distinct pairs by cells of about ``block`` issues and ``block`` changes.
+
+    A vector is sent to each cell of its block's row or column that needs it, so the bytes shuffled grow with vectors and cells, not with the
+    links of a change. Pairs and both lists of vectors meet by cell, without another exchange; a cell's lists are bounded by the block, so a
+    change that every issue links to only takes part in more cells.
+    """
+    blocks = [max(1, -(-df.count() // block)) for df in (issue, pull)]
+    cells = in_cells(pairs.distinct(), *blocks)
+    listed = cells.groupBy(*CELL).agg(F.collect_list(F.struct("issue_id", "pull_request_id")).alias("pairs"))
+    sides = vectors_of_cells(cells, issue, "issue_id", "issues"), vectors_of_cells(cells, pull, "pull_request_id", "pulls")
+    whole = listed.join(sides[0], CELL).join(sides[1], CELL)
+    whole = whole.withColumns({"issue_ids": F.col("issues.id"), "pull_ids": F.col("pulls.id")})
+
+    def scored(pair: Column) -> Column:
+        at = F.array_position("issue_ids", pair["issue_id"]), F.array_position("pull_ids", pair["pull_request_id"])
+        a, b = F.get("issues", at[0].cast("int") - 1), F.get("pulls", at[1].cast("int") - 1)
+        known = (at[0] > 0) & (at[1] > 0)
+        score = F.when(known, cosine(a["vector"], b["vector"], a["norm"], b["norm"]))
+        return F.struct(pair["issue_id"].alias("issue_id"), pair["pull_request_id"].alias("pull_request_id"), known.alias("known"), score.alias("score"))
+
+    rows = whole.select("repo_id", F.inline(F.transform("pairs", scored)))
+    return rows.where("known").select(*ISSUE, "pull_request_id", "score")
 
 
 def top_page(scored: DataFrame, page: int = 0, size: int = PAGE) -> DataFrame:
