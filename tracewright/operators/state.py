@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,16 +210,33 @@ def clear_missing(child: DataFrame, parent: DataFrame, column: str, on: dict[str
     )
 
 
-def with_integrity(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All tables without orphans, parents before children."""
-    t = dict(tables)
-    pull, issue = {"repo_id": "repo_id", "pull_request_id": "id"}, {"repo_id": "repo_id", "issue_id": "id"}
-    truth = {"repo_id": "repo_id", "actual_pull_request_id": "id"}
-    t["issues"] = clear_missing(t["issues"], t["pull_requests"], "actual_pull_request_id", truth)
-    t["pull_request_embeddings"] = drop_orphans(t["pull_request_embeddings"], t["pull_requests"], pull)
-    t["issue_embeddings"] = drop_orphans(t["issue_embeddings"], t["issues"], issue)
-    linked = drop_orphans(t["issue_pull_request"], t["issues"], issue)
-    t["issue_pull_request"] = drop_orphans(linked, t["pull_requests"], pull)
-    t["usage_logs"] = drop_orphans(t["usage_logs"], t["users"], {"user_id": "id"})
-    t["llm_calls"] = drop_orphans(t["llm_calls"], t["usage_logs"], {"usage_log_id": "id"})
-    return t
+# Which columns of a table point at which table; a column to clear when its parent is gone, else the row goes.
+FOREIGN_KEYS = (
+    ("issues", {"repo_id": "repo_id", "actual_pull_request_id": "id"}, "pull_requests", "actual_pull_request_id"),
+    ("pull_request_embeddings", {"repo_id": "repo_id", "pull_request_id": "id"}, "pull_requests", None),
+    ("issue_embeddings", {"repo_id": "repo_id", "issue_id": "id"}, "issues", None),
+    ("issue_pull_request", {"repo_id": "repo_id", "issue_id": "id"}, "issues", None),
+    ("issue_pull_request", {"repo_id": "repo_id", "pull_request_id": "id"}, "pull_requests", None),
+    ("usage_logs", {"user_id": "id"}, "users", None),
+    ("llm_calls", {"usage_log_id": "id"}, "usage_logs", None),
+)
+
+
+def with_integrity(tables: dict[str, DataFrame], foreign_keys: Sequence[tuple] = FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """All tables without orphans: one plan along the foreign keys, each table after all tables it points at."""
+    parents: dict[str, set[str]] = {name: set() for name in tables}
+    for child, _, parent, _ in foreign_keys:
+        if child in tables and parent in tables and child != parent:
+            parents[child].add(parent)
+    now = dict(tables)
+    for name in TopologicalSorter(parents).static_order():
+        for child, on, parent, clear in foreign_keys:
+            if child == name and parent in now:
+                now[name] = clear_missing(now[name], now[parent], clear, on) if clear else drop_orphans(now[name], now[parent], on)
+    return {name: now[name] for name in tables}
+
+
+def delete_cascade(tables: dict[str, DataFrame], name: str, gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables after rows of one of them were deleted (``gone`` has their key columns) with all that hangs on them."""
+    left = tables[name].join(gone.distinct(), gone.columns, "left_anti").select(*tables[name].columns)
+    return with_integrity({**tables, name: left})

@@ -8,12 +8,13 @@ still follow the marker before. A table with a ``reduce`` function (latest row o
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tracewright.sources.manifest import Manifest
+
 Reduce = Callable[[DataFrame], DataFrame]
 FAN = 8
 
@@ -23,27 +24,15 @@ class BatchTables:
 
     def __init__(self, spark: SparkSession, root: str, batch: int | None = None, reduce: dict[str, Reduce] | None = None, fan: int = FAN):
         self.spark, self.root, self.batch, self.reduce, self.fan = spark, root.rstrip("/"), batch, reduce or {}, fan
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        marks = self._marks()
+        self._marks = Manifest(spark, self.root, "_commits")
+        marks = self._marks.versions()
         self.done = batch is not None and batch in marks
         before = [m for m in marks if batch is None or m < batch]
-        self._old = [m for m in before[:-1]]
-        self._last = json.loads(spark.read.text(self._mark(before[-1]), wholetext=True).first()[0]) if before else {"tables": {}, "merged": []}
+        self._old = before[:-1]
+        self._last = self._marks.get(before[-1]) if before else {"tables": {}, "merged": []}
         self._new: dict[str, str] = {}
         self._schemas: dict[str, T.StructType] = {}
 
-    def _mark(self, batch: int) -> str:
-        return f"{self.root}/_commits/{batch}.json"
-
-    def _marks(self) -> list[int]:
-        folder = self._path(f"{self.root}/_commits")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
-
     def read(self, name: str, schema: T.StructType) -> DataFrame:
         """The rows of all committed batches, not those of the batch at work."""
         folders = [f"{self.root}/{name}/{f}" for f in self._last["tables"].get(name, [])]
@@ -80,14 +69,8 @@ class BatchTables:
                 tables[name] = [folder]
             else:
                 tables[name] = self._merged(name, [*tables.get(name, []), folder], gone)
-        text = json.dumps({"tables": tables, "merged": gone})
-        part = self._path(f"{self.root}/_commits/.{self.batch}.part")
-        out = self._fs.create(part, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if not self._fs.rename(part, self._path(self._mark(self.batch))):
-            raise OSError(f"batch {self.batch} could not be committed under {self.root}")
+        self._marks.put(self.batch, {"tables": tables, "merged": gone})
         for folder in self._last["merged"]:  # no reader follows the marker before the last one any more
-            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            self._marks.drop(folder)
         for mark in self._old:
-            self._fs.delete(self._path(self._mark(mark)), False)
+            self._marks.forget(mark)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators import state
 from tracewright.operators.ordering import latest_by
 from tracewright.schemas import ISSUES, PULL_REQUESTS
+from tracewright.session import scratch_path
+from tracewright.sources.keyed import KeyedTable
 from tracewright.workloads import feeds
 from tracewright.workloads.base import ctes, query, t
 from tracewright.workloads.feeds import LINKS, PULLS
@@ -83,14 +87,10 @@ def upsert_pr_cascade(spark: SparkSession, d: str) -> DataFrame:
     return links.select("issue_id", "pull_request_id")
 
 
-@query(
-    """SELECT s_suppkey AS id, s_name || CASE WHEN s_nationkey IN (3, 4) THEN ' again' ELSE '' END AS title, false AS is_processed
-FROM supplier"""
-)
-def upsert_issue(spark: SparkSession, d: str) -> DataFrame:
+def _upserted_issues(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Replaced issues are unprocessed again; only processed ones and their neighbours are replaced here."""
     stored = state.shaped(feeds.issues(spark, d), ISSUES)
-    vectors = feeds.vectors(spark, d, "issue_id").withColumn("created_at", _now())
+    vectors = feeds.vectors(spark, d, "issue_id").withColumn("created_at", F.lit(None).cast("timestamp"))
     rows = (
         t(spark, d, "supplier")
         .filter(F.col("s_nationkey").isin(3, 4))
@@ -103,10 +103,58 @@ def upsert_issue(spark: SparkSession, d: str) -> DataFrame:
     )
     vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     vectors = vectors.select("issue_id", "repo_id", "embedding", "created_at")
-    issues, _, _ = state.upsert_issues(stored, vectors, _scored_links(spark, d), rows, _now())
+    return state.upsert_issues(stored, vectors, _scored_links(spark, d), rows, _now())
+
+
+@query(
+    """SELECT s_suppkey AS id, s_name || CASE WHEN s_nationkey IN (3, 4) THEN ' again' ELSE '' END AS title, false AS is_processed
+FROM supplier"""
+)
+def upsert_issue(spark: SparkSession, d: str) -> DataFrame:
+    issues, _, _ = _upserted_issues(spark, d)
     return issues.select("id", "title", "is_processed")
 
 
+REPLACED = "replaced AS (SELECT s_suppkey AS issue_id FROM supplier WHERE s_nationkey IN (3, 4))"
+
+
+@query(
+    ctes(REPLACED)
+    + """SELECT issue_id, 1::BIGINT AS size, true AS dated FROM replaced
+UNION ALL SELECT vec_id, len(embedding), false FROM embeddings WHERE vec_id NOT IN (SELECT issue_id FROM replaced)"""
+)
+def upsert_issue_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors after issues were replaced: theirs are the new ones, the others stay."""
+    _, vectors, _ = _upserted_issues(spark, d)
+    return vectors.select("issue_id", F.size("embedding").cast("long").alias("size"), F.col("created_at").isNotNull().alias("dated"))
+
+
+@query(ctes(LINKS, REPLACED) + "SELECT issue_id, pull_request_id FROM links WHERE issue_id NOT IN (SELECT issue_id FROM replaced)")
+def upsert_issue_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """The links left after issues were replaced."""
+    _, _, links = _upserted_issues(spark, d)
+    return links.select("issue_id", "pull_request_id")
+
+
+@query(
+    ctes(PULLS)
+    + """SELECT id, CASE WHEN p_brand = 'Brand#7' THEN 'New ' || p_type ELSE title END AS title,
+  CASE WHEN p_size > 48 THEN 'long' WHEN p_brand <> 'Brand#7' THEN code_diff_summary END AS code_diff_summary
+FROM pulls JOIN part ON p_partkey = id WHERE p_retailprice >= 905 OR p_brand = 'Brand#7'"""
+)
+def keyed_pull_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Changes kept in hash buckets: all stored, some deleted, some replaced, some updated; each step is a version of its own."""
+    table = KeyedTable(spark, scratch_path(spark, "keyed"), PULL_REQUESTS, ["repo_id", "id"], 16)
+    stored = _stored_pulls(spark, d)
+    table.replace(stored)
+    cheap = t(spark, d, "part").where("p_retailprice < 905").select(F.lit(feeds.REPO).alias("repo_id"), F.col("p_partkey").alias("id"))
+    table.delete(cheap)
+    table.replace(state.shaped(_replaced_pulls(spark, d), PULL_REQUESTS, created_at=_now()))
+    big = t(spark, d, "part").where("p_size > 48").select(F.lit(feeds.REPO).alias("repo_id"), F.col("p_partkey").alias("id"), F.lit("long").alias("code_diff_summary"))
+    table.update(big, ["code_diff_summary"])
+    return table.read().select("id", "title", "code_diff_summary")
+
+
 @query(
     """SELECT s.s_suppkey AS id, p.pull_request_id AS actual_pull_request_id FROM supplier s LEFT JOIN (
   SELECT l_suppkey, max(l_partkey) AS pull_request_id FROM lineitem GROUP BY l_suppkey) p ON p.l_suppkey = s.s_suppkey"""
@@ -216,3 +264,45 @@ def integrity_cleanup(spark: SparkSession, d: str) -> DataFrame:
     kept = state.drop_orphans(_scored_links(spark, d), issues, {"repo_id": "repo_id", "issue_id": "id"})
     kept = state.drop_orphans(kept, pulls, {"repo_id": "repo_id", "pull_request_id": "id"})
     return kept.select("issue_id", "pull_request_id")
+
+
+@query(
+    """WITH pulls AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0),
+issues AS (
+  SELECT s_suppkey AS id, CASE WHEN s_suppkey + 1 IN (SELECT id FROM pulls) THEN s_suppkey + 1 END AS truth FROM supplier WHERE s_acctbal > 0),
+links AS (SELECT DISTINCT l_suppkey AS issue, l_partkey AS pull FROM lineitem),
+logs AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0))
+SELECT 'issues' AS name, id AS a, truth AS b FROM issues
+UNION ALL SELECT 'pull_request_embeddings', vec_id, NULL FROM embeddings WHERE vec_id IN (SELECT id FROM pulls)
+UNION ALL SELECT 'issue_embeddings', vec_id, NULL FROM embeddings WHERE vec_id IN (SELECT id FROM issues)
+UNION ALL SELECT 'issue_pull_request', issue, pull FROM links WHERE issue IN (SELECT id FROM issues) AND pull IN (SELECT id FROM pulls)
+UNION ALL SELECT 'usage_logs', id, o_custkey FROM logs
+UNION ALL SELECT 'llm_calls', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT id FROM logs)"""
+)
+def integrity_tables(spark: SparkSession, d: str) -> DataFrame:
+    """All tables after changes, issues and users were deleted with what hangs on them."""
+    repo = F.lit(feeds.REPO).alias("repo_id")
+    suppliers = t(spark, d, "supplier")
+    tables = {
+        "llm_calls": t(spark, d, "lineitem").select(F.col("l_orderkey").alias("usage_log_id"), F.col("l_linenumber").cast("long").alias("b")),
+        "usage_logs": t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id")),
+        "users": t(spark, d, "customer").select(F.col("c_custkey").alias("id")),
+        "issue_pull_request": feeds.links(spark, d),
+        "issue_embeddings": feeds.vectors(spark, d, "issue_id"),
+        "pull_request_embeddings": feeds.vectors(spark, d, "pull_request_id"),
+        "issues": suppliers.select(F.col("s_suppkey").alias("id"), repo, (F.col("s_suppkey") + 1).alias("actual_pull_request_id")),
+        "pull_requests": feeds.vectors(spark, d, "id").select("id", "repo_id"),
+    }
+    tables = state.delete_cascade(tables, "pull_requests", tables["pull_requests"].where("id % 3 = 0"))
+    tables = state.delete_cascade(tables, "issues", suppliers.where("s_acctbal <= 0").select(F.col("s_suppkey").alias("id"), repo))
+    tables = state.delete_cascade(tables, "users", tables["users"].where("id % 5 = 0"))
+    none = F.lit(None).cast("long")
+    columns = {
+        "issues": ("id", "actual_pull_request_id"), "pull_request_embeddings": ("pull_request_id", none), "issue_embeddings": ("issue_id", none),
+        "issue_pull_request": ("issue_id", "pull_request_id"), "usage_logs": ("id", "user_id"), "llm_calls": ("usage_log_id", "b"),
+    }
+    parts = []
+    for name, (a, b) in columns.items():
+        second = F.col(b) if isinstance(b, str) else b
+        parts.append(tables[name].select(F.lit(name).alias("name"), F.col(a).alias("a"), second.alias("b")))
+    return reduce(DataFrame.unionByName, parts)
