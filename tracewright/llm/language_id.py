@@ -1,6 +1,6 @@
 """Language of whole texts: known words by log frequency, unknown words by the longest character n-grams that are known.
 
-A word is a run of letters, lower-cased. Counts of words by language cover all training texts. The ``WORDS`` most frequent
+A word is a run of letters (Unicode category L) with the marks that follow them (M), lower-cased. Counts of words by language cover all training texts. The ``WORDS`` most frequent
 words of each language form the table of known words; the n-grams (4, 3, 2 and 1 characters) of all counted words, space-padded,
 form the tables for the rest, the ``GRAMS`` most frequent of each length and language. What is chosen in one language has its counts in all. Each known word adds its smoothed log frequency in every language. An
 unknown word adds the mean over its n-grams of the greatest length of which any is known. The language with the largest
@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +30,17 @@ WORDS = 50_000
 GRAMS = 1 << 16
 LENGTHS = (4, 3, 2, 1)
 SMOOTH = 0.5
-_LETTERS = re.compile(r"[^\W\d_]+").findall
+#: Below U+0300 there are no marks, and only these six characters are word characters for ``re`` but neither digits nor letters.
+_FAST = re.compile(r"[^\W\d_]+").findall
+_RARE = re.compile("[\xb2\xb3\xb9\xbc-\xbe\u0300-\U0010ffff]").search
+_FULL = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 _HELD = 200_000
 
 
+def words_of(text: str) -> list[str]:
+    return _FULL(text) if _RARE(text) else _FAST(text)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -74,7 +82,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in (b for big in batches for b in packed([big], "text", 2 << 20)):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            counts[lang].update(_LETTERS(text.lower()))
+            counts[lang].update(words_of(text.lower()))
         if sum(map(len, counts.values())) > _HELD:
             yield from rows()
     yield from rows()
@@ -176,7 +184,7 @@ def _predictor(data):
         model: Model | None = data.value
         known = model.known() if model else {}
         for batch in (b for big in batches for b in packed([big], "text", 1 << 20)):
-            tokens = [_LETTERS((t or "").lower()) for t in batch.column("text").to_pylist()]
+            tokens = [words_of((t or "").lower()) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(t) for t in tokens], np.int64)
             lang, score = ["und"] * len(tokens), np.zeros(len(tokens))
             if model and sizes.sum():
