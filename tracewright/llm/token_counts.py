@@ -2,8 +2,9 @@
 
 The cache is a Parquet table of (content, tokenizer, n_tokens): SHA-256 of the normalised text, SHA-256 of the tokenizer file, and the
 count. A run digests all texts, looks up the distinct digests, encodes one text for each that is missing, appends the
-new counts, and joins every document to its count. Normalising means what the tokenizer drops anyway: runs of ASCII white
-space become one space, ends are trimmed. Texts that differ only so share a cache row.
+new counts, and joins every document to its count. Normalising means what the tokenizer drops anyway. Where its file says that white space is
+folded and then left out, runs of ASCII white space become one space and ends are trimmed, so texts that differ only so share a cache row;
+with any other file the text is digested as it is.
 
 Encoding needs the tokenizer's library on each distinct piece only: where the tokenizer file says that text is normalised (NFC,
 white space, lower case), split by a pattern and merged piece by piece, a text's count is the sum over its pieces.
@@ -23,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.base import Workspace, packed, query, row_key, table
@@ -38,6 +39,23 @@ _PIECES_KEPT = 400_000
 _loaded: dict = {}
 
 
+def by_pieces(spec: dict) -> bool:
+    """Whether a tokenizer file says: fold white space, lower the case, and encode each match of a pattern, dropping all between."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return (
+        [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
+        and steps[1]["pattern"] == {"Regex": r"\s+"}
+        and steps[1]["content"] == " "
+        and splits[0].get("type") == "Split"
+        and splits[0].get("behavior") == "Removed"
+        and bool(splits[0].get("invert"))
+        and " " not in splits[0]["pattern"]["Regex"]
+        and all(s["type"] == "ByteLevel" and not s["use_regex"] and not s["add_prefix_space"] for s in splits[1:])
+        and not spec.get("post_processor")
+    )
+
+
 class Counter:
     """Counts tokens as one tokenizer file gives them; loaded once in each Python process."""
 
@@ -50,18 +68,8 @@ class Counter:
         spec = json.loads(data)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.piece = None
-        steps = (spec.get("normalizer") or {}).get("normalizers", [])
-        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        if (
-            [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
-            and steps[1]["pattern"] == {"Regex": r"\s+"}
-            and splits[0].get("type") == "Split"
-            and splits[0].get("behavior") == "Removed"
-            and splits[0].get("invert")
-            and all(s["type"] == "ByteLevel" and not s["use_regex"] and not s["add_prefix_space"] for s in splits[1:])
-            and not spec.get("post_processor")
-        ):
-            pattern = splits[0]["pattern"]["Regex"].replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS)
+        if by_pieces(spec):
+            pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS)
             self.piece = re.compile(pattern).findall
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         suffix = spec["model"].get("end_of_word_suffix")
@@ -122,8 +130,10 @@ def _encoder(data, digest: str):
     return run
 
 
-def normalised(text):
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
+def normalised(text: Column, tokenizer: bytes) -> Column:
+    """What a text is digested as: without the white space that makes no difference to this tokenizer."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.trim(F.regexp_replace(whole, r"[ \t\n\x0B\f\r]+", " ")) if by_pieces(json.loads(tokenizer)) else whole
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -148,7 +158,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache: str, limit: int =
     keys = narrow.select(
         "doc_id",
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-        F.sha2(normalised(F.col("text")), 256).alias("content"),
+        F.sha2(normalised(F.col("text"), content), 256).alias("content"),
         *row_key(F.col("doc_id"), F.col("text")),
     )
     keys = ws.write(keys, "digests")
