@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions.dates import month_label, month_start, sunday_week
 from tracewright.functions.numbers import effort_hours, effort_usd, hours_text, usd_text
-from tracewright.operators.ordering import exact_quantiles
 
 DEPLOY = ["deploy_number", "deploy_url", "created_at"]
 BLOCKERS = "blockers"
+TIMED = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def _known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,8 +23,13 @@ def _known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
+def deploy_counts(blockers: DataFrame) -> DataFrame:
+    """Blockers by deploy, unknown ones included: what all other counts are sums of, so the rows are read once."""
+    return blockers.groupBy(*DEPLOY).agg(F.count(F.lit(1)).alias(BLOCKERS))
+
+
 def blockers_per_deploy(blockers: DataFrame) -> DataFrame:
-    return _known(blockers, DEPLOY).groupBy(*DEPLOY).agg(F.count(F.lit(1)).alias(BLOCKERS))
+    return _known(deploy_counts(blockers), DEPLOY)
 
 
 def per_month(rows: DataFrame, date: str, name: str) -> DataFrame:
@@ -64,60 +70,128 @@ def deploys_per_month(blockers: DataFrame) -> DataFrame:
 def blocker_averages(blockers: DataFrame) -> DataFrame:
     """Means per deploy, month and week, and medians per month and week.
 
-    The medians run over calendar buckets, whose number is set by the dates, not by the rows.
+    All four lines come from the counts by deploy, whose shuffle they share. The medians run over calendar buckets, whose
+    number is set by the dates, not by the rows.
     """
-
-    def line(frame: DataFrame, measure: str, count: str, with_median: bool) -> DataFrame:
-        middle = F.median(count) if with_median else F.lit(None).cast("double")
-        return frame.agg(F.avg(count).alias("mean"), middle.alias("median")).select(
+    counts = deploy_counts(blockers)
+    known = lambda keys: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+    def line(frame: DataFrame, measure: str, keys: Sequence[str], with_median: bool = False) -> DataFrame:
+        # a filter would be pushed below the counts by deploy, which then could not be shared
+        value = F.when(known(keys), F.col(BLOCKERS))
+        middle = F.median(value) if with_median else F.lit(None).cast("double")
+        return frame.agg(F.avg(value).alias("mean"), middle.alias("median")).select(
             F.lit(measure).alias("measure"), "mean", "median"
         )
 
+    def summed(key: Column) -> DataFrame:
+        return counts.groupBy(key.alias("key")).agg(F.sum(BLOCKERS).alias(BLOCKERS))
+
+    deploys = counts.groupBy("deploy_number", "created_at").agg(F.sum(BLOCKERS).alias(BLOCKERS))
+    per_month_ = deploys.groupBy(month_start(F.col("created_at")).alias("key")).agg(F.count_if(F.col(BLOCKERS) > 0).alias(BLOCKERS))
     lines = [
-        line(blockers_per_deploy(blockers), "blockers per deploy", BLOCKERS, False),
-        line(deploys_per_month(blockers), "deploys per month", "deploys", False),
-        line(per_month(blockers, "created_at", BLOCKERS), "blockers per month", BLOCKERS, True),
-        line(blockers_per_week(blockers), "blockers per week", BLOCKERS, True),
+        line(counts, "blockers per deploy", DEPLOY),
+        line(per_month_, "deploys per month", ["key"]),
+        line(summed(month_start(F.col("created_at"))), "blockers per month", ["key"], True),
+        line(summed(sunday_week(F.col("created_at"))), "blockers per week", ["key"], True),
     ]
     return reduce(DataFrame.unionByName, lines)
 
 
 STATISTICS = (("25%", 0.25), ("50%", 0.5), ("75%", 0.75))
+ACCURACY = 100_000
+#: Distinct values between the two bounds of one quantile that may come to the driver; more of them are narrowed down first.
+NEAR = 200_000
+_BOUND = "column string, label string, lo double, hi double, below long, rank double"
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def _unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, v): one row for each value, times in seconds since 1970; nulls are left out."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    cells = []
+    for name in columns:
+        value = F.unix_micros(F.col(name).cast("timestamp")) / 1_000_000 if isinstance(kinds[name], TIMED) else F.col(name)
+        cells.append(F.struct(F.lit(name).alias("column"), value.cast("double").alias("v")))
+    return df.select(F.inline(F.array(*cells))).filter(F.col("v").isNotNull())
+
+
+def _between(values: DataFrame, bounds: list[tuple]) -> DataFrame:
+    """(column, label, v, n): how often each value between the bounds occurs, and in a row without value how many lie below."""
+    spark = values.sparkSession
+    table = F.broadcast(spark.createDataFrame(bounds, _BOUND).select("column", "label", "lo", "hi"))  # a line for each quantile
+    inside = values.join(table, "column").filter(F.col("v") <= F.col("hi"))
+    return inside.groupBy("column", "label", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pick(rows: list[tuple[float | None, int]], rank: float) -> float:
+    """The value at a rank (from 0) that may lie between two values, from the counts of those around it."""
+    begin = sum(n for v, n in rows if v is None)
+    low = high = None
+    for v, n in sorted(r for r in rows if r[0] is not None):
+        if begin <= math.floor(rank) < begin + n:
+            low = v
+        if begin <= math.ceil(rank) < begin + n:
+            high = v
+        begin += n
+    return low + (high - low) * (rank - math.floor(rank))
+
+
+def _quantiles(values: DataFrame, known: dict[str, tuple], near: int) -> dict[tuple[str, str], float]:
+    """Exact quantiles of all columns: approximate ones on both sides bound where they lie, and only values between are counted.
+
+    ``known`` has the number of values and the bounds of each column. Should too many values lie between the bounds, they are drawn
+    nearer by approximate quantiles of those values, as often as needed.
+    """
+    bounds, found = [], {}
+    for name, (count, sides, ends) in known.items():
+        for k, (label, q) in enumerate(STATISTICS):
+            lo, hi = sides[2 * k : 2 * k + 2] if count >= 2 * ACCURACY else ends  # nearer to a rank than one row of so few
+            bounds.append((name, label, float(lo), float(hi), 0, q * (count - 1)))
+    while bounds:
+        counted = _between(values, bounds)
+        sizes = {(r[0], r[1]): r[2] for r in counted.groupBy("column", "label").agg(F.count("v")).collect()}
+        small = [b for b in bounds if sizes.get(b[:2], 0) <= near]
+        if small:
+            rows: dict[tuple[str, str], list] = {b[:2]: [] for b in small}
+            wanted = values.sparkSession.createDataFrame([b[:2] for b in small], "column string, label string")
+            for column, label, v, n in counted.join(F.broadcast(wanted), ["column", "label"]).select("column", "label", "v", "n").collect():
+                rows[column, label].append((v, n))
+            found |= {b[:2]: _pick(rows[b[:2]], b[5]) for b in small}
+        nearer = []
+        for b in (b for b in bounds if b not in small):
+            part = values.filter((F.col("column") == b[0]) & (F.col("v") >= b[2]) & (F.col("v") <= b[3]))
+            below, size = values.filter((F.col("column") == b[0]) & (F.col("v") < b[2])).count(), part.count()
+            at = [min(1.0, max(0.0, (b[5] + d - below) / max(size - 1, 1))) for d in (-size / ACCURACY * 4 - 1, size / ACCURACY * 4 + 1)]
+            lo, hi = part.agg(F.percentile_approx("v", at, ACCURACY)).first()[0]
+            nearer.append((*b[:2], lo, hi, *b[4:]))
+        bounds = nearer
+    return found
+
+
+def describe(df: DataFrame, columns: Sequence[str] | None = None, near: int = NEAR) -> DataFrame:
     """count, mean, std, min, quartiles and max of numeric and time columns, one row per column.
 
-    Times are seconds since 1970 and have no deviation. Quartiles are exact.
+    Times are seconds since 1970 and have no deviation. Quartiles are exact. All columns go through two aggregations together: the
+    first gives everything but the quartiles and bounds for those, the second counts the values between the bounds.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    timed = (T.TimestampType, T.TimestampNTZType, T.DateType)
-    chosen = columns or [n for n, k in kinds.items() if isinstance(k, (T.NumericType, *timed))]
-    parts = []
+    chosen = list(columns or [n for n, k in kinds.items() if isinstance(k, (T.NumericType, *TIMED))])
+    values = _unpivoted(df, chosen)
+    sides = [min(1.0, max(0.0, q + d)) for _, q in STATISTICS for d in (-3 / ACCURACY, 3 / ACCURACY)]
+    basic = values.groupBy("column").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.percentile_approx("v", sides, ACCURACY).alias("sides"),
+    )
+    rows = {r["column"]: r for r in basic.collect()}  # one for each column
+    quartiles = _quantiles(values, {c: (r["count"], r["sides"], (r["min"], r["max"])) for c, r in rows.items()}, near)
+    out = []
     for name in chosen:
-        is_time = isinstance(kinds[name], timed)
-        value = F.col(name)
-        if is_time:
-            value = F.unix_micros(value.cast("timestamp")) / 1_000_000
-        column = df.select(value.cast("double").alias("v"))
-        quartiles = exact_quantiles(column, "v", [q for _, q in STATISTICS]).agg(
-            *[F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(label) for label, q in STATISTICS]
-        )
-        spread = F.lit(None).cast("double") if is_time else F.stddev_samp("v")
-        basic = column.agg(
-            F.count("v").alias("count"),
-            F.avg("v").alias("mean"),
-            spread.alias("std"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-        )
-        # both sides are a single row
-        parts.append(
-            basic.withColumn("column", F.lit(name))
-            .join(quartiles.withColumn("column", F.lit(name)), "column")
-            .select("column", "count", "mean", "std", "min", *[label for label, _ in STATISTICS], "max")
-        )
-    return reduce(DataFrame.unionByName, parts)
+        r = rows.get(name)
+        spread = None if r is None or isinstance(kinds[name], TIMED) else r["std"]
+        middle = [quartiles.get((name, label)) for label, _ in STATISTICS]
+        out.append((name, r["count"], r["mean"], spread, r["min"], *middle, r["max"]) if r else (name, 0, *[None] * 7))
+    labels = ", ".join(f"`{label}` double" for label, _ in STATISTICS)
+    return df.sparkSession.createDataFrame(out, f"column string, count long, mean double, std double, min double, {labels}, max double")
 
 
 def merged_and_fixes(merged: DataFrame, fixes: DataFrame, excluded: tuple[int, int] = (2025, 6)) -> DataFrame:
