@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot key even when a later stage could have reused the join's partitioning
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # whole texts go to Python in batches: a few MB at a time, in the worker and in the executor's own buffers
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
