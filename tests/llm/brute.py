@@ -33,3 +33,24 @@ def tiktoken_rows(texts: dict) -> dict:
     encode = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     sha = lambda b: hashlib.sha256(b).hexdigest()
     return {i: (len(x := encode(t)), sha(np.array(x, "<u4").tobytes()), sha(t.encode())) for i, t in texts.items()}
+
+
+def any_item(text: str | None, items: list[str | None], size: int = 5) -> bool:
+    """Whether some window as long as an item shares three quarters of the shingles of both (as bags)."""
+
+    def bag(words: list[bytes]) -> Counter:
+        return Counter(tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1)))
+
+    words = (text or "").encode().lower().split()
+    seen = set(words)
+    for item in items:
+        own = (item or "").encode().lower().split()
+        if not own or len(words) < min(len(own), size) or 2 * len(seen & set(own)) < len(set(own)):
+            continue
+        want = bag(own)
+        for start in range(max(1, len(words) - len(own) + 1)):
+            have = bag(words[start : start + len(own)])
+            shared = sum((want & have).values())
+            if 100 * shared >= 75 * (sum(want.values()) + sum(have.values()) - shared):
+                return True
+    return False

@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     whole = with_spans(docs, ws.result(repeated_spans(docs, ws, window), "spans"))
     new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
-    return whole.select("row.*", new.alias("_tw_text")).drop("text").withColumnRenamed("_tw_text", "text").select(docs.columns)
+    return whole.select(*[new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 @query("op8_substring_dedup")
