@@ -40,7 +40,8 @@ SHARED = 3
 ENTRIES = 1 << 21
 HEAD = 1 << 19
 _SLICE = 1 << 19
-_MERGE = 1 << 21
+_MERGE = 1 << 20
+_KEPT = 1 << 22
 _LOAD = 1 << 19
 _PIECE = 1 << 16
 
@@ -68,34 +69,33 @@ def codes_of(column: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.ndar
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([k for k, _ in parts])
     n = np.concatenate([c for _, c in parts])
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # the parts are sorted: this merges them
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
 def _counted(found: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct keys and their counts, handed on whenever they get many."""
-    held, size = [], 0
+    """Distinct keys and their counts, in order; mostly one row for a key in each task, and never more than ``_KEPT`` keys at once."""
+    kept, parts, size = None, [], 0
     for values in found:
         keys, n = np.unique(values, return_counts=True)
-        held.append((keys, n.astype(np.int64)))
+        parts.append((keys, n.astype(np.int64)))
         size += len(keys)
         if size > _MERGE:
-            held = [_merged(held)]
-            size = len(held[0][0])
-            if size > _MERGE // 2:
-                yield held[0]
-                held, size = [], 0
-    if held:
-        yield _merged(held)
+            kept, parts, size = _merged([*([kept] if kept else []), *parts]), [], 0
+            if len(kept[0]) > _KEPT:
+                yield kept
+                kept = None
+    if kept or parts:
+        yield _merged([*([kept] if kept else []), *parts])
 
 
-_COUNTS = "ending long, code long, learned long, asked long"
+_COUNTS = "code long, uses long"
 
 
 def _code_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes of all texts with their ending; the lowest two bits of a key say whether the text is learned from and asked for."""
+    """(code, uses): how often a code is learned (high half) and asked for (low half); a task has too few bytes for either to overflow."""
 
     def keys() -> Iterator[np.ndarray]:
         for batch in (b for big in batches for b in packed([big], "text", 4 << 20)):
@@ -103,10 +103,10 @@ def _code_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text, code in codes_of(batch.column("text"), ORDER):
                 yield (code << U(2)) | use.astype(U)[text]
 
-    for key, n in _counted(keys()):
-        use, code = (key & U(3)).astype(np.int64), (key >> U(2)).view(np.int64)
-        ending = (code >> 8) & ((1 << (8 * SHARED)) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ending, code, n * (use >> 1), n * (use & 1))], names=["ending", "code", "learned", "asked"])
+    for key, n in _counted(keys()):  # the lowest two bits of a key are the uses of its text
+        use, code = (key & U(3)).astype(np.int64), key >> U(2)
+        code, uses = _merged([(code, (n * (use >> 1) << 32) + n * (use & 1))])
+        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(uses)], names=["code", "uses"])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,13 +303,15 @@ def train(rows: DataFrame, ws: Workspace, entries: int = ENTRIES, head: int = HE
     """The model of the ``rows`` (text, learn, ask) that are learned from, the counts (key, n) of all words and the (code, asked, log) of
     all codes asked for."""
     spark = rows.sparkSession
-    sums = [F.sum("learned").alias("learned"), F.sum("asked").alias("asked")]
-    counts = rows.select("text", "learn", "ask").mapInArrow(_code_counts, _COUNTS).repartition("ending").groupBy("ending", "code").agg(*sums)
-    counts = ws.write(counts, "counts")
+    ending = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * SHARED)) - 1)).alias("ending")
+    learned, asked = F.shiftright("uses", 32), F.col("uses").bitwiseAND(F.lit((1 << 32) - 1))
+    counts = rows.select("text", "learn", "ask").mapInArrow(_code_counts, _COUNTS).groupBy("code")
+    counts = ws.write(counts.agg(F.sum(learned).alias("learned"), F.sum(asked).alias("asked")), "counts")
     low = F.col("code").bitwiseAND(F.lit((1 << (8 * SHARED)) - 1))  # a byte after up to two bytes
     short = counts.where("learned > 0").groupBy(low.alias("code")).agg(F.sum("learned").alias("n")).toArrow()
     data = spark.sparkContext.broadcast((short.column("code").to_numpy().astype(np.int64).view(U), short.column("n").to_numpy().astype(np.int64)))
-    logs = ws.write(counts.repartition("ending").sortWithinPartitions("ending").mapInArrow(_code_logs(data), _LOGS), "logs")
+    dealt = counts.select(ending, "code", "learned", "asked").repartition("ending").sortWithinPartitions("ending")
+    logs = ws.write(dealt.mapInArrow(_code_logs(data), _LOGS), "logs")
     ws.drop(counts)
     texts = rows.where("learn")
     words = ws.write(texts.select("text").mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
