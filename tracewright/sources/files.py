@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions.source import tree_path
+from tracewright.sources.quoted import read_quoted_csv
 
 # Columns of the exported files.
 BLOCKER_COLUMNS = {
@@ -23,18 +24,14 @@ BLOCKER_FILE = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, free_text: bool = False) -> DataFrame:
-    """CSV with a header and a given schema.
-
-    With ``free_text`` quoted values may hold line ends. Spark then reads each file in one piece, so a large
-    export should come as many files; without it files are split as usual.
-    """
-    return spark.read.csv(path, header=True, schema=schema, multiLine=free_text, escape='"', enforceSchema=False)
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header and a given schema, without line ends in values."""
+    return spark.read.csv(path, header=True, schema=schema, escape='"', enforceSchema=False)
 
 
 def read_blockers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per blocker; the free-text issue column is left out."""
-    rows = read_csv(spark, path, BLOCKER_FILE, free_text=True).drop("StagingDeployCash Issue")
+    """One row per blocker; the free-text issue column, which may hold line ends, is left out."""
+    rows = read_quoted_csv(spark, path, BLOCKER_FILE).drop("StagingDeployCash Issue")
     return rows.withColumnsRenamed(BLOCKER_COLUMNS)
 
 
@@ -53,7 +50,10 @@ def read_merged(spark: SparkSession, path: str, date: str = "merged_at") -> Data
 
 
 def read_source_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file below a folder as ``path, content``; bytes that are not UTF-8 are dropped."""
+    """Every file below a folder as ``path, content``; bytes that are not UTF-8 are dropped.
+
+    Spark packs small files into tasks by size (``spark.sql.files.openCostInBytes`` is what a file counts at least).
+    """
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     content = F.replace(F.make_valid_utf8("value"), F.lit(chr(0xFFFD)), F.lit(""))
