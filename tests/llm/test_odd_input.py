@@ -210,14 +210,39 @@ def test_substrings(spark, docs, rows, none, group):
     ws.close()
 
 
+def library_encoder():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def test_tokens_of_any_cut():
-    bpe = bpe_tree.Bpe.of(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    bpe, library = bpe_tree.Bpe.of(open(RANKS, "rb").read(), public_tokenizers.PATTERN), library_encoder()
     rng = random.Random(3)
-    bits = ["a", "b", "the", "ing", " ", "  ", "\n", "'", "'re", "'s", "'ll", "5", "é", "日本", "!", "\t", "🙂", " ", "x'l", "r", " the"]
+    bits = ["a", "b", "the", "ing", " ", "  ", "\n", "'", "'re", "'s", "'ll", "5", "é", "日本", "!", "\t", "🙂", " ", "x'l", "r", " the", "\r\n", "²", "\u0301"]
     for _ in range(1500):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))
-        ids = bpe.encode_leaf(text)
-        assert all(bpe.encode(text, leaf) == ids for leaf in (1, 3, 7)) and bpe.decode(ids) == text.encode()
+        ids = library.encode_ordinary(text)
+        assert all(bpe.encode(text, leaf) == ids for leaf in (1, 3, 7, 128)) and bpe.decode(ids) == text.encode()
+        for cut in {0, len(text) // 3, len(text)}:
+            node = bpe.join(text, len(text), bpe.node(text, 0, cut), bpe.node(text, cut, len(text)))
+            assert node.ids == ids and node.cuts[-1] == len(text) and sorted(set(node.cuts)) == node.cuts
+
+
+def test_tokens_of_one_long_match():
+    bpe, library = bpe_tree.Bpe.of(open(RANKS, "rb").read(), public_tokenizers.PATTERN), library_encoder()
+    rng = random.Random(4)
+    words = ["", "ab" * 3000, "a" * 5000, " " * 3000, "日本語" * 700, "".join(rng.choice("etaoinshrdlu") for _ in range(4000))]
+    words += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßñ") for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    for word in words:
+        tokens = library.encode_ordinary(word)
+        if word.encode() not in bpe.ranks and len(library._core_bpe.encode_ordinary(word)) and bpe.pattern.fullmatch(word):
+            for short in (1, 2, 4, 9):
+                assert [bpe.ranks[t] for t in bpe.halves(word.encode(), short)] == tokens
+        assert bpe.encode(word) == tokens
 
 
 def test_tokens_of_parts(spark, docs, none):

@@ -1,26 +1,33 @@
 """Byte-level BPE of whole texts by tree reduction, and decoding.
 
-Encoded pieces of text form a monoid: ``join`` takes the tokens of a left and a right piece and gives those of the whole.
-Only a window around the border is encoded again, and it grows until both its ends lie where every encoding of either text
-must have a border between pattern matches: before a single space that stands between two non-space characters, or between an ASCII
-letter and an ASCII digit. A match never spans such a place, and what lies outside of it never changes the matches inside, so the
-tokens outside the window stand. If a side has no such place the window takes the whole side, and the join is still exact.
+Encoded pieces of text form a monoid: a join takes the tokens of a left and a right half and gives those of the whole. Two levels do so:
 
-In a task a text is cut in halves down to ``LEAF`` characters, which the rank file's merges encode. A text of more than ``PART``
-characters is cut into parts that are rows of their own, so several tasks share it; neighbouring parts are then joined
-level by level, one shuffle of long texts' tokens for each. Decoding concatenates the tokens' bytes up the same tree.
+*Bytes of one pattern match.* Halves are cut down to ``SHORT`` bytes, which the ranks' merges encode. A join encodes a window of tokens around
+the border again and doubles it until its outermost tokens come out as they were (or the window reaches an end). Then the rest stands: a
+sequence of tokens is the encoding of its bytes exactly if every two neighbours encode to themselves; neighbours inside the window
+do, as the window was encoded whole, and all others, outermost tokens included, were neighbours before.
+
+*Characters of a text.* Halves are cut down to ``LEAF`` characters, where the pattern is matched and each match encoded as above. A join
+matches again from a few matches before the border until a match ends where one of the right half's does, and goes further back as long as the
+first match comes out otherwise than before. A match depends on nothing before its start, so what follows stands, and the pattern looks one
+character past a match, so what lies before stands too.
+
+A text of more than ``PART`` characters is cut into parts that are rows of their own, so several tasks share it; neighbouring parts are then
+joined level by level in the same way, one shuffle of long texts' tokens for each. Decoding concatenates the tokens' bytes up the same tree.
+No tokenizer library takes part.
 
 Null texts count as empty (no tokens). Rows keep their order of columns; ids may be null or repeat. The rank file's bytes
-travel as a broadcast; its size is fixed by the vocabulary.
+travel as a broadcast; its size is fixed by the vocabulary. The sizes above change no token.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +36,12 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.base import Workspace, packed, query, row_key, table
 
-LEAF = 2048
+LEAF = 256
+SHORT = 16
 PART = 1 << 16
-_BORDER = re.compile(r"(?<=\S)(?= \S)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+_KEPT = 300_000
+_SEEN = 64
+_NONE = 1 << 60
 _loaded: dict = {}
 
 
@@ -39,13 +49,14 @@ class Bpe:
     """The merges of one rank file; loaded once in each Python process."""
 
     def __init__(self, data: bytes, pattern: str):
-        import tiktoken
+        import regex
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
-        self.encode_leaf = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.token = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
+        self.pattern = regex.compile(pattern)
+        self.token = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
             self.token[rank] = token
+        self.known: dict[str, list[int]] = {}
 
     @staticmethod
     def of(data: bytes, pattern: str) -> Bpe:
@@ -54,21 +65,147 @@ class Bpe:
             _loaded[key] = Bpe(data, pattern)
         return _loaded[key]
 
+    def merged(self, data: bytes) -> list[bytes]:
+        """Tokens of some bytes: the pair of lowest rank is merged, the first of equal ones, again and again."""
+        if len(data) > _SEEN:
+            return self.merged_by_rank(data)
+        parts = [data[i : i + 1] for i in range(len(data))]
+        rank = self.ranks.get
+        pairs = [rank(data[i : i + 2], _NONE) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) != _NONE:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], _NONE)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
+        return parts
+
+    def merged_by_rank(self, data: bytes) -> list[bytes]:
+        """The same for many bytes. A token ranks after those it is made of, so a merge never brings up a pair of lower rank, and one pass from
+        left to right does all merges of a rank."""
+        parts = [data[i : i + 1] for i in range(len(data))]
+        rank = self.ranks.get
+        while len(parts) > 1:
+            pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+            best = min(pairs)
+            if best == _NONE:
+                break
+            out, i = [], 0
+            while i < len(parts):
+                if i < len(pairs) and pairs[i] == best:
+                    out.append(parts[i] + parts[i + 1])
+                    i += 2
+                else:
+                    out.append(parts[i])
+                    i += 1
+            parts = out
+        return parts
+
+    def joined(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
+        """Tokens of two neighbouring runs of bytes, from the tokens of each."""
+        size = 1
+        while left and right:
+            before, after = left[-size:], right[:size]
+            window = self.merged(b"".join(before + after))
+            if (size >= len(left) or window[0] == before[0]) and (size >= len(right) or window[-1] == after[-1]):
+                return left[: max(0, len(left) - size)] + window + right[size:]
+            size *= 2
+        return left or right
+
+    def halves(self, data: bytes, short: int = SHORT) -> list[bytes]:
+        """Tokens of the bytes of one match, from those of its halves."""
+        if len(data) <= short:
+            return self.merged(data)
+        middle = len(data) // 2
+        return self.joined(self.halves(data[:middle], short), self.halves(data[middle:], short))
+
+    def match_ids(self, text: str) -> list[int]:
+        """Tokens of one match of the pattern; a match that is a token is that token."""
+        ids = self.known.get(text)
+        if ids is None:
+            data = text.encode()
+            one = self.ranks.get(data)
+            ids = [one] if one is not None else [self.ranks[t] for t in self.halves(data)]
+            if len(text) <= _SEEN:
+                if len(self.known) >= _KEPT:
+                    self.known.clear()
+                self.known[text] = ids
+        return ids
+
+    def leaf(self, text: str, begin: int, end: int) -> Node:
+        found = self.pattern.findall(text[begin:end])
+        known = self.known
+        lists = [known.get(x) or self.match_ids(x) for x in found]
+        cuts = list(accumulate(map(len, found), initial=begin))
+        if cuts[-1] != end:  # a pattern that leaves something out between its matches
+            cuts = [begin, *(m.end() for m in self.pattern.finditer(text, begin, end))]
+        return Node(list(chain.from_iterable(lists)), cuts, list(map(len, lists)))
+
+    def node(self, text: str, begin: int, end: int, leaf: int = LEAF) -> Node:
+        if end - begin <= leaf:
+            return self.leaf(text, begin, end)
+        middle = (begin + end) // 2
+        return self.join(text, end, self.node(text, begin, middle, leaf), self.node(text, middle, end, leaf))
+
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
-        if len(text) <= leaf:
-            return self.encode_leaf(text)
-        middle = len(text) // 2
-        left, right = text[:middle], text[middle:]
-        return self.join(left, self.encode(left, leaf), right, self.encode(right, leaf))
-
-    def join(self, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
-        """Tokens of ``left + right`` from the tokens of both."""
-        if not left or not right:
-            return left_ids or right_ids
-        i, j = _last_border(left), _first_border(right)
-        before = len(left_ids) - len(self.encode_leaf(left[i:]))
-        after = len(self.encode_leaf(right[:j]))
-        return left_ids[:before] + self.encode_leaf(left[i:] + right[:j]) + right_ids[after:]
+        return self.node(text, 0, len(text), leaf).ids
+
+    def join(self, text: str, end: int, left: Node, right: Node) -> Node:
+        """The node of both sides; their cuts are places in ``text``, where the right side goes to ``end``."""
+        if not left.sizes or not right.sizes:
+            return right if right.sizes else left
+        back = 2
+        while True:
+            first = max(0, len(left.sizes) - back)
+            at, cuts, k = left.cuts[first], [], 0
+            while at < end:
+                m = self.pattern.search(text, at, end)
+                if m is None:
+                    k = len(right.sizes)
+                    break
+                at = m.end()
+                cuts.append(at)
+                while k < len(right.sizes) and right.cuts[k] < at:
+                    k += 1
+                if right.cuts[k] == at:
+                    break
+            if first == 0 or cuts[0] == left.cuts[first + 1]:
+                break
+            back *= 2
+        gone, again = sum(left.sizes[first:]), sum(right.sizes[:k])
+        known = self.known
+        if all(b - a <= _SEEN for a, b in zip([left.cuts[first], *cuts], cuts)):  # mostly: short matches, met before
+            lists = [known.get(x) or self.match_ids(x) for x in (text[a:b] for a, b in zip([left.cuts[first], *cuts], cuts))]
+            left.ids[len(left.ids) - gone :] = chain.from_iterable([*lists, right.ids[again:]])
+            left.cuts[first + 1 :] = cuts + right.cuts[k + 1 :]
+            left.sizes[first:] = [*map(len, lists), *right.sizes[k:]]
+            return left
+        old = Node(left.ids[len(left.ids) - gone :] + right.ids[:again], left.cuts[first:] + right.cuts[1 : k + 1], left.sizes[first:] + right.sizes[:k])
+        ids: list[int] = []
+        sizes = []
+        for a, b in zip([left.cuts[first], *cuts], cuts):
+            own = self.match_ids(text[a:b]) if b - a <= _SEEN else self.long_match(text, a, b, old)
+            ids += own
+            sizes.append(len(own))
+        return Node(
+            left.ids[: len(left.ids) - gone] + ids + right.ids[again:],
+            left.cuts[: first + 1] + cuts + right.cuts[k + 1 :],
+            left.sizes[:first] + sizes + right.sizes[k:],
+        )
+
+    def long_match(self, text: str, begin: int, end: int, old: Node) -> list[int]:
+        """Tokens of a match that is made of whole matches of the halves, from their tokens; of any other one, from its bytes."""
+        a, b = bisect_left(old.cuts, begin), bisect_left(old.cuts, end)
+        if b >= len(old.cuts) or old.cuts[a] != begin or old.cuts[b] != end:
+            return self.match_ids(text[begin:end])
+        at = sum(old.sizes[:a])
+        tokens: list[bytes] = []
+        for size in old.sizes[a:b]:
+            tokens = self.joined(tokens, [self.token[i] for i in old.ids[at : at + size]])
+            at += size
+        return [self.ranks[t] for t in tokens]
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 1 << 14:
@@ -77,19 +214,13 @@ class Bpe:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
-def _last_border(text: str) -> int:
-    size = 64
-    while True:
-        start = max(0, len(text) - size)
-        found = [m.start() for m in _BORDER.finditer(text, start)]
-        if found or not start:
-            return found[-1] if found else 0
-        size *= 4
+@dataclass
+class Node:
+    """Tokens of a stretch of text, where its matches are cut (its begin, then the end of each), and how many tokens each has."""
 
-
-def _first_border(text: str) -> int:
-    found = _BORDER.search(text)
-    return found.start() if found else len(text)
+    ids: list[int]
+    cuts: list[int]
+    sizes: list[int]
 
 
 def _ids_array(lists: list[list[int]]) -> pa.Array:
@@ -113,6 +244,24 @@ def _encoder(data, pattern: str):
     return run
 
 
+_LEVEL = "ka long, kb long, i int, ids array<int>, cuts array<int>, sizes array<int>"
+
+
+def _level_batch(batch: pa.RecordBatch, drop: set[str], nodes: list[Node]) -> pa.RecordBatch:
+    out = _replaced(batch, drop, "ids", _ids_array([n.ids for n in nodes]))
+    rest = [_ids_array([n.cuts for n in nodes]), _ids_array([n.sizes for n in nodes])]
+    return pa.RecordBatch.from_arrays([*out.columns, *rest], names=[*out.schema.names, "cuts", "sizes"])
+
+
+def _part_encoder(data, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = Bpe.of(data.value, pattern)
+        for batch in (b for big in batches for b in packed([big], "text", 2 << 20)):
+            yield _level_batch(batch, {"text"}, [bpe.node(t, 0, len(t)) for t in batch.column("text").to_pylist()])
+
+    return run
+
+
 def _joiner(data, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.of(data.value, pattern)
@@ -120,11 +269,12 @@ def _joiner(data, pattern: str):
             for i in range(big.num_rows):
                 batch = big.slice(i, 1)
                 pair = batch.column("pair").to_pylist()[0]
-                ids = pair[0]["ids"]
+                node = Node(pair[0]["ids"], pair[0]["cuts"], pair[0]["sizes"])
                 if len(pair) == 2:
-                    texts = [bpe.decode(p["ids"]).decode() for p in pair]
-                    ids = bpe.join(texts[0], ids, texts[1], pair[1]["ids"])
-                yield _replaced(batch, {"pair"}, "ids", _ids_array([ids]))
+                    left, right = (bpe.decode(p["ids"]).decode() for p in pair)
+                    text = left + right
+                    node = bpe.join(text, len(text), node, Node(pair[1]["ids"], [c + len(left) for c in pair[1]["cuts"]], pair[1]["sizes"]))
+                yield _level_batch(batch, {"pair"}, [node])
 
     return run
 
@@ -151,14 +301,14 @@ def _encode_long(long: DataFrame, data, pattern: str, part: int) -> DataFrame |
         .select("ka", "kb", "i", F.substring("text", F.col("i") * part + 1, F.lit(part)).alias("text"))
         .repartition("ka", "kb", "i")
     )
-    level = ws.write(parts.mapInArrow(_encoder(data, pattern), "ka long, kb long, i int, ids array<int>"), "parts")
+    level = ws.write(parts.mapInArrow(_part_encoder(data, pattern), _LEVEL), "parts")
     count = -(-most // part)
     while count > 1:
-        pairs = level.groupBy("ka", "kb", F.expr("i div 2").cast("int").alias("i")).agg(F.sort_array(F.collect_list(F.struct(F.col("i").alias("at"), "ids"))).alias("pair"))
-        above = ws.write(pairs.mapInArrow(_joiner(data, pattern), "ka long, kb long, i int, ids array<int>"), "level")
+        pairs = level.groupBy("ka", "kb", F.expr("i div 2").cast("int").alias("i")).agg(F.sort_array(F.collect_list(F.struct(F.col("i").alias("at"), "ids", "cuts", "sizes"))).alias("pair"))
+        above = ws.write(pairs.mapInArrow(_joiner(data, pattern), _LEVEL), "level")
         ws.drop(level)
         level, count = above, -(-count // 2)
-    level = ws.result(level)
+    level = ws.result(level.drop("cuts", "sizes"))
     return keyed.join(level, ["ka", "kb"]).select("row", "ids")
 
 
