@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import uuid
 
@@ -63,6 +65,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_scratch: list[str] = []
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Remove the scratch folders of this driver process; nothing reads them after it."""
+    for path in _scratch:
+        with contextlib.suppress(Exception):  # the session may have ended first
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, removed when the driver process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_sweep, spark)
+    _scratch.append(path)
+    return path
