@@ -10,6 +10,8 @@ from tracewright.operators.ordering import ordered_chunks
 from tracewright.schemas import pricing_table
 
 CALL = ["id", "usage_log_id", "llm_model", "tokens_used", "cost_usd_thousandths", "created_at"]
+#: Calls of one request that are listed in one row while they are cut into chunks.
+LIST = 10_000
 
 
 def user_list(users: DataFrame) -> DataFrame:
@@ -42,14 +44,33 @@ def newest_first(report: DataFrame) -> DataFrame:
     return report.orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def call_lists(calls: DataFrame, chunk: int, most: int = LIST) -> DataFrame:
+    """(usage_log_id, chunk, items): the calls of each request in order, at most ``chunk`` to a row.
+
+    Requests with up to ``most`` calls are listed by one aggregation and cut in place; the few with more go through the sorted table, so that no list
+    grows with the data.
+    """
+    key, call = "usage_log_id", F.struct(*[F.col(c) for c in CALL])
+    long = calls.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(key)
+    some = not long.isEmpty()
+    short = calls.join(long, key, "left_anti") if some else calls
+    lists = short.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(call)).alias("calls"))  # by id, their first field
+    starts = F.sequence(F.lit(0), F.floor((F.size("calls") - 1) / chunk).cast("int"))
+    cut = F.transform(starts, lambda k: F.struct(k.cast("bigint").alias("chunk"), F.slice("calls", k * chunk + 1, F.lit(chunk)).alias("items")))
+    rows = lists.select(key, F.inline(cut))
+    if some:
+        rest = ordered_chunks(calls.join(long, key, "left_semi"), [key], ["id"], call, chunk)
+        rows = rows.unionByName(rest.select(key, "chunk", "items"))
+    return rows
+
+
 def nested_usage(logs: DataFrame, users: DataFrame, calls: DataFrame, chunk: int = 500) -> DataFrame:
     """Requests as ``struct(user), struct(usage_log), array(llm_calls)``.
 
     A request with more calls than ``chunk`` continues in further rows, numbered by ``chunk``; one without calls
     has an empty list.
     """
-    call = F.struct(*[F.col(c) for c in CALL])
-    lists = ordered_chunks(calls, ["usage_log_id"], ["id"], call, chunk)
+    lists = call_lists(calls, chunk)
     who = users.select(F.col("id").alias("user_id"), F.struct(*user_list(users).columns).alias("user"))
     log = F.struct(*[F.col(c) for c in logs.columns]).alias("usage_log")
     requests = logs.select("id", "user_id", "created_at", log).join(who, "user_id")
