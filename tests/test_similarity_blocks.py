@@ -59,3 +59,22 @@ def test_cells_meet_without_another_exchange(spark):
     above = plan[: plan.index("ObjectHashAggregate")]  # from the scores down to the lists of the cells
     assert "SortMergeJoin" in above and "Exchange" not in above
     assert "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("smaller", ["issue", "pull"])
+def test_few_vectors_are_sent_and_the_others_shuffled_once(spark, smaller, monkeypatch):
+    issues, pulls = (20, 300) if smaller == "issue" else (300, 20)
+    issue, pull, pairs = vectors(spark, "issue_id", issues, 6), vectors(spark, "pull_request_id", pulls, 7), links(spark, issues, 9, pulls)
+    want = sorted((tuple(r) for r in similarity.score_links(pairs, issue, pull).collect()), key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    monkeypatch.setattr(similarity, "SENT", 5_000)
+    try:
+        scored = similarity.score_links(pairs, issue, pull)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        got = sorted((tuple(r) for r in scored.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and len(want) > 100
+    assert "BroadcastHashJoin" in plan and "collect_list" not in plan and "issue_block" not in plan
+    wide = plan[plan.index("BroadcastHashJoin") : plan.index("SortMergeJoin")]
+    assert "Exchange" not in wide  # a pair that carries a vector is not shuffled again

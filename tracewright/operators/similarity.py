@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.functions.numbers import cosine, norm
 from tracewright.functions.text import candidate_card
@@ -15,6 +16,8 @@ BLOCK = 512
 ISSUE = ["repo_id", "issue_id"]
 PULL = ["repo_id", "pull_request_id"]
 CELL = ["repo_id", "issue_block", "pull_block"]
+#: Bytes of one side's linked vectors, as measured, up to which they go to every executor; the driver holds a few times as much for a while.
+SENT = 128 << 20
 
 
 def with_embedding(pull_requests: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -39,23 +42,55 @@ def _prepared(vectors: DataFrame, key: str) -> DataFrame:
     return known.select("repo_id", key, F.col("embedding").alias("vector"), norm(F.col("embedding")).alias("norm"))
 
 
+def _broadcast_limit(df: DataFrame) -> int:
+    """Spark's own limit; negative where broadcasts are switched off."""
+    return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def _fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark's own estimate is below its broadcast limit."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= _broadcast_limit(df)
+
+
+def _linked(vectors: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The vectors that some pair needs."""
+    return vectors.join(pairs.select(*keys).distinct(), keys, "left_semi")
+
+
+def _can_be_sent(vectors: DataFrame) -> bool:
+    """Whether the vectors, as measured, are few enough for every executor to hold them all."""
+    width = 8 if isinstance(vectors.schema["vector"].dataType.elementType, T.DoubleType) else 4
+    return (vectors.agg(F.sum(F.size("vector") * width + 64)).first()[0] or 0) <= SENT
 
 
 def score_links(links: DataFrame, issue_vectors: DataFrame, pull_vectors: DataFrame, block: int | None = None) -> DataFrame:
     """Cosine similarity of every linked pair; only keys and the score leave this step.
 
-    Vectors that Spark can broadcast are joined in place. Beyond that, or with ``block``, links are laid out in cells (see ``score_in_cells``).
+    Vectors that Spark can broadcast are joined in place. Beyond that, the side whose linked vectors are few (``SENT``) goes to every executor
+    and the other side meets the pairs by its key, so each of its vectors is shuffled once, however many links it has, and the scoring is
+    spread by that key. Where neither side is small, or with ``block``, links are laid out in cells (see ``score_in_cells``).
     """
     issue, pull = _prepared(issue_vectors, "issue_id"), _prepared(pull_vectors, "pull_request_id")
     pairs = links.select(*ISSUE, "pull_request_id")
-    if block or not (_fits_broadcast(issue_vectors) and _fits_broadcast(pull_vectors)):
-        return score_in_cells(pairs, issue, pull, block or BLOCK)
+    if not block and _fits_broadcast(issue_vectors) and _fits_broadcast(pull_vectors):
+        return score_by_joins(pairs, issue, pull)
+    if not block and _broadcast_limit(pairs) >= 0:
+        few = _linked(issue, pairs, ISSUE)
+        if _can_be_sent(few):
+            return score_by_joins(pairs, F.broadcast(few), pull.hint("merge"))
+        few = _linked(pull, pairs, PULL)
+        if _can_be_sent(few):
+            return score_by_joins(pairs, issue.hint("merge"), F.broadcast(few), issues_first=True)
+    return score_in_cells(pairs, issue, pull, block or BLOCK)
+
+
+def score_by_joins(pairs: DataFrame, issue: DataFrame, pull: DataFrame, issues_first: bool = False) -> DataFrame:
+    """Scores of pairs by two joins; what is joined first may be shuffled, as the pairs are still narrow."""
     named = lambda df, name: df.withColumnsRenamed({"vector": f"{name}_vector", "norm": f"{name}_norm"})
-    joined = pairs.join(named(pull, "pull"), PULL).join(named(issue, "issue"), ISSUE)
+    sides = [(named(pull, "pull"), PULL), (named(issue, "issue"), ISSUE)]
+    joined = pairs
+    for vectors, keys in reversed(sides) if issues_first else sides:
+        joined = joined.join(vectors, keys)
     similarity = cosine(F.col("issue_vector"), F.col("pull_vector"), F.col("issue_norm"), F.col("pull_norm"))
     return joined.select(*ISSUE, "pull_request_id", similarity.alias("score"))
 
