@@ -59,3 +59,18 @@ def test_blockers_drop_the_free_text(spark, tmp_path):
     write(tmp_path / "b.csv", [('two\nlines, "quoted"', 1, "u", "2024-01-06T10:00:00Z"), ("", 2, "", "2024-02-06T10:00:00Z")], header=head)
     rows = files.read_blockers(spark, str(tmp_path / "b.csv")).orderBy("deploy_number").collect()
     assert [(r["deploy_number"], r["deploy_url"], r["created_at"].month) for r in rows] == [(1, "u", 1), (2, None, 2)]
+
+
+def test_a_task_holds_few_lines_in_order(spark, tmp_path, monkeypatch):
+    """However large a block is, its lines are dealt out in short runs; records may span any number of them."""
+    rows = [*rows_of(1, 150), (2, "\n" * 40, 0), *rows_of(3, 50)]
+    write(tmp_path / "a.csv", rows, "\r\n")
+    write(tmp_path / "b.csv", rows_of(4, 30), "\n")
+    schema = "id long, note string, n int"
+    places = [tuple(r) for r in quoted.record_texts(spark, str(tmp_path)).select("file", "block", "line", "text").collect()]
+    monkeypatch.setattr(quoted, "PIECE_LINES", 8)
+    cut = quoted.record_texts(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in cut.select("file", "block", "line", "text").collect()) == sorted(places)
+    assert "windowspecdefinition(file" in (plan := cut._jdf.queryExecution().optimizedPlan().toString()) and "run#" in plan
+    got = sorted(tuple(r) for r in quoted.read_quoted_csv(spark, str(tmp_path), schema).collect())
+    assert got == sorted([*rows, *rows_of(4, 30)])
