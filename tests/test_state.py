@@ -170,3 +170,21 @@ def test_months_missing_on_one_side(spark):
     assert [(r["label"], r["merged"], r["fixes"], r["fix_hours"]) for r in got] == [
         ("Jan-2025", 3, 1, pytest.approx(1 / 12)), ("Feb-2025", 0, 12, pytest.approx(1.0)),
     ]
+
+
+def test_a_task_is_not_given_many_packed_keys(spark):
+    """Sequential keys pack to a few bytes a row; joined partitions must stay small for the tasks that sort them."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parents = spark.range(0, 2_000_000, 1, 8)
+        children = spark.range(0, 4_000_000, 1, 8).withColumnRenamed("id", "parent")
+        kept = state.drop_orphans(children, parents, {"parent": "id"})
+        assert kept.rdd.getNumPartitions() > 1
+        assert kept.count() == 2_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k, v in before.items():
+            spark.conf.set(k, v)

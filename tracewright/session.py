@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # small partitions are joined up to this much: rows of keys pack to a few bytes each, and a task unpacks and sorts them all
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     # split a hot key even when a later stage could have reused the join's partitioning
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # whole texts go to Python in batches: a few MB at a time, in the worker and in the executor's own buffers
