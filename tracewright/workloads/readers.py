@@ -93,7 +93,9 @@ def source_tree_index(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "tree")
     parts = F.split("path", "/")
     tree = _files(spark, d).select("content", F.get(parts, F.lit(1)).alias("folder"), F.get(parts, F.lit(2)).alias("name"))
-    tree.write.partitionBy("folder", "name").text(f"{root}/src")
+    # every task makes its share of the files and puts them in place itself; the folder is new, so a failed run leaves nothing that is read
+    spread = tree.repartition("folder", "name").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    spread.partitionBy("folder", "name").text(f"{root}/src")
     # Spark names its folders by column and its files by task; the rest is the tree
     found = files.read_source_tree(spark, f"{root}/src")
     path = F.regexp_replace(F.regexp_replace("path", "(?<=/)(folder|name)=", ""), "/part-[^/]*$", "")
