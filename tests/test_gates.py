@@ -254,3 +254,17 @@ def test_review_rows(spark):
     text = spark.createDataFrame([([("f", 1, None, "é", "note")],)], "x array<struct<file:string,line:int,start_line:int,content:string,label:string>>")
     shown = text.select(review.comment_json(F.col("x"))).first()[0]
     assert shown == '[{"file":"f","line":1,"start_line":null,"content":"é","label":"note"}]'
+
+
+def test_words_are_sought_only_where_a_security_comment_is_near(spark):
+    rows = [("r", 1, "a.py", line, None, "Move the secret", "issue") for line in range(40)]
+    security = spark.createDataFrame([("r", 1, "a.py", 20, None, "HIGH: hardcoded password (Rule: bandit B1)", "security")], COMMENT_COLUMNS)
+    kept = review.drop_near_security(spark.createDataFrame(rows, COMMENT_COLUMNS), security)
+    assert sorted(r["line"] for r in kept.collect()) == [*range(17), *range(24, 40)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kept.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = [part for part in plan.split("Exchange")[1:] if "regexp_replace" in part]
+    assert "regexp_replace" in plan.split("Exchange")[0] and len(scans) == 1  # in the join, and of the security side

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.core import bind
 from tracewright.functions.text import concern_words
 from tracewright.schemas import COMMENT_LABELS, PUBLISHED_LABELS, SEVERITIES, SIGNATURE
 
@@ -72,7 +73,8 @@ def drop_near_security(comments: DataFrame, security: DataFrame, nearby: int = N
 
     Two remarks are similar when they share at least ``overlap`` of the words of the one that has fewer (see ``concern_words``); remarks
     without words are like no other. The security side is made distinct by line and words and its band spelled out, so the join stays an
-    equality whose matches only test word sets; it emits no pairs, and the first match settles a comment.
+    equality whose matches only test word sets; it emits no pairs, and the first match settles a comment. The words of a comment are
+    looked for where it meets a security comment, as most meet none.
     """
     offsets = F.array(*[F.lit(d) for d in range(-nearby, nearby + 1)])
     band = (
@@ -81,12 +83,14 @@ def drop_near_security(comments: DataFrame, security: DataFrame, nearby: int = N
         .select(*PULL, "file", F.explode(F.transform(offsets, lambda d: F.col("line") + d)).alias("line"), "words")
         .distinct()
     )
-    c, s = comments.withColumn("_words", concern_words(F.col("content"))).alias("c"), band.alias("s")
-    shared = F.size(F.array_intersect("c._words", "s.words"))
-    fewer = F.least(F.size("c._words"), F.size("s.words"))
+    c, s = comments.alias("c"), band.alias("s")
+
+    def similar(said: Column) -> Column:
+        fewer = F.least(F.size(said), F.size("s.words"))
+        return (fewer > 0) & (F.size(F.array_intersect(said, F.col("s.words"))) >= overlap * fewer)
+
     same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in (*PULL, "file", "line")]
-    similar = (fewer > 0) & (shared >= overlap * fewer)
-    return c.join(s, [*same, similar], "left_anti").drop("_words")
+    return c.join(s, [*same, bind(concern_words(F.col("c.content")), similar)], "left_anti")
 
 
 def merge_comments(security: DataFrame, comments: DataFrame) -> DataFrame:
