@@ -245,6 +245,25 @@ def test_tokens_of_one_long_match():
         assert bpe.encode(word) == tokens
 
 
+def test_short_matches_of_a_batch_are_merged_together(monkeypatch):
+    library, rng, one_by_one = library_encoder(), random.Random(5), []
+    merged = bpe_tree.Bpe.merged
+    monkeypatch.setattr(bpe_tree.Bpe, "merged", lambda self, data: one_by_one.append(data) or merged(self, data))
+    monkeypatch.setattr(bpe_tree, "_loaded", {})
+    monkeypatch.setattr(bpe_tree, "_KEPT", 2000)  # what was met is forgotten between batches
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß日") for _ in range(rng.randint(1, 5))) for _ in range(6000)]
+    texts = ["", None, "the", " ", "🙂" * 9, "x" * 700, *(" ".join(words[i : i + 20]) for i in range(0, len(words), 20))]
+
+    class Sent:
+        value = open(RANKS, "rb").read()
+
+    batches = (pa.RecordBatch.from_pydict({"n": list(range(i, i + 51)), "text": texts[i : i + 51]}) for i in range(0, 306, 51))
+    out = [r for b in bpe_tree._decoder(Sent, public_tokenizers.PATTERN)(bpe_tree._encoder(Sent, public_tokenizers.PATTERN)(batches)) for r in b.to_pylist()]
+    assert [r["n"] for r in out] == list(range(306))
+    assert [(r["ids"], r["decoded"]) for r in out] == [(library.encode_ordinary(t or ""), (t or "").encode()) for t in texts]
+    assert len(one_by_one) < 500  # of the two long matches; before, each of thousands of short ones
+
+
 def test_tokens_of_parts(spark, docs, none):
     found = bpe_tree.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN)
     want = Counter((r.doc_id, *tiktoken_rows({0: r.text or ""})[0]) for r in docs.select("doc_id", "text").collect())

@@ -14,6 +14,8 @@ character past a match, so what lies before stands too.
 
 A text of more than ``PART`` characters is cut into parts that are rows of their own, so several tasks share it; neighbouring parts are then
 joined level by level in the same way, one shuffle of long texts' tokens for each. Decoding concatenates the tokens' bytes up the same tree.
+
+Matches of up to ``SHORT`` bytes that a batch of texts brings up for the first time are merged together, a column operation for each step.
 No tokenizer library takes part.
 
 Null texts count as empty (no tokens). Rows keep their order of columns; ids may be null or repeat. The rank file's bytes
@@ -42,6 +44,7 @@ PART = 1 << 16
 _KEPT = 300_000
 _SEEN = 64
 _NONE = 1 << 60
+_FREE = np.int32((1 << 31) - 1)
 _loaded: dict = {}
 
 
@@ -56,7 +59,15 @@ class Bpe:
         self.token = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.token[rank] = token
-        self.known: dict[str, list[int]] = {}
+        self.bytes = Lists(map(len, self.token), np.frombuffer(b"".join(self.token), np.uint8))
+        self.known: dict[str, int] = {}
+        self.met = Lists()
+        self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.whole = bool((self.byte_ids >= 0).all())  # otherwise some bytes have no token
+        made = [(a, b, rank) for token, rank in self.ranks.items() for a, b in self.cuts_of(token)]
+        left, right, made_ids = np.array(made, np.int64).reshape(-1, 3).T
+        order = np.argsort(left << 32 | right)
+        self.pair_keys, self.pair_ids = (left << 32 | right)[order], made_ids[order].astype(np.int32)
 
     @staticmethod
     def of(data: bytes, pattern: str) -> Bpe:
@@ -65,6 +76,77 @@ class Bpe:
             _loaded[key] = Bpe(data, pattern)
         return _loaded[key]
 
+    def cuts_of(self, token: bytes) -> list[tuple[int, int]]:
+        """The pairs of tokens that a token can be merged from."""
+        rank = self.ranks.get
+        pairs = ((rank(token[:i]), rank(token[i:])) for i in range(1, len(token)))
+        return [(a, b) for a, b in pairs if a is not None and b is not None]
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of what each pair of tokens merges to; ``_FREE`` if it doesn't."""
+        if not len(self.pair_keys):
+            return np.full(left.shape, _FREE, np.int32)
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ids[at], _FREE)
+
+    def merged_together(self, rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What ``merged`` gives for each of many rows of the same length: (places of rows, their ids), each row in one of them. A step merges one
+        pair in every row that still has one, so rows stay equally wide; those without a pair are finished and leave."""
+        ids = self.byte_ids[np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)]
+        pairs = self.pair_ranks(ids[:, :-1], ids[:, 1:])
+        whose = np.arange(len(rows))
+        while len(whose):
+            if pairs.shape[1]:
+                best = pairs.argmin(axis=1)  # the first of equal ones
+                low = pairs[np.arange(len(whose)), best]
+                going = low != _FREE
+            else:
+                going = np.zeros(len(whose), bool)
+            if not going.all():
+                yield whose[~going], ids[~going]
+                if not going.any():
+                    break
+                whose, ids, pairs, best, low = whose[going], ids[going], pairs[going], best[going], low[going]
+            n, width = ids.shape
+            row = np.arange(n)
+            ids[row, best] = low
+            kept = np.ones((n, width), bool)
+            kept[row, best + 1] = False
+            ids = ids[kept].reshape(n, width - 1)
+            kept = np.ones((n, width - 1), bool)
+            kept[row, best] = False
+            pairs = pairs[kept].reshape(n, width - 2)
+            before, after = np.flatnonzero(best > 0), np.flatnonzero(best < width - 2)
+            pairs[before, best[before] - 1] = self.pair_ranks(ids[before, best[before] - 1], low[before])
+            pairs[after, best[after]] = self.pair_ranks(low[after], ids[after, best[after] + 1])
+
+    def forget(self) -> None:
+        """Makes room for the next batch; nodes are good until then."""
+        if len(self.met) >= _KEPT or self.met.filled >= 16 * _KEPT:
+            self.known.clear()
+            self.met.clear()
+
+    def learn(self, matches: set[str]) -> None:
+        """Tokens of all short matches not met before; longer ones are left to ``match``."""
+        self.forget()
+        if not self.whole:
+            return
+        new = list(matches.difference(self.known))
+        data = list(map(str.encode, new))
+        whole = np.fromiter((self.ranks.get(x, -1) for x in data), np.int32, count=len(data))
+        tokens = np.flatnonzero(whole >= 0)  # a match that is a token is that token, whatever its bytes merge to
+        first = self.met.add(np.ones(len(tokens), np.int64), whole[tokens])
+        self.known.update(zip([new[i] for i in tokens.tolist()], range(first, first + len(tokens))))
+        length = np.where(whole < 0, np.fromiter(map(len, data), np.int64, count=len(data)), 0)
+        for n in range(1, SHORT + 1):
+            at = np.flatnonzero(length == n).tolist()
+            if not at:
+                continue
+            for rows, ids in self.merged_together([data[i] for i in at]):
+                first = self.met.add(np.full(len(rows), ids.shape[1]), ids.ravel())
+                self.known.update(zip([new[at[i]] for i in rows.tolist()], range(first, first + len(rows))))
+
     def merged(self, data: bytes) -> list[bytes]:
         """Tokens of some bytes: the pair of lowest rank is merged, the first of equal ones, again and again."""
         if len(data) > _SEEN:
@@ -121,91 +203,98 @@ class Bpe:
         middle = len(data) // 2
         return self.joined(self.halves(data[:middle], short), self.halves(data[middle:], short))
 
-    def match_ids(self, text: str) -> list[int]:
-        """Tokens of one match of the pattern; a match that is a token is that token."""
-        ids = self.known.get(text)
-        if ids is None:
+    def match(self, text: str) -> int:
+        """Where ``met`` has the tokens of one match of the pattern; a match that is a token is that token."""
+        at = self.known.get(text)
+        if at is None:
             data = text.encode()
             one = self.ranks.get(data)
-            ids = [one] if one is not None else [self.ranks[t] for t in self.halves(data)]
+            at = self.met.put([one] if one is not None else [self.ranks[t] for t in self.halves(data)])
             if len(text) <= _SEEN:
-                if len(self.known) >= _KEPT:
-                    self.known.clear()
-                self.known[text] = ids
-        return ids
+                self.known[text] = at
+        return at
 
-    def leaf(self, text: str, begin: int, end: int) -> Node:
-        found = self.pattern.findall(text[begin:end])
+    def leaf(self, text: str, begin: int, end: int, found: list[str] | None = None) -> Node:
+        if found is None:
+            found = self.pattern.findall(text[begin:end])
         known = self.known
-        lists = [known.get(x) or self.match_ids(x) for x in found]
+        try:
+            matches = list(map(known.__getitem__, found))
+        except KeyError:
+            matches = list(map(self.match, found))
         cuts = list(accumulate(map(len, found), initial=begin))
         if cuts[-1] != end:  # a pattern that leaves something out between its matches
             cuts = [begin, *(m.end() for m in self.pattern.finditer(text, begin, end))]
-        return Node(list(chain.from_iterable(lists)), cuts, list(map(len, lists)))
+        return Node(self, matches, cuts)
 
-    def node(self, text: str, begin: int, end: int, leaf: int = LEAF) -> Node:
+    def node(self, text: str, begin: int, end: int, leaf: int = LEAF, found: Iterator[list[str]] | None = None) -> Node:
+        """The node of a stretch of text; ``found`` has the matches of its leaves from left to right, if they are known."""
         if end - begin <= leaf:
-            return self.leaf(text, begin, end)
+            return self.leaf(text, begin, end, found and next(found))
         middle = (begin + end) // 2
-        return self.join(text, end, self.node(text, begin, middle, leaf), self.node(text, middle, end, leaf))
+        left = self.node(text, begin, middle, leaf, found)
+        return self.join(text, end, left, self.node(text, middle, end, leaf, found))
+
+    def leaves(self, text: str, begin: int, end: int, leaf: int) -> list[list[str]]:
+        """The matches of each leaf, from left to right."""
+        if end - begin <= leaf:
+            return [self.pattern.findall(text[begin:end])]
+        middle = (begin + end) // 2
+        return self.leaves(text, begin, middle, leaf) + self.leaves(text, middle, end, leaf)
+
+    def nodes(self, texts: list[str], leaf: int = LEAF) -> Iterator[Node]:
+        """The node of each text; what their leaves have not met before is merged together first."""
+        found = [self.leaves(text, 0, len(text), leaf) for text in texts]
+        self.learn(set(chain.from_iterable(chain.from_iterable(found))))
+        for text, of_text in zip(texts, found):
+            yield self.node(text, 0, len(text), leaf, iter(of_text))
 
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
         return self.node(text, 0, len(text), leaf).ids
 
     def join(self, text: str, end: int, left: Node, right: Node) -> Node:
         """The node of both sides; their cuts are places in ``text``, where the right side goes to ``end``."""
-        if not left.sizes or not right.sizes:
-            return right if right.sizes else left
+        if not left.matches or not right.matches:
+            return right if right.matches else left
         back = 2
         while True:
-            first = max(0, len(left.sizes) - back)
+            first = max(0, len(left.matches) - back)
             at, cuts, k = left.cuts[first], [], 0
             while at < end:
                 m = self.pattern.search(text, at, end)
                 if m is None:
-                    k = len(right.sizes)
+                    k = len(right.matches)
                     break
                 at = m.end()
                 cuts.append(at)
-                while k < len(right.sizes) and right.cuts[k] < at:
+                while k < len(right.matches) and right.cuts[k] < at:
                     k += 1
                 if right.cuts[k] == at:
                     break
             if first == 0 or cuts[0] == left.cuts[first + 1]:
                 break
             back *= 2
-        gone, again = sum(left.sizes[first:]), sum(right.sizes[:k])
-        known = self.known
-        if all(b - a <= _SEEN for a, b in zip([left.cuts[first], *cuts], cuts)):  # mostly: short matches, met before
-            lists = [known.get(x) or self.match_ids(x) for x in (text[a:b] for a, b in zip([left.cuts[first], *cuts], cuts))]
-            left.ids[len(left.ids) - gone :] = chain.from_iterable([*lists, right.ids[again:]])
-            left.cuts[first + 1 :] = cuts + right.cuts[k + 1 :]
-            left.sizes[first:] = [*map(len, lists), *right.sizes[k:]]
-            return left
-        old = Node(left.ids[len(left.ids) - gone :] + right.ids[:again], left.cuts[first:] + right.cuts[1 : k + 1], left.sizes[first:] + right.sizes[:k])
-        ids: list[int] = []
-        sizes = []
+        known, old, matches = self.known, None, []
         for a, b in zip([left.cuts[first], *cuts], cuts):
-            own = self.match_ids(text[a:b]) if b - a <= _SEEN else self.long_match(text, a, b, old)
-            ids += own
-            sizes.append(len(own))
-        return Node(
-            left.ids[: len(left.ids) - gone] + ids + right.ids[again:],
-            left.cuts[: first + 1] + cuts + right.cuts[k + 1 :],
-            left.sizes[:first] + sizes + right.sizes[k:],
-        )
-
-    def long_match(self, text: str, begin: int, end: int, old: Node) -> list[int]:
-        """Tokens of a match that is made of whole matches of the halves, from their tokens; of any other one, from its bytes."""
+            if b - a <= _SEEN:
+                at = known.get(text[a:b])
+                matches.append(self.match(text[a:b]) if at is None else at)
+                continue
+            old = old or Node(self, left.matches[first:] + right.matches[:k], left.cuts[first:] + right.cuts[1 : k + 1])
+            matches.append(self.long_match(text, a, b, old))
+        left.matches[first:] = matches + right.matches[k:]
+        left.cuts[first + 1 :] = cuts + right.cuts[k + 1 :]
+        return left
+
+    def long_match(self, text: str, begin: int, end: int, old: Node) -> int:
+        """``match`` of a long one: if it is made of whole matches of the halves, from their tokens; of any other one, from its bytes."""
         a, b = bisect_left(old.cuts, begin), bisect_left(old.cuts, end)
         if b >= len(old.cuts) or old.cuts[a] != begin or old.cuts[b] != end:
-            return self.match_ids(text[begin:end])
-        at = sum(old.sizes[:a])
+            return self.match(text[begin:end])
         tokens: list[bytes] = []
-        for size in old.sizes[a:b]:
-            tokens = self.joined(tokens, [self.token[i] for i in old.ids[at : at + size]])
-            at += size
-        return [self.ranks[t] for t in tokens]
+        for at in old.matches[a:b]:
+            tokens = self.joined(tokens, [self.token[i] for i in self.met.get(at)])
+        return self.met.put([self.ranks[t] for t in tokens])
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 1 << 14:
@@ -214,13 +303,82 @@ class Bpe:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
+class Lists:
+    """Many short lists of numbers, one after the other in an array that grows by doubling."""
+
+    def __init__(self, sizes=(), numbers: np.ndarray | None = None):
+        self.starts, self.sizes, self.numbers = np.zeros(16, np.int64), np.zeros(16, np.int64), np.zeros(16, np.int32 if numbers is None else numbers.dtype)
+        self.count = self.filled = 0
+        if numbers is not None:
+            self.add(np.array(list(sizes), np.int64), numbers)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def clear(self) -> None:
+        self.count = self.filled = 0
+
+    def add(self, sizes: np.ndarray, numbers: np.ndarray) -> int:
+        """The place of the first of some more lists."""
+        first, n, end = self.count, self.count + len(sizes), self.filled + len(numbers)
+        if n > len(self.starts):
+            self.starts, self.sizes = (np.concatenate((x[:first], np.zeros(2 * n - first, np.int64))) for x in (self.starts, self.sizes))
+        if end > len(self.numbers):
+            self.numbers = np.concatenate((self.numbers[: self.filled], np.zeros(2 * end - self.filled, self.numbers.dtype)))
+        self.starts[first:n] = self.filled + np.cumsum(sizes) - sizes
+        self.sizes[first:n] = sizes
+        self.numbers[self.filled : end] = numbers
+        self.count, self.filled = n, end
+        return first
+
+    def put(self, numbers: list[int]) -> int:
+        return self.add(np.array([len(numbers)]), np.array(numbers, self.numbers.dtype))
+
+    def get(self, at: int) -> list[int]:
+        return self.numbers[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
+
+    def joined(self, places: np.ndarray) -> np.ndarray:
+        """The numbers of the lists at some places, one after the other; a piece at a time, as each number takes a place of its own meanwhile."""
+        out = []
+        for i in range(0, len(places), 1 << 18):
+            some = places[i : i + (1 << 18)]
+            sizes = self.sizes[some]
+            ends = np.cumsum(sizes)
+            out.append(self.numbers[np.repeat(self.starts[some] - (ends - sizes), sizes) + np.arange(ends[-1])])
+        return np.concatenate(out) if out else self.numbers[:0]
+
+
 @dataclass
 class Node:
-    """Tokens of a stretch of text, where its matches are cut (its begin, then the end of each), and how many tokens each has."""
+    """Where ``met`` has the tokens of each match of a stretch of text, and where its matches are cut (its begin, then the end of each)."""
 
-    ids: list[int]
+    bpe: Bpe
+    matches: list[int]
     cuts: list[int]
-    sizes: list[int]
+
+    @property
+    def ids(self) -> list[int]:
+        return self.bpe.met.joined(np.array(self.matches, np.int64)).tolist()
+
+    @property
+    def sizes(self) -> list[int]:
+        return self.bpe.met.sizes[np.array(self.matches, np.int64)].tolist()
+
+    @staticmethod
+    def of(bpe: Bpe, ids: list[int], cuts: list[int], sizes: list[int]) -> Node:
+        first = bpe.met.add(np.array(sizes, np.int64), np.array(ids, np.int32))
+        return Node(bpe, list(range(first, first + len(sizes))), cuts)
+
+
+def _offsets(sizes) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def _nodes_array(bpe: Bpe, nodes: list[Node]) -> pa.Array:
+    """The tokens of each node."""
+    places = np.fromiter(chain.from_iterable(n.matches for n in nodes), np.int64)
+    ends = _offsets(bpe.met.sizes[places])[_offsets([len(n.matches) for n in nodes])]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bpe.met.joined(places)))
 
 
 def _ids_array(lists: list[list[int]]) -> pa.Array:
@@ -238,8 +396,8 @@ def _encoder(data, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.of(data.value, pattern)
         for batch in (b for big in batches for b in packed([big], "text", 2 << 20)):
-            ids = [bpe.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield _replaced(batch, {"text"}, "ids", _ids_array(ids))
+            nodes = list(bpe.nodes([t or "" for t in batch.column("text").to_pylist()]))
+            yield _replaced(batch, {"text"}, "ids", _nodes_array(bpe, nodes))
 
     return run
 
@@ -257,7 +415,7 @@ def _part_encoder(data, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.of(data.value, pattern)
         for batch in (b for big in batches for b in packed([big], "text", 2 << 20)):
-            yield _level_batch(batch, {"text"}, [bpe.node(t, 0, len(t)) for t in batch.column("text").to_pylist()])
+            yield _level_batch(batch, {"text"}, list(bpe.nodes(batch.column("text").to_pylist())))
 
     return run
 
@@ -269,11 +427,12 @@ def _joiner(data, pattern: str):
             for i in range(big.num_rows):
                 batch = big.slice(i, 1)
                 pair = batch.column("pair").to_pylist()[0]
-                node = Node(pair[0]["ids"], pair[0]["cuts"], pair[0]["sizes"])
+                bpe.forget()
+                node = Node.of(bpe, pair[0]["ids"], pair[0]["cuts"], pair[0]["sizes"])
                 if len(pair) == 2:
                     left, right = (bpe.decode(p["ids"]).decode() for p in pair)
                     text = left + right
-                    node = bpe.join(text, len(text), node, Node(pair[1]["ids"], [c + len(left) for c in pair[1]["cuts"]], pair[1]["sizes"]))
+                    node = bpe.join(text, len(text), node, Node.of(bpe, pair[1]["ids"], [c + len(left) for c in pair[1]["cuts"]], pair[1]["sizes"]))
                 yield _level_batch(batch, {"pair"}, [node])
 
     return run
@@ -323,14 +482,22 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, part: int = PART) -> D
     return short if long is None else short.unionByName(long)
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a list column without nulls, and where each list begins and ends among them."""
+    return lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
 def _decoder(data, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.of(data.value, pattern)
         for big in batches:
             for start in range(0, big.num_rows, 256):
                 batch = big.slice(start, 256)
-                texts = [bpe.decode(ids) for ids in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+                ids, cut = _flat(batch.column("ids"))
+                flat = bpe.bytes.joined(ids).tobytes()
+                ends = _offsets(bpe.bytes.sizes[ids])[cut].tolist()
+                texts = pa.array([flat[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
     return run
 
@@ -348,7 +515,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sha = lambda b: hashlib.sha256(b).hexdigest()
     for batch in batches:
         ids = batch.column("ids")
-        numbers, cut = ids.flatten().to_numpy().astype("<u4"), (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+        numbers, cut = _flat(ids)
+        numbers, cut = numbers.astype("<u4"), cut.tolist()
         keep = [c for c in batch.schema.names if c not in ("ids", "decoded")]
         yield pa.RecordBatch.from_arrays(
             [
