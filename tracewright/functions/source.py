@@ -19,9 +19,10 @@ IGNORED_PREFIXES = (
 )
 IGNORED_FILES = ("src/libs/DateUtils.ts",)
 IGNORED_SUFFIX = "types.ts"
+# space and words are taken whole, and a word is tried from its start only: any other way ends in the same match or in none
 DECLARATION = (
-    r"(?U)(/\*\*[\s\S]*?\*/)?\s*"
-    r"(?:function\s+(\w+)|const\s+(\w+)\s*=\s*\([^)]*\)\s*=>|(\w+)\s*:\s*function\s*\([^)]*\))"
+    r"(?U)(/\*\*[\s\S]*?\*/)?\s*+"
+    r"(?:function\s+(\w+)|const\s+(\w+)\s*=\s*\([^)]*\)\s*=>|(?<!\w)(\w++)\s*:\s*function\s*\([^)]*\))"
 )
 RETURN_BLOCK = r"(?U)return\s*\(([\s\S]+?)\);"
 RETURN_TERNARY = r"(?U)return\s+[^?]*\?\s*\(([\s\S]+?)\)\s*:\s*\(([\s\S]+?)\);"

@@ -91,15 +91,9 @@ def deploy_report(spark: SparkSession, d: str) -> DataFrame:
 def source_tree_index(spark: SparkSession, d: str) -> DataFrame:
     """A source tree of one file for each page, read, indexed and stored as JSON documents; what the documents hold."""
     root = scratch_path(spark, "tree")
-    parts = F.split("path", "/")
-    tree = _files(spark, d).select("content", F.get(parts, F.lit(1)).alias("folder"), F.get(parts, F.lit(2)).alias("name"))
-    # every task makes its share of the files and puts them in place itself; the folder is new, so a failed run leaves nothing that is read
-    spread = tree.repartition("folder", "name").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    spread.partitionBy("folder", "name").text(f"{root}/src")
-    # Spark names its folders by column and its files by task; the rest is the tree
+    files.write_source_tree(_files(spark, d), root)
     found = files.read_source_tree(spark, f"{root}/src")
-    path = F.regexp_replace(F.regexp_replace("path", "(?<=/)(folder|name)=", ""), "/part-[^/]*$", "")
-    files.write_documents(index_sources(found.withColumn("path", path)), f"{root}/documents")
+    files.write_documents(index_sources(found.withColumn("path", files.written_path(F.col("path")))), f"{root}/documents")
     stored = spark.read.schema("path string, lines array<string>").json(f"{root}/documents")
     return stored.select("path", F.size("lines").alias("size"), F.array_join("lines", "\n").alias("lines"))
 
